@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("exact_dedup", "sharding")
+_MODULES = ("exact_dedup", "sharding", "packing")
 
 
 def _loaded():
