@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("exact_dedup", "sharding", "packing", "decontaminate")
+_MODULES = ("exact_dedup", "sharding", "packing", "decontaminate", "toxicity", "secrets")
 
 
 def _loaded():
