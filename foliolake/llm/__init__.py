@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("exact_dedup", "sharding", "packing", "decontaminate", "toxicity", "near_dedup", "secrets")
+_MODULES = ("exact_dedup", "sharding", "packing", "repeats", "decontaminate", "toxicity", "near_dedup", "secrets")
 
 
 def _loaded():
