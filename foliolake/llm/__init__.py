@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("exact_dedup", "sharding", "packing", "repeats", "decontaminate", "toxicity", "near_dedup", "secrets")
+_MODULES = ("decontaminate", "url_filters", "packing", "repeats", "toxicity", "near_dedup", "secrets", "sharding", "exact_dedup", "token_counts")
 
 
 def _loaded():
