@@ -16,6 +16,11 @@ FILLERS = sorted(set("a an and are as at be by did do does for from how in is it
 MODIFIERS = sorted(set("amount annual average avg count daily gross mean median monthly net number overall total value yearly".split()))
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once per row: lambdas inside see a variable and not the expression."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def words(c: Column) -> Column:
     """Lower-cased tokens between white space; punctuation stays attached."""
     return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"\s+"), lambda w: w != "")

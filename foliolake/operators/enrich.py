@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import FILLERS, json_block, keyword_terms, token_estimate
+from ..functions.text import json_block, keyword_terms, let, token_estimate
 
 _FIGURE = re.compile(
     r"(?P<money>\$\s?[0-9][0-9,]*(?:\.[0-9]+)?\s?(?:trillion|billion|million|[KMBk])?)"
@@ -72,18 +72,19 @@ def keywords(text: Column, title: Column, k: int = 8) -> Column:
 
     Counting is inside the row, on its sorted terms, so no shuffle is needed.
     """
-    terms = keyword_terms(text)
-    numbered = F.array_sort(F.transform(terms, lambda t, i: F.struct(t.alias("t"), i.alias("i"))))
-    empty = F.struct(F.array().cast("array<struct<score:double,first:int,term:string>>").alias("done"), F.lit("").alias("t"), F.lit(0).alias("n"), F.lit(0).alias("first"))
-    item = lambda s: F.struct((-(s["n"] + F.length(s["t"]) * F.lit(0.1))).alias("score"), s["first"].alias("first"), s["t"].alias("term"))
-    shut = lambda s: F.when(s["n"] > 0, F.concat(s["done"], F.array(item(s)))).otherwise(s["done"])
-
-    def step(s, x):
-        same = s["t"] == x["t"]
-        return F.struct(F.when(same, s["done"]).otherwise(shut(s)).alias("done"), x["t"].alias("t"), F.when(same, s["n"] + 1).otherwise(1).alias("n"), F.when(same, s["first"]).otherwise(x["i"]).alias("first"))
-
-    scored = F.aggregate(numbered, empty, step, shut)
-    ordered = F.transform(F.array_sort(scored), lambda s: s["term"])
+    numbered = F.array_sort(F.transform(keyword_terms(text), lambda t, i: F.struct(t.alias("t"), i.alias("i"))))
+
+    def score(s: Column) -> Column:
+        """Runs of equal terms in the sorted array, as (minus score, first place, term)."""
+        heads = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (F.get(s, i - 1)["t"] != x["t"]), i)), lambda i: i.isNotNull())
+
+        def runs(h: Column) -> Column:
+            n = lambda at, j: F.coalesce(F.get(h, j + 1), F.size(s)) - at
+            return F.transform(h, lambda at, j: F.struct((-(n(at, j) + F.length(F.get(s, at)["t"]) * F.lit(0.1))).alias("score"), F.get(s, at)["i"].alias("first"), F.get(s, at)["t"].alias("term")))
+
+        return let(heads, runs)
+
+    ordered = F.transform(F.array_sort(let(numbered, score)), lambda s: s["term"])
     return F.slice(F.array_distinct(F.concat(keyword_terms(title), ordered)), 1, k)
 
 
@@ -135,4 +136,4 @@ def token_totals(sections: DataFrame) -> DataFrame:
     return sections.groupBy("doc_id").agg(F.count("*").alias("n_sections"), F.sum(token_estimate(F.col("text"))).alias("n_tokens"))
 
 
-__all__ = ["FILLERS", "document_context", "figures", "key_numbers", "keywords", "reply_keywords", "token_totals", "with_keywords", "with_summaries"]
+__all__ = ["document_context", "figures", "key_numbers", "keywords", "reply_keywords", "token_totals", "with_keywords", "with_summaries"]

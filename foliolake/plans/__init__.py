@@ -1,9 +1,15 @@
 """Registered queries of the core library."""
 
+from __future__ import annotations
+
+from . import search_queries, table_queries, text_queries
+
+_MODULES = (text_queries, table_queries, search_queries)
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for m in _MODULES for name, sql in m.SQL.items()}
