@@ -125,7 +125,7 @@ def json_block(c: Column) -> Column:
     """The JSON in a model's reply: a fenced block, else the widest bracketed stretch, else the trimmed reply."""
     fenced = F.regexp_extract(c, r"(?s)```(?:json)?\s*(.*?)```", 1)
     bare = F.regexp_extract(c, r"(?s)(\[.*\]|\{.*\})", 1)
-    return F.trim(F.when(fenced != "", fenced).when(bare != "", bare).otherwise(c))
+    return F.regexp_replace(F.when(fenced != "", fenced).when(bare != "", bare).otherwise(c), r"^\s+|\s+$", "")
 
 
 def jaccard(a: Column, b: Column) -> Column:
