@@ -26,9 +26,8 @@ a third of all rows has is spread over many partitions.
 
 Defined cases: null and empty texts (or white space alone) have an empty set,
 are linked with nothing and are kept. Rows with a null identifier are left out
-of the links, get themselves as component and are kept. Repeated rows with one
-identifier are all reported; :func:`near_dedup` keeps one row of each
-identifier and text that stay. Empty tables give empty results, and extra
+of the links, have no component and are kept. Repeated rows with one identifier
+are reported each and stay or go together. Empty tables give empty results, and extra
 columns pass through.
 """
 
