@@ -23,13 +23,12 @@ def let(value: Column, use) -> Column:
 
 def words(c: Column) -> Column:
     """Lower-cased tokens between white space; punctuation stays attached."""
-    return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"\s+"), lambda w: w != "")
+    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"\S+"), F.lit(0))
 
 
 def terms(c: Column) -> Column:
     """Retrieval tokens: letters, digits and hyphens of ASCII, longer than one character."""
-    clean = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^a-z0-9\-]", " ")
-    return F.filter(F.split(clean, " +"), lambda w: F.length(w) > 1)
+    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"[a-z0-9\-]{2,}"), F.lit(0))
 
 
 def question_terms(c: Column) -> Column:
@@ -73,23 +72,14 @@ def parsed_number(c: Column) -> Column:
     """The number in a table cell, or null: separators, magnitude words and a final k are understood."""
     low = F.lower(F.trim(c))
     blank = low.isin("", "n/a", "na", "-", "–", "—", "tbd", "none", "null")
-    # as in the other scale words, only the largest one that occurs counts
-    scale = F.lit(1.0)
-    clean = low
-    for word, size in (("thousand", 1e3), ("million", 1e6), ("billion", 1e9)):
+    scale, clean = F.lit(1.0), low
+    for word, size in (("thousand", 1e3), ("million", 1e6), ("billion", 1e9)):  # of several words only the largest counts
         pattern = rf"(?<![a-z0-9_]){word}(?![a-z0-9_])"
         scale = F.when(low.rlike(pattern), F.lit(size)).otherwise(scale)
-    for word in ("billion", "million", "thousand"):
-        others = {"billion": (), "million": ("billion",), "thousand": ("billion", "million")}[word]
-        pattern = rf"(?<![a-z0-9_]){word}(?![a-z0-9_])"
-        absent = F.lit(True)
-        for o in others:
-            absent = absent & ~low.rlike(rf"(?<![a-z0-9_]){o}(?![a-z0-9_])")
-        clean = F.when(absent, F.regexp_replace(clean, pattern, " ")).otherwise(clean)
-    clean = F.regexp_replace(F.regexp_replace(clean, ",", ""), r"(?<=[0-9])\s+(?=[0-9]{3}(?![a-z0-9_]))", "")
-    found = F.regexp_extract(clean, r"(-?[0-9]+(?:\.[0-9]+)?)(k?)", 1)
-    kilo = F.regexp_extract(clean, r"(-?[0-9]+(?:\.[0-9]+)?)(k?)", 2) == "k"
-    return F.when(~blank & (found != ""), found.try_cast("double") * scale * F.when(kilo, 1e3).otherwise(1.0))
+        clean = F.when(low.rlike(pattern), F.regexp_replace(low, pattern, " ")).otherwise(clean)
+    clean = F.regexp_replace(F.replace(clean, F.lit(","), F.lit("")), r"(?<=[0-9])\s+(?=[0-9]{3}(?![a-z0-9_]))", "")
+    found = F.regexp_extract(clean, r"-?[0-9]+(?:\.[0-9]+)?k?", 0)
+    return F.when(~blank, let(found, lambda x: F.rtrim(x, F.lit("k")).try_cast("double") * F.when(x.endswith("k"), 1e3).otherwise(1.0)) * scale)
 
 
 def unit(c: Column) -> Column:

@@ -58,7 +58,7 @@ def refreshed(index: DataFrame, rebuilt: DataFrame, changed: DataFrame, removed:
 
 def postings(sections: DataFrame) -> DataFrame:
     """doc_id, sec_idx, term, tf of (doc_id, sec_idx, tokens): the stored form of the lexical index."""
-    return sections.select("doc_id", "sec_idx", F.explode("tokens").alias("term")).groupBy("doc_id", "sec_idx", "term").agg(F.count("*").cast("int").alias("tf"))
+    return sections.select("doc_id", "sec_idx", F.explode_outer("tokens").alias("term")).where("term IS NOT NULL").groupBy("doc_id", "sec_idx", "term").agg(F.count("*").cast("int").alias("tf"))
 
 
 def statistics(sections: DataFrame, edges: DataFrame) -> DataFrame:

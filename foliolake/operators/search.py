@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.small import small
+from ..functions.small import few, small
 
 K1, B = 1.2, 0.75
 
@@ -21,14 +21,18 @@ def top_k(scored: DataFrame, k: int, by: list[str] | None = None, score: str = "
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _asked(questions: DataFrame) -> DataFrame:
-    return questions.select("qid", F.explode(F.array_distinct("tokens")).alias("term"))
+def _asked(questions: DataFrame):
+    """qid, term of the questions, and what marks a table with no more rows than that for broadcast, if they are few."""
+    asked = questions.select("qid", F.explode(F.array_distinct("tokens")).alias("term"))
+    mark = F.broadcast if few(asked) else lambda df: df
+    return mark(asked), mark
 
 
-def _hits(sections: DataFrame, asked: DataFrame) -> DataFrame:
+def _hits(sections: DataFrame, asked: DataFrame, mark) -> DataFrame:
     """doc_id, sec_idx, length, term, tf of the terms that are asked for."""
-    terms = small(asked.select("term").distinct())
-    rows = sections.select("doc_id", "sec_idx", F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
+    terms = mark(asked.select("term").distinct())
+    # the outer form makes no filter on the tokens, which would compute them twice
+    rows = sections.select("doc_id", "sec_idx", F.size("tokens").alias("length"), F.explode_outer("tokens").alias("term"))
     return rows.join(terms, "term").groupBy("doc_id", "sec_idx", "length", "term").agg(F.count("*").alias("tf"))
 
 
@@ -41,14 +45,14 @@ def bm25(sections: DataFrame, questions: DataFrame, *, per_document: bool = Fals
 
     Statistics are of all sections or, with ``per_document``, of the section's own document.
     """
-    asked, by = _asked(questions), _scope(per_document)
-    hits = _hits(sections, asked)
+    (asked, mark), by = _asked(questions), _scope(per_document)
+    hits = _hits(sections, asked, mark)
     stats = sections.groupBy(*by).agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("mean"))
     df = hits.groupBy(*by, "term").agg(F.count("*").alias("df"))
-    joined = hits.join(df, [*by, "term"]).join(stats, by) if by else hits.join(small(df), "term").crossJoin(F.broadcast(stats))  # one row of totals
+    joined = hits.join(df, [*by, "term"]).join(stats, by) if by else hits.join(mark(df), "term").crossJoin(F.broadcast(stats))  # one row of totals
     idf = F.greatest(F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    return joined.withColumn("w", weight).join(small(asked), "term").groupBy("qid", "doc_id", "sec_idx").agg(F.sum("w").alias("score"))
+    return joined.withColumn("w", weight).join(asked, "term").groupBy("qid", "doc_id", "sec_idx").agg(F.sum("w").alias("score"))
 
 
 def bm25_okapi(sections: DataFrame, questions: DataFrame, *, per_document: bool = True, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
@@ -56,20 +60,20 @@ def bm25_okapi(sections: DataFrame, questions: DataFrame, *, per_document: bool
 
     A negative idf = ln((N - n + 0.5) / (n + 0.5)) is replaced by ``epsilon`` times the mean idf of all terms of the scope.
     """
-    asked, by = _asked(questions), _scope(per_document)
-    hits = _hits(sections, asked)
+    (asked, mark), by = _asked(questions), _scope(per_document)
+    hits = _hits(sections, asked, mark)
     stats = sections.groupBy(*by).agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("mean"))
     idf: Column = F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
     # every term's document frequency is needed for the mean; counts are combined before they move
-    every = sections.select("doc_id", "sec_idx", F.explode(F.array_distinct("tokens")).alias("term")).groupBy(*by, "term").agg(F.count("*").alias("df"))
+    every = sections.select("doc_id", "sec_idx", F.explode_outer(F.array_distinct("tokens")).alias("term")).where("term IS NOT NULL").groupBy(*by, "term").agg(F.count("*").alias("df"))
     with_n = every.join(stats, by) if by else every.crossJoin(F.broadcast(stats))
     with_n = with_n.withColumn("idf", idf)
     mean_idf = with_n.groupBy(*by).agg(F.avg("idf").alias("mean_idf"))
-    known = with_n.join(small(asked.select("term").distinct()), "term").select(*by, "term", "idf", "mean")
+    known = with_n.join(mark(asked.select("term").distinct()), "term").select(*by, "term", "idf", "mean")
     known = known.join(mean_idf, by) if by else known.crossJoin(F.broadcast(mean_idf))
     joined = hits.join(known, [*by, "term"])
     weight = F.when(F.col("idf") < 0, F.col("mean_idf") * epsilon).otherwise(F.col("idf")) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    scored = joined.withColumn("w", weight).join(small(asked), "term").groupBy("qid", "doc_id", "sec_idx").agg(F.sum("w").alias("score"))
+    scored = joined.withColumn("w", weight).join(asked, "term").groupBy("qid", "doc_id", "sec_idx").agg(F.sum("w").alias("score"))
     best = scored.groupBy("qid", *by).agg(F.max("score").alias("best"))
     return scored.join(best, ["qid", *by]).select("qid", "doc_id", "sec_idx", (F.col("score") / (F.col("best") + 1e-8)).alias("score"))
 
@@ -78,7 +82,7 @@ def tfidf(sections: DataFrame, questions: DataFrame, *, per_document: bool = Fal
     """qid, doc_id, sec_idx, score: cosine of tf times ln((1 + N) / (1 + n)) + 1; terms that no section has do not count."""
     by = _scope(per_document)
     n = sections.groupBy(*by).agg(F.count("*").alias("n"))
-    tf = sections.select("doc_id", "sec_idx", F.explode("tokens").alias("term")).groupBy("doc_id", "sec_idx", "term").agg(F.count("*").alias("tf"))
+    tf = sections.select("doc_id", "sec_idx", F.explode_outer("tokens").alias("term")).where("term IS NOT NULL").groupBy("doc_id", "sec_idx", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy(*by, "term").agg(F.count("*").alias("df"))
     df = df.join(n, by) if by else df.crossJoin(F.broadcast(n))
     idf = df.select(*by, "term", (F.ln((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
@@ -93,11 +97,11 @@ def tfidf(sections: DataFrame, questions: DataFrame, *, per_document: bool = Fal
 
 def overlap(sections: DataFrame, questions: DataFrame) -> DataFrame:
     """qid, doc_id, sec_idx, score: Jaccard similarity of token sets, for sections that share a token."""
-    asked = _asked(questions)
+    asked, mark = _asked(questions)
     sizes = questions.select("qid", F.size(F.array_distinct("tokens")).alias("q"))
     rows = sections.select("doc_id", "sec_idx", F.size(F.array_distinct("tokens")).alias("d"), F.explode(F.array_distinct("tokens")).alias("term"))
-    shared = rows.join(small(asked), "term").groupBy("qid", "doc_id", "sec_idx", "d").agg(F.count("*").alias("s"))
-    return shared.join(small(sizes), "qid").select("qid", "doc_id", "sec_idx", (F.col("s") / (F.col("q") + F.col("d") - F.col("s"))).alias("score"))
+    shared = rows.join(asked, "term").groupBy("qid", "doc_id", "sec_idx", "d").agg(F.count("*").alias("s"))
+    return shared.join(mark(sizes), "qid").select("qid", "doc_id", "sec_idx", (F.col("s") / (F.col("q") + F.col("d") - F.col("s"))).alias("score"))
 
 
 PROVIDERS = {"bm25": bm25_okapi, "tfidf": tfidf, "keyword": overlap}

@@ -79,14 +79,15 @@ def aggregate(long: DataFrame, op: str, column: str, where: tuple[str, str, obje
     if where is not None:
         known = _column(long, where[0]).select(*_KEY).distinct()
         target = target.join(filter_rows(long, *where), [*_KEY, "row_idx"], "left_semi")
-    num = target.withColumn("x", parsed_number(F.col("cell"))).withColumn("u", unit(F.col("cell")))
-    units = num.where("u IS NOT NULL AND x IS NOT NULL").groupBy(*_KEY, "u").agg(F.count("*").alias("n"), F.min("row_idx").alias("first"))
-    mode = units.groupBy(*_KEY).agg(F.max_by("u", F.struct("n", -F.col("first"))).alias("unit"))
-    folds = {"sum": F.sum("x"), "min": F.min("x"), "max": F.max("x"), "avg": F.avg("x"), "count": F.count("*").cast("double")}
-    done = num.groupBy(*_KEY).agg(folds[op].alias("value"), F.count("*").alias("rows"), F.count("x").alias("numbers"))
+    num = target.select(*_KEY, "row_idx", parsed_number(F.col("cell")).alias("x"), unit(F.col("cell")).alias("u"))
+    # one pass over the cells: folds for each unit first, then the tables'
+    by_unit = num.groupBy(*_KEY, "u").agg(F.sum("x").alias("s"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("rows"), F.count("x").alias("numbers"), F.min(F.when(F.col("x").isNotNull(), F.col("row_idx"))).alias("first"))
+    folds = {"sum": F.sum("s"), "min": F.min("lo"), "max": F.max("hi"), "avg": F.sum("s") / F.nullif(F.sum("numbers"), F.lit(0)), "count": F.sum("rows").cast("double")}
+    common = F.when(F.col("u").isNotNull() & (F.col("numbers") > 0), F.struct("numbers", -F.col("first")))
+    done = by_unit.groupBy(*_KEY).agg(folds[op].alias("value"), F.sum("rows").alias("rows"), F.sum("numbers").alias("numbers"), F.max_by("u", common).alias("unit"))
     heads = long.select(*_KEY, "col_idx", "header").distinct()
     has = resolve(heads, tables.withColumn("name", F.lit(column))).select(*_KEY, F.lit(True).alias("has"))
-    out = tables.join(has, _KEY, "left").join(done, _KEY, "left").join(mode, _KEY, "left")
+    out = tables.join(has, _KEY, "left").join(done, _KEY, "left")
     usable = F.lit(True)
     if where is not None:
         out = out.join(known.withColumn("has_filter", F.lit(True)), _KEY, "left")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.small import spread
 from ..functions.text import KEYWORD_STOP, RETRIEVAL_STOP, question_terms, terms
 
 QUESTIONS = [
@@ -19,7 +20,8 @@ QUESTIONS = [
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in ("documents", "pages") else df  # only texts are worth the exchange
 
 
 def questions(spark: SparkSession) -> DataFrame:

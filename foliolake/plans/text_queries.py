@@ -27,7 +27,7 @@ def tokenise_terms(spark, d):
 
 def term_freq_topk(spark, d):
     """The 50 most frequent terms; counts are combined before the shuffle."""
-    t = table(spark, d, "documents").select("doc_id", F.explode(X.terms(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    t = table(spark, d, "documents").select("doc_id", F.explode_outer(X.terms(F.col("text"))).alias("term")).where("term IS NOT NULL").groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
     return t.groupBy("term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df")).orderBy(F.desc("tf"), "term").limit(50)
 
 
