@@ -21,9 +21,9 @@ def _pieces(text: str, size: int):
             yield from (sentence[i : i + size] for i in range(0, len(sentence), size))
 
 
-def passages(text: str | None, size: int = 2000, overlap: int = 200) -> list[str]:
+def passages(text: str | None, size: int = 2_000, overlap: int = 200) -> list[str]:
     """Passages of at most ``size`` characters; each repeats up to ``overlap`` of the one before, if there is room."""
-    text = (text or "").strip()
+    text = text.strip() if text else ""
     if len(text) <= size or size <= 0:
         return [text] if text else []
     overlap = min(max(overlap, 0), size // 2)

@@ -19,7 +19,7 @@ _FIGURE = re.compile(
     r"|(?P<plain>\b[0-9][0-9,]*(?:\.[0-9]+)?\b)"
 )
 _ITEM = re.compile(r"\s*[0-9]+[).]\s")
-_NAMED = re.compile(r"([A-Za-z][A-Za-z0-9 /&\-]{1,40}?)\s*:\s*\**\s*$")
+_NAMED = re.compile(r"([a-zA-Z][-a-zA-Z0-9/& ]{1,40}?)\s*:[\s*]*$")
 _FILLER = frozenset("a after all an and are at by down for from in is it its now of on our that the then this to up was we with".split())
 MOST_FIGURES = 64
 
@@ -29,7 +29,7 @@ def _label(head: str) -> str:
     named = _NAMED.search(head.rstrip())
     if named:
         return named[1].strip(" *(")
-    return " ".join([w for w in re.findall(r"[A-Za-z][A-Za-z/&\-]+", head) if w.lower() not in _FILLER][-4:])
+    return " ".join([w for w in re.findall("[a-zA-Z][-a-zA-Z/&]+", head) if w.lower() not in _FILLER][-4:])
 
 
 def figures(text: str | None) -> list[tuple[str, str, str | None]]:
@@ -42,7 +42,7 @@ def figures(text: str | None) -> list[tuple[str, str, str | None]]:
             if item and m.start() < item.end() or re.search(r"[A-Za-z]-?$", head):
                 continue
             before = head.split()
-            if before and re.fullmatch(r"[A-Z]{2,}", before[-1].strip(".,")):
+            if before and re.fullmatch("[A-Z][A-Z]+", before[-1].strip(",.")):
                 continue
             if m["plain"] and "." not in raw and 1900 <= int(raw.replace(",", "") or 0) <= 2099:
                 continue

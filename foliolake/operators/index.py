@@ -22,13 +22,11 @@ def fingerprints(sections: DataFrame) -> DataFrame:
         for b in batches:
             hashes = []
             for doc, parts in zip(b["doc_id"], b["parts"]):
-                h = hashlib.sha256(str(doc).encode())
-                h.update(struct.pack(">I", len(parts)))
+                size = struct.Struct(">I").pack
+                pieces = [str(doc).encode(), size(len(parts))]
                 for p in parts:
-                    h.update((p["id"] or "").encode())
-                    h.update(struct.pack(">I", p["n"]))
-                    h.update(p["head"].encode())
-                hashes.append(h.hexdigest())
+                    pieces += [(p["id"] or "").encode(), size(p["n"]), p["head"].encode()]
+                hashes.append(hashlib.sha256(b"".join(pieces)).hexdigest())
             yield pd.DataFrame({"doc_id": b["doc_id"], "hash": hashes, "n_secs": [len(p) for p in b["parts"]]})
 
     return grouped.mapInPandas(run, "doc_id string, hash string, n_secs int") if dict(sections.dtypes)["doc_id"] == "string" else grouped.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(run, "doc_id string, hash string, n_secs int")

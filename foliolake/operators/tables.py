@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalised, parsed_number, unit
 
-OPS = ("sum", "count", "min", "max", "avg")
+OPS = ("avg", "count", "max", "min", "sum")
 _KEY = ["doc_id", "section_id", "table_id"]
 #: Words that ask for an aggregate, in the order in which they are tried.
-INTENTS = (("sum", ("total", "sum of", "combined", "altogether")), ("count", ("how many", "number of", "count")), ("avg", ("average", "mean ")), ("max", ("highest", "largest", "maximum", "most")), ("min", ("lowest", "smallest", "minimum", "least")))
+INTENTS = tuple((op, tuple(signs.split("|"))) for op, signs in dict(sum="altogether|combined|sum of|total", count="count|how many|number of", avg="average|mean ", max="highest|largest|maximum|most", min="least|lowest|minimum|smallest").items())
 
 
 def cells(sections: DataFrame) -> DataFrame:

@@ -6,6 +6,10 @@ import re
 from dataclasses import dataclass, field
 
 
+#: Where a name in camel case or a number in it begins.
+_SEAM = re.compile("(?<=[a-z])(?=[A-Z])|(?<=[A-Za-z])(?=[0-9])")
+
+
 class SourceError(Exception):
     """A file that cannot be turned into sections; it becomes an error row and not a failed job."""
 
@@ -29,11 +33,8 @@ def table(table_id: str, headers: list[str], rows: list[list[str]], caption: str
 
 def rectangular(grid: list[list[str]]) -> tuple[list[str], list[list[str]]]:
     """Header and data of a grid: empty headers at the end go, rows get the header's width."""
-    headers = list(grid[0])
-    while headers and not headers[-1].strip():
-        headers.pop()
-    n = len(headers)
-    return headers, [(r + [""] * n)[:n] for r in grid[1:]]
+    n = max((i for i, h in enumerate(grid[0], 1) if h.strip()), default=0)
+    return grid[0][:n], [(r + [""] * n)[:n] for r in grid[1:]]
 
 
 def stem_of(path: str) -> str:
@@ -43,14 +44,14 @@ def stem_of(path: str) -> str:
 
 def identifier(path: str) -> str:
     """The slug of a file's stem: camel case and digits are split, other signs become hyphens."""
-    s = re.sub(r"([A-Za-z])([0-9])", r"\1-\2", re.sub(r"([a-z])([A-Z])", r"\1-\2", stem_of(path)))
-    return re.sub(r"[^a-z0-9]+", "-", s.lower()).strip("-")
+    parts = re.split("[^a-z0-9]+", _SEAM.sub("-", stem_of(path)).lower())
+    return "-".join(filter(None, parts))
 
 
 def title_of(path: str, camel: bool = False) -> str:
     s = stem_of(path)
     if camel:
-        s = re.sub(r"([A-Za-z])([0-9])", r"\1 \2", re.sub(r"([a-z])([A-Z])", r"\1 \2", s))
+        s = _SEAM.sub(" ", s)
     return re.sub(r"[-_\s]+", " ", s).strip().title()
 
 

@@ -8,7 +8,7 @@ from .common import Parsed, decoded, stem_of, table
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _HIDDEN = frozenset(("script", "style", "template", "noscript"))
-_LEVEL = {f"h{i}": i for i in range(1, 7)}
+_LEVEL = dict(zip(("h1", "h2", "h3", "h4", "h5", "h6"), range(1, 7)))
 _CLOSES = {"p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
 #: Elements that an open element of the same kind must not be closed through.
 _WALLS = frozenset(("table", "ul", "ol", "dl", "select", "div", "article", "section", "body"))
@@ -88,7 +88,7 @@ def grid_of(rows: list[Node]) -> list[list[str]]:
                     taken.setdefault((i, j), text)
             column += across
     width = max((c for _, c in taken), default=-1) + 1
-    return [[taken.get((r, c), "") for c in range(width)] for r in range(len(rows))]
+    return [[taken.get((r, column), "") for column in range(width)] for r in range(len(rows))]
 
 
 def _span(value: str | None) -> int:
@@ -100,10 +100,10 @@ def _span(value: str | None) -> int:
 
 def table_of(node: Node, index: int) -> dict | None:
     grid = grid_of([n for n in node.walk() if n.name == "tr"])
-    if not grid or not any(grid[0]):
+    if not (grid and any(grid[0])):
         return None
     caption = next((" ".join(n.strings()) for n in node.walk() if n.name == "caption"), None)
-    return table(f"tbl_{index + 1:03d}", grid[0], [r for r in grid[1:] if any(c.strip() for c in r)], caption)
+    return table(f"tbl_{index + 1:03d}", grid[0], [row for row in grid[1:] if "".join(row).strip()], caption)
 
 
 def parse(data: bytes, path: str) -> Parsed:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import Parsed, identifier, stem_of
 
-_ATX = re.compile(r"^(#{1,6})\s+(.+?)\s*$")
+_ATX = re.compile(r"(#{1,6})\s+(\S.*?)\s*\Z")
 
 
 def parse(data: bytes, path: str) -> Parsed:
@@ -18,11 +18,11 @@ def parse(data: bytes, path: str) -> Parsed:
     head: tuple[str, int] | None = None
 
     def close():
-        text = "\n".join(lines).strip()
+        text = str.strip("\n".join(lines))
         if head:
             out.add(*head, text)
         elif text:
-            out.add(identifier(path).replace("-", " ").title(), 1, text)
+            out.add(" ".join(identifier(path).split("-")).title(), 1, text)
 
     for line in data.decode("utf-8", "replace").splitlines():
         if line.strip().startswith(("```", "~~~")):

@@ -25,7 +25,7 @@ def looks_like_heading(text: str, bold: int, total: int) -> bool:
     """A short paragraph that is all capitals, mostly bold, or a label with a final colon."""
     if not 0 < len(text) <= 100:
         return False
-    capitals = text == text.upper() and any(c.isalpha() for c in text)
+    capitals = any(map(str.isalpha, text)) and text.upper() == text
     label = text.endswith(":") and not any(s in text[:-1] for s in ".?!")
     return capitals or total > 0 and 2 * bold > total or label
 

@@ -11,6 +11,7 @@ from xml.etree import ElementTree
 from .common import Parsed, SourceError, rectangular, table, title_of
 from .delimited import summary
 
+Rows = list[list[str]]
 _M = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 _BUILTIN_DATES = frozenset((14, 15, 16, 17, 18, 19, 20, 21, 22, 45, 46, 47))
@@ -24,12 +25,12 @@ def _numeric(cell: str) -> bool:
     return True
 
 
-def split_tables(rows: list[list[str]]) -> list[tuple[list[str], list[list[str]]]]:
+def split_tables(rows: Rows) -> list[tuple[list[str], Rows]]:
     """(header, data) of the tables of a sheet; a header begins a new one only after a mostly numeric row."""
     full = [[c.strip() for c in r if c.strip()] for r in rows]
     share = [sum(map(_numeric, f)) / len(f) if f else 0 for f in full]
     begin = next((i for i, f in enumerate(full) if len(f) >= 2), 0)
-    out: list[tuple[list[str], list[list[str]]]] = []
+    out: list[tuple[list[str], Rows]] = []
     after_data = False
     for i in range(begin, len(rows)):
         header = len(full[i]) >= 2 and 1 - share[i] >= 0.5 and sum(map(len, full[i])) <= 50 * len(full[i])
