@@ -11,10 +11,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.small import ROWS
-from ..functions.vectors import dot, norm
+from ..functions.vectors import norm
 
+#: Sections in a block of :func:`similar_pairs`; a pair of blocks has 8 MB of cosines.
+BLOCK = 1000
 SCHEMA = "qid string, doc_id string, sec_idx int, score double"
 
 
@@ -56,17 +59,37 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, *, where: Column | N
     return top_k(rows.mapInArrow(run, SCHEMA), k)
 
 
-def similar_pairs(vectors: DataFrame, threshold: float = 0.68, most: int = 1000) -> DataFrame:
+def similar_pairs(vectors: DataFrame, threshold: float = 0.68, most: int | None = 1000, block: int = BLOCK) -> DataFrame:
     """doc_id, from_idx, to_idx, weight: pairs of sections of one document with cosine ``threshold`` or more, both ways.
 
-    Documents of more than ``most`` sections have none, so no document makes more than ``most`` squared comparisons.
+    The sections of a document are dealt into blocks of about ``block`` by hash; every pair of blocks is one
+    matrix product in a task of its own. With ``most``, documents of more sections than that have no pairs.
     """
-    sizes = vectors.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") <= most).select("doc_id")
-    unit = vectors.join(sizes, "doc_id", "left_semi").withColumn("size", norm(F.col("embedding"))).where("size > 0")
-    a = unit.select("doc_id", F.col("sec_idx").alias("from_idx"), F.col("embedding").alias("x"), F.col("size").alias("p"))
-    b = unit.select("doc_id", F.col("sec_idx").alias("to_idx"), F.col("embedding").alias("y"), F.col("size").alias("q"))
-    half = a.join(b, "doc_id").where("from_idx < to_idx").withColumn("weight", dot(F.col("x"), F.col("y")) / (F.col("p") * F.col("q"))).where(F.col("weight") >= threshold).select("doc_id", "from_idx", "to_idx", "weight")
-    return half.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("way")).select("doc_id", F.when(F.col("way") == 0, F.col("from_idx")).otherwise(F.col("to_idx")).alias("from_idx"), F.when(F.col("way") == 0, F.col("to_idx")).otherwise(F.col("from_idx")).alias("to_idx"), "weight")
+    counted = vectors.groupBy("doc_id").agg(F.count("*").alias("n"))
+    sizes = (counted if most is None else counted.where(F.col("n") <= most)).select("doc_id", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    unit = vectors.select("doc_id", "sec_idx", "embedding", norm(F.col("embedding")).alias("size"), F.size("embedding").alias("dims")).where("size > 0 AND sec_idx IS NOT NULL")
+    own = F.pmod(F.xxhash64("sec_idx"), F.col("blocks")).cast("int")
+    dealt = unit.join(sizes, "doc_id").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("blocks", "other")
+    schema = T.StructType([T.StructField("doc_id", vectors.schema["doc_id"].dataType), *(T.StructField(n, vectors.schema["sec_idx"].dataType) for n in ("from_idx", "to_idx")), T.StructField("weight", T.DoubleType())])
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        own, idx = t["own"].to_numpy(), t["sec_idx"].to_numpy()
+        rows = np.asarray(t["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(idx), -1)
+        size = t["size"].to_numpy()
+        first = np.flatnonzero(own == t["lo"][0].as_py())
+        second = np.flatnonzero(own == t["hi"][0].as_py())
+        weight = rows[first] @ rows[second].T / (size[first][:, None] * size[second])
+        near = weight >= threshold
+        if t["lo"][0].as_py() == t["hi"][0].as_py():
+            near &= idx[first][:, None] < idx[second]
+        i, j = np.nonzero(near)
+        a, b, w = first[i], second[j], weight[i, j]
+        a, b, w = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([w, w])
+        return pa.table([t["doc_id"].take(pa.array(a)), t["sec_idx"].take(pa.array(a)), t["sec_idx"].take(pa.array(b)), pa.array(w)], names=schema.names)
+
+    return dealt.groupBy("doc_id", "dims", "lo", "hi").applyInArrow(run, schema)
 
 
 def mean_vector(vectors: DataFrame, by: list[str]) -> DataFrame:

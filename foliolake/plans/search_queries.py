@@ -66,11 +66,16 @@ def vector_topk_filtered(spark, d):
 
 
 def semantic_edges(spark, d):
-    """Groups of vectors by identifier are the documents here, so that none is too large."""
+    """A sample: blocks of 100 identifiers are the documents here and in the SQL, so pairs across blocks are not compared."""
     v = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 100).cast("string").alias("doc_id"), F.col("vec_id").cast("long").alias("sec_idx"), "embedding")
     return vectors.similar_pairs(v, 0.3).select("from_idx", "to_idx", F.round("weight", 5).alias("weight"))
 
 
+def semantic_edges_by_label(spark, d):
+    """All pairs: labels are the documents, as in the other vector queries, of any size."""
+    return vectors.similar_pairs(_vectors(spark, d).withColumn("sec_idx", F.col("sec_idx").cast("long")), 0.3, most=None).select("from_idx", "to_idx", F.round("weight", 5).alias("weight"))
+
+
 def quantise_int8(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.array_join(F.transform(int8_levels(F.col("embedding")), lambda x: x.cast("string")), ",").alias("levels"))
 
@@ -270,6 +275,7 @@ SELECT qid, sec_idx // 100000 AS document, sec_idx % 100000 AS window_idx, round
     "vector_topk": f"WITH {_VEC}, {_MEAN}, scored AS ({_NEAR}) {sql_top(K)}",
     "vector_topk_filtered": f"WITH {_VEC}, {_MEAN}, scored AS ({_NEAR} WHERE v.label = 1) {sql_top(K)}",
     "semantic_edges": f"WITH {_VEC} SELECT a.vec_id AS from_idx, b.vec_id AS to_idx, round({_COS.format('a.e', 'b.e')}, 5) AS weight FROM vec a JOIN vec b ON a.vec_id // 100 = b.vec_id // 100 AND a.vec_id <> b.vec_id WHERE {_COS.format('a.e', 'b.e')} >= CAST(0.3 AS DOUBLE)",
+    "semantic_edges_by_label": f"WITH {_VEC} SELECT a.vec_id AS from_idx, b.vec_id AS to_idx, round({_COS.format('a.e', 'b.e')}, 5) AS weight FROM vec a JOIN vec b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE {_COS.format('a.e', 'b.e')} >= CAST(0.3 AS DOUBLE)",
     "quantise_int8": f"WITH {_VEC} SELECT vec_id, array_to_string(list_transform(e, lambda x: CAST(trunc(least(greatest(x * (CAST(127 AS DOUBLE) / (list_max(list_transform(e, lambda y: abs(y))) + CAST(1e-8 AS DOUBLE))), -127), 127)) AS INT)), ',') AS levels FROM vec",
     "rrf_fusion": f"WITH {_FUSE} {sql_top(K, 'fused', 6)}",
     "rrf_graph_expand": f"""
@@ -308,5 +314,5 @@ SELECT doc_id, round(score, 4) AS score, rank FROM (SELECT *, row_number() OVER
     "incremental_reindex": "SELECT DISTINCT source AS doc_id FROM documents WHERE lang = 'fr' AND len(text) > 8000",
     "postings_index": f"WITH {SQL_SECTIONS} SELECT term, count(DISTINCT sec_idx) AS df, count(*) AS tf FROM (SELECT sec_idx, unnest(tokens) AS term FROM sec) GROUP BY term",
 }
-QUERIES = {f.__name__: f for f in (bm25_topk, bm25_okapi_norm, tfidf_cosine_topk, jaccard_search, bm25_stemmed, window_baseline, mean_query_vector, vector_topk, vector_topk_filtered, semantic_edges, quantise_int8, quantise_roundtrip, rrf_fusion, rrf_graph_expand, rerank_pool, hybrid_search, precomputed_answers, layered_answers, library_list, library_search, library_upsert, role_filter, doc_fingerprint, incremental_reindex, postings_index, catalogue_json)}
+QUERIES = {f.__name__: f for f in (bm25_topk, bm25_okapi_norm, tfidf_cosine_topk, jaccard_search, bm25_stemmed, window_baseline, mean_query_vector, vector_topk, vector_topk_filtered, semantic_edges, semantic_edges_by_label, quantise_int8, quantise_roundtrip, rrf_fusion, rrf_graph_expand, rerank_pool, hybrid_search, precomputed_answers, layered_answers, library_list, library_search, library_upsert, role_filter, doc_fingerprint, incremental_reindex, postings_index, catalogue_json)}
 __all__ = ["QUERIES", "SQL"]

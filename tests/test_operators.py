@@ -148,6 +148,30 @@ def test_nearest_and_zero_vectors(spark):
     assert [(r.qid, r.sec_idx, round(r.score, 6)) for r in vectors.nearest(rows, q, 3).orderBy("rank").collect()] == [("q", 0, 1.0), ("q", 1, 0.5), ("q", 2, 0.5)]
 
 
+def brute_pairs(rows, threshold):
+    """Ordered pairs of one document with their cosine."""
+    return {(d, i, j): c for d, i, x in rows for e, j, y in rows if d == e and i != j and (c := np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y)) >= threshold}
+
+
+def test_similar_pairs_cross_blocks(spark):
+    rng = np.random.default_rng(3)
+    rows = [(d, i, rng.normal(size=6).astype(np.float32).tolist()) for d, n in (("a", 90), ("b", 7), ("c", 1)) for i in range(n)]
+    df = spark.createDataFrame([*rows, ("a", 900, [0.0] * 6), ("a", 901, None)], "doc_id string, sec_idx long, embedding array<float>")
+    want = brute_pairs(rows, 0.3)
+    for block in (10, 40, 1000):
+        got = vectors.similar_pairs(df, 0.3, most=None, block=block).collect()
+        assert len(got) == len(want) and all(r.weight == pytest.approx(want[r.doc_id, r.from_idx, r.to_idx]) for r in got)
+
+
+def test_semantic_edges_by_label_cross_identifiers(spark, data):
+    from foliolake import plans
+
+    t = spark.read.parquet(f"{data}/embeddings.parquet").collect()
+    got = plans.queries()["semantic_edges_by_label"](spark, data).collect()
+    assert {(r.from_idx, r.to_idx) for r in got} == {k[1:] for k in brute_pairs([(r.label, r.vec_id, r.embedding) for r in t], 0.3)}
+    assert any(r.from_idx // 100 != r.to_idx // 100 for r in got)
+
+
 def test_bm25_prefers_rare_terms(spark):
     s = spark.createDataFrame([("d", i, t.split()) for i, t in enumerate(["cat dog", "cat cat", "cat bird", "cat fish"])], "doc_id string, sec_idx int, tokens array<string>")
     q = spark.createDataFrame([("q", ["cat", "bird"])], "qid string, tokens array<string>")
