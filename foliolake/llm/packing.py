@@ -132,7 +132,7 @@ def pieces(docs: DataFrame, *, capacity: int = CAPACITY, separator: int = SEPARA
         for batch in batches:
             rows: list[list] = [[] for _ in range(6)]
             for first, some in blocks([t or "" for t in batch.column("text").to_pylist()]):
-                ids, bounds = coder.encode(some)
+                ids, bounds = coder.encode(some, added=True)
                 ids = np.insert(ids.astype("<u4"), bounds[1:], separator)
                 bounds = bounds + np.arange(len(bounds))
                 for i in range(len(some)):

@@ -4,13 +4,17 @@ Texts are split into pre-tokens with array operations that follow the public
 split pattern (contractions, letters, numbers, other signs, white space), every
 pre-token is hashed, and only pre-tokens that a worker has not met before are
 encoded. Merges never cross pre-tokens, so the ids equal those of a whole-text
-encoding; tests compare both.
+encoding; tests compare both. With ``added``, texts are cut at the added tokens
+of the vocabulary's JSON file first, and each of them is a pre-token of its own.
 """
 
 from __future__ import annotations
 
 import base64
+import json
+import re
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 
@@ -55,17 +59,22 @@ class _Powers:
 _powers = _Powers()
 
 
-def split_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(code points of the joined texts, pre-token starts, text starts with the end appended)."""
-    cp = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")
+def split_points(texts: list[str], added: re.Pattern | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code points of the joined texts, pre-token starts, text starts with the end appended); what ``added`` matches is one pre-token."""
+    joined = "".join(texts)
+    cp = np.frombuffer(joined.encode("utf-32-le"), "<u4")
     n = len(cp)
     at = np.zeros(len(texts) + 1, np.int64)
     np.cumsum([len(t) for t in texts], out=at[1:])
     if not n:
         return cp, np.zeros(0, np.int64), at
     cls = _classes()[cp]
+    whole = np.zeros((0, 2), np.int64)
+    if added is not None and added.search(joined):
+        whole = np.array([(a + m.start(), a + m.end()) for a, t in zip(at.tolist(), texts) for m in added.finditer(t)], np.int64).reshape(-1, 2)
+    edges = np.union1d(at, whole.ravel())  # what is between them is split on its own
     doc_start = np.zeros(n + 1, bool)
-    doc_start[at] = True
+    doc_start[edges] = True
     start = np.empty(n, bool)
     start[0] = True
     np.not_equal(cls[1:], cls[:-1], out=start[1:])
@@ -83,13 +92,15 @@ def split_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if len(quote):
         padded = np.concatenate([cp, np.zeros(3, cp.dtype)])
         a, b = padded[quote + 1], padded[quote + 2]
-        ends = at[np.searchsorted(at, quote, "right")]
+        ends = edges[np.searchsorted(edges, quote, "right")]
         one = np.isin(a, [ord(c) for c in "stmd"]) & (quote + 1 < ends)
         two = ((a == ord("r")) & (b == ord("e")) | (a == ord("v")) & (b == ord("e")) | (a == ord("l")) & (b == ord("l"))) & (quote + 2 < ends)
         for found, size in ((quote[one], 2), (quote[two & ~one], 3)):
             start[found + 1] = False
             after = found + size
             start[after[after < n]] = True
+    for a, b in whole.tolist():
+        start[a + 1 : b] = False
     return cp, np.flatnonzero(start), at
 
 
@@ -115,6 +126,11 @@ class Encoder:
         coding = tiktoken.Encoding("ranks", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.one = coding.encode_ordinary
         self.piece = coding._core_bpe.encode_single_piece
+        file = Path(path).with_suffix(".json")
+        self.added = {t["content"]: t["id"] for t in json.loads(file.read_text())["added_tokens"]} if file.exists() else {}
+        self.pattern = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
+        #: Characters beyond a place that an added token over it may reach.
+        self.reach = max(map(len, self.added), default=1) - 1
         self._forget()
 
     def _forget(self) -> None:
@@ -123,7 +139,7 @@ class Encoder:
         self.offsets, self.known = np.zeros(1 << 14, np.int64), 0
 
     def _learn(self, pieces: list[str]) -> None:
-        coded = [self.piece(p.encode()) for p in pieces]
+        coded = [[self.added[p]] if p in self.added else self.piece(p.encode()) for p in pieces]
         sizes = np.fromiter(map(len, coded), np.int64, len(coded))
         total = int(sizes.sum())
         while self.used + total > len(self.flat):
@@ -137,9 +153,9 @@ class Encoder:
         self.known += len(coded)
         self.used += total
 
-    def pretokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def pretokens(self, texts: list[str], added: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(starts, index of each pre-token's ids, pre-token bounds of the texts, code point bounds of the texts)."""
-        cp, starts, at = split_points(texts)
+        cp, starts, at = split_points(texts, self.pattern if added else None)
         unique, first, inverse = np.unique(hashes(cp, starts), return_index=True, return_inverse=True)
         if self.known + len(unique) > REMEMBER:
             self._forget()
@@ -159,9 +175,9 @@ class Encoder:
         """Tokens of each pre-token."""
         return self.offsets[index + 1] - self.offsets[index]
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[str], added: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in one array, bounds of each text's ids)."""
-        _, index, bounds, _ = self.pretokens(texts)
+        _, index, bounds, _ = self.pretokens(texts, added)
         sizes = self.counts(index)
         ends = np.concatenate([[0], np.cumsum(sizes)])
         take = np.repeat(self.offsets[index] - ends[:-1], sizes) + np.arange(ends[-1])

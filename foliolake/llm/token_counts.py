@@ -108,7 +108,7 @@ class CountedText:
         self.tree = SegmentTree(*(pretokens if pretokens is not None else self._count(text)))
 
     def _count(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        starts, index, _, at = self.coder.pretokens([text])
+        starts, index, _, at = self.coder.pretokens([text], added=True)
         return np.diff(np.append(starts, at[-1])), self.coder.counts(index)
 
     @property
@@ -138,9 +138,9 @@ class CountedText:
             region = self.text[a : b + len(insert) - (stop - start)]
             sizes, counts = self._count(region)
             self.encoded += len(region)
-            # the region's outermost pre-tokens must be as before, else white space or a contraction reaches further
-            head = lo == 0 or self._same_head(tree, lo, sizes, start - a)
-            tail = hi == len(tree.leaves) - 1 or self._same_tail(tree, hi, sizes, before - stop - (before - b))
+            # the region's outermost pre-tokens must be as before, else white space or a contraction reaches further; an added token reaches `reach` characters
+            head = lo == 0 or start - a >= self.coder.reach and self._same_head(tree, lo, sizes, start - a)
+            tail = hi == len(tree.leaves) - 1 or b - stop >= self.coder.reach and self._same_tail(tree, hi, sizes, b - stop)
             if head and tail:
                 break
             grow *= 2
@@ -169,7 +169,7 @@ def count_tokens(docs: DataFrame, *, ranks: str | None = None, ident: str = "doc
         for batch in batches:
             pre, tokens = [], []
             for _, some in blocks([t or "" for t in batch.column("text").to_pylist()]):
-                _, index, bounds, _ = coder.pretokens(some)
+                _, index, bounds, _ = coder.pretokens(some, added=True)
                 ends = np.concatenate([[0], np.cumsum(coder.counts(index))])
                 pre.append(np.diff(bounds))
                 tokens.append(np.diff(ends[bounds]))
@@ -199,7 +199,7 @@ def _follow(ranks: str | None):
             done, whole = [], {}
             at = [i for i, t in enumerate(tags) if t == 0]
             for first, some in blocks([texts[i] or "" for i in at]):  # first counts of many documents at once
-                begin, index, bounds, chars = coder.pretokens(some)
+                begin, index, bounds, chars = coder.pretokens(some, added=True)
                 counts, ends = coder.counts(index), np.append(begin, chars[-1])
                 for j in range(len(some)):
                     a, b = bounds[j], bounds[j + 1]

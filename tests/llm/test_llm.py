@@ -409,6 +409,49 @@ def test_ids_equal_the_tokenizer(tokenizer):
     assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == tokenizer(texts)
 
 
+@pytest.fixture(scope="module")
+def contract():
+    """The tokenizer's default setting, in which added tokens are found in texts."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    return lambda texts: [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+
+
+ADDED = "<|endoftext|>"
+
+
+def test_added_tokens(contract):
+    rng = random.Random(6)
+    signs = [ADDED, ADDED, ADDED, "<|endof", "text|>", "<", "|>", " ", "  ", "\n", "a", "'", "s", "'ll", "é", "7", "!"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 15))) for _ in range(3000)] + [f"abc {ADDED} def", ADDED, ADDED[:5], ADDED[5:]]
+    ids, bounds = encoder().encode(texts, added=True)
+    got = [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])]
+    assert got == contract(texts) and len(got[3000]) == 4 and 50256 in got[3000]
+
+
+def test_packing_of_added_tokens(spark, contract):
+    rows = [(1, f"abc {ADDED} def"), (2, ADDED * 3)]
+    got = {(r.doc_id, r.length, r.ids_crc32) for r in packing.pack(docs(spark, rows), capacity=64).collect()}
+    assert got == {(i, len(x) + 1, zlib.crc32(np.array([*x, 0], "<u4").tobytes())) for (i, _), x in zip(rows, contract([t for _, t in rows]))}
+
+
+def test_counted_added_tokens(spark, contract):
+    rng = random.Random(8)
+    words = [ADDED, "<|", "endof", "text", "|", ">", " ", "   ", "'s", "x", "\n", "!"]
+    for _ in range(300):
+        s = "".join(rng.choice(words) for _ in range(rng.choice((0, 3, 50, 400))))
+        c = token_counts.CountedText(s)
+        for _ in range(6):
+            a, n = rng.randint(0, len(s)), rng.choice((0, 1, 2, 13, 60, 300))
+            new = "".join(rng.choice(words) for _ in range(rng.choice((0, 1, 3, 30))))
+            s = s[:a] + new + s[a + n :]
+            c.edit(a, n, new)
+            assert c.text == s and c.tokens == len(contract([s])[0])
+    assert token_counts.count_tokens(docs(spark, [(1, f"abc {ADDED} def")])).first().n_tokens == 4
+
+
 def test_packing(spark, corpus, tokenizer):
     cap = 64
     rows = [*corpus, (None, "null id"), (5, "tie"), (5, "tie")]
