@@ -11,8 +11,11 @@ from .vectors import similar_pairs
 GAIN = {"child": 0.15, "sibling": 0.10, "semantic": 0.12}
 
 
-def edges(numbered: DataFrame, vectors: DataFrame | None = None, *, threshold: float = 0.68) -> DataFrame:
-    """doc_id, from_idx, to_idx, edge_type, weight: child and parent 1.0, sibling 0.8, semantic by cosine."""
+def edges(numbered: DataFrame, vectors: DataFrame | None = None, *, threshold: float = 0.68, most: int | None = None) -> DataFrame:
+    """doc_id, from_idx, to_idx, edge_type, weight: child and parent 1.0, sibling 0.8, semantic by cosine.
+
+    With ``most``, documents of more sections have no semantic edges (the reference: 1000).
+    """
     tied = numbered.where("parent_idx IS NOT NULL").select("doc_id", F.col("parent_idx").alias("p"), F.col("sec_idx").alias("c"))
     down = tied.select("doc_id", F.col("p").alias("from_idx"), F.col("c").alias("to_idx"), F.lit("child").alias("edge_type"), F.lit(1.0).alias("weight"))
     up = tied.select("doc_id", F.col("c").alias("from_idx"), F.col("p").alias("to_idx"), F.lit("parent").alias("edge_type"), F.lit(1.0).alias("weight"))
@@ -20,7 +23,7 @@ def edges(numbered: DataFrame, vectors: DataFrame | None = None, *, threshold: f
     side = a.join(b, ["doc_id", "p"]).where("from_idx <> to_idx").select("doc_id", "from_idx", "to_idx", F.lit("sibling").alias("edge_type"), F.lit(0.8).alias("weight"))
     out = down.unionByName(up).unionByName(side)
     if vectors is not None:
-        out = out.unionByName(similar_pairs(vectors, threshold).withColumn("edge_type", F.lit("semantic")))
+        out = out.unionByName(similar_pairs(vectors, threshold, most).withColumn("edge_type", F.lit("semantic")))
     return out
 
 

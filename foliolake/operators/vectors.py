@@ -59,11 +59,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, *, where: Column | N
     return top_k(rows.mapInArrow(run, SCHEMA), k)
 
 
-def similar_pairs(vectors: DataFrame, threshold: float = 0.68, most: int | None = 1000, block: int = BLOCK) -> DataFrame:
+def similar_pairs(vectors: DataFrame, threshold: float = 0.68, most: int | None = None, block: int = BLOCK) -> DataFrame:
     """doc_id, from_idx, to_idx, weight: pairs of sections of one document with cosine ``threshold`` or more, both ways.
 
     The sections of a document are dealt into blocks of about ``block`` by hash; every pair of blocks is one
-    matrix product in a task of its own. With ``most``, documents of more sections than that have no pairs.
+    matrix product in a task of its own. With ``most``, documents of more sections
+    than that have no pairs; the reference does so beyond 1000 (retrieval.py).
     """
     counted = vectors.groupBy("doc_id").agg(F.count("*").alias("n"))
     sizes = (counted if most is None else counted.where(F.col("n") <= most)).select("doc_id", F.ceil(F.col("n") / block).cast("int").alias("blocks"))

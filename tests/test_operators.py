@@ -163,6 +163,14 @@ def test_similar_pairs_cross_blocks(spark):
         assert len(got) == len(want) and all(r.weight == pytest.approx(want[r.doc_id, r.from_idx, r.to_idx]) for r in got)
 
 
+def test_large_documents_keep_semantic_edges(spark):
+    levels = spark.createDataFrame([("d", 0, None)], "doc_id string, sec_idx int, parent_idx int")
+    v = spark.createDataFrame([("d", i, [1.0, 0.0] if i in (3, 1000) else [0.0, (-1.0) ** i]) for i in range(1001)], "doc_id string, sec_idx int, embedding array<float>")
+    got = graph.edges(levels, v).where("from_idx IN (3, 1000)").collect()
+    assert sorted((r.from_idx, r.to_idx, r.edge_type, r.weight) for r in got) == [(3, 1000, "semantic", 1.0), (1000, 3, "semantic", 1.0)]
+    assert graph.edges(levels, v, most=1000).count() == 0
+
+
 def test_semantic_edges_by_label_cross_identifiers(spark, data):
     from foliolake import plans
 
