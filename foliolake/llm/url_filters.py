@@ -48,8 +48,10 @@ def keys_of(url: Column) -> Column:
 def intervals(entries: DataFrame) -> DataFrame:
     """list, action, key, since, until (exclusive): when each entry was in force."""
     used = entries.where("key IS NOT NULL AND day IS NOT NULL AND op IN ('add', 'remove')")
+    host = F.substring_index("key", "/", 1)
+    key = F.concat(F.lower(host), F.expr("substring(key, length(substring_index(key, '/', 1)) + 1)"))  # paths keep their case, as in keys_of
     # one event per day first, so the window below has at most as many rows as the history has days
-    daily = used.groupBy("list", "action", F.lower("key").alias("key"), F.col("day").cast("date").alias("day")).agg(F.max("op").alias("op"))
+    daily = used.groupBy("list", "action", key.alias("key"), F.col("day").cast("date").alias("day")).agg(F.max("op").alias("op"))
     w = Window.partitionBy("list", "action", "key").orderBy("day")
     return daily.withColumn("until", F.coalesce(F.lead("day").over(w), F.to_date(F.lit(_FOREVER)))).where("op = 'add'").select("list", "action", "key", F.col("day").alias("since"), "until")
 

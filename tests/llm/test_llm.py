@@ -543,6 +543,14 @@ def test_apply_edits(spark, corpus, tokenizer):
 # URL filters
 
 
+def test_path_rules_keep_their_case(spark):
+    entries = spark.createDataFrame([("l", "block", k, "2023-01-01", "add") for k in ("Example.com/Ads", "Other.ORG")], "list string, action string, key string, day string, op string")
+    urls = ["http://example.com/Ads/x", "http://EXAMPLE.com/Ads", "http://example.com/ads/x", "http://www.other.org/A", "http://example.com/"]
+    pages = spark.createDataFrame([(u, "2023-02-01") for u in urls], "url string, fetched string").withColumn("fetched", F.to_date("fetched"))
+    got = {r.url: r.rule for r in url_filters.evaluate(pages, entries).collect()}
+    assert [got[u] for u in urls] == ["example.com/Ads", "example.com/Ads", None, "other.org", None]
+
+
 @pytest.mark.parametrize("limit", [1000, 0])
 def test_url_filters(spark, limit):
     entries = spark.createDataFrame([("l", "block", "bad.org", "2024-01-10", "add"), ("l", "block", "bad.org", "2024-02-10", "remove"), ("l", "block", "bad.org", "2024-01-10", "add"), ("l", "allow", "ok.bad.org", "2024-01-20", "add"), ("l", "block", "x.net/en/a", "2024-01-01", "add"), ("l", "block", "day.com", "2024-03-01", "add"), ("l", "block", "day.com", "2024-03-01", "remove"), ("m", "allow", "bad.org/p", "2023-01-01", "add"), (None, "block", None, "2024-01-01", "add")], "list string, action string, key string, day string, op string")
