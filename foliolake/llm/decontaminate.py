@@ -1,7 +1,8 @@
 """Benchmark decontamination with suffix arrays over training shards.
 
 Every block of documents gets a suffix array over its words: prefix doubling
-orders all suffixes by their first ``DEPTH`` words. Every suffix of every test
+orders all suffixes by their first ``DEPTH`` words, or by as many as a longer
+window has. Every suffix of every test
 item is then binary-searched in it, one more word at a time, which yields its
 longest verbatim match and all places of it. Items come to the workers in
 blocks of a checked size; each further block is a further pass over the
@@ -35,16 +36,17 @@ BLOCK_BYTES = 32 << 20
 
 
 class Shard:
-    """The suffix array of a block of documents, over word hashes."""
+    """The suffix array of a block of documents, over word hashes, in the order of at least ``depth`` words."""
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], depth: int = DEPTH):
+        self.depth = max(DEPTH, depth)
         words, self.bounds = hash_words(texts, "alnum")
         self.vocabulary, rank = np.unique(words, return_inverse=True)
         self.words = rank.astype(np.int64) + 1
         n = len(self.words)
         self.end = np.repeat(self.bounds[1:], np.diff(self.bounds))  # of the document that a word belongs to
         self.rank, step = self.words, 1
-        while step < DEPTH and n:
+        while step < self.depth and n:
             follow = np.zeros(n, np.int64)
             inside = np.arange(n) + step < self.end
             follow[inside] = self.rank[np.flatnonzero(inside) + step]
@@ -73,11 +75,11 @@ class Shard:
         return lo
 
     def search(self, items: np.ndarray, start: np.ndarray, stop: np.ndarray, want: int | None = None):
-        """Longest matches of item suffixes ``items[start:stop]``, up to ``DEPTH`` words: (length, lo, hi) in the array.
+        """Longest matches of item suffixes ``items[start:stop]``, up to ``depth`` words: (length, lo, hi) in the array.
 
         With ``want`` the range is that of matches of min(want, stop - start) words, empty where there is none.
         """
-        most = np.minimum(stop - start, DEPTH if want is None else want)
+        most = np.minimum(stop - start, self.depth if want is None else want)
         where = np.searchsorted(self.vocabulary, items)
         known = np.zeros(len(items), np.int64)
         if len(self.vocabulary):
@@ -125,7 +127,7 @@ def _item_blocks(items: DataFrame, item: str, text: str, most: int) -> Iterator[
 def longest_matches(docs: DataFrame, items: DataFrame, *, min_words: int = WINDOW, ident: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, item_id, item_word, doc_word, n_words: for every place of the longest matches of item suffixes.
 
-    Matches begin with at least ``min_words`` (at most ``DEPTH``) words in common and are then extended word by word.
+    Matches begin with at least ``min_words`` words in common and are then extended word by word.
     """
     arrow_rows(docs.sparkSession)
     slim = docs.select(F.col(ident).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
@@ -141,7 +143,7 @@ def longest_matches(docs: DataFrame, items: DataFrame, *, min_words: int = WINDO
             owner = np.repeat(np.arange(len(names)), np.diff(bounds))
             for batch in batches:
                 for first, some in byte_blocks(batch.column("text").to_pylist()):
-                    shard = Shard(some)
+                    shard = Shard(some, min_words)
                     length, lo, hi = shard.search(words, start, stop)
                     keep = np.flatnonzero(length >= min_words)
                     which, at = shard.places(lo[keep], hi[keep])
@@ -190,7 +192,7 @@ def _annotate(docs: DataFrame, items: DataFrame, *, window: int, text: str, item
                 counts, hit, who = [], [], []
                 old_spans, old_ids = batch.column(spans).to_pylist(), batch.column(ids).to_pylist()
                 for at0, some in byte_blocks([(t or "").encode() for t in batch.column(text).to_pylist()]):
-                    shard = Shard(some)
+                    shard = Shard(some, window)
                     _, lo, hi = shard.search(words, start, stop, window)
                     which, at = shard.places(lo, hi)
                     doc = np.searchsorted(shard.bounds, at, "right") - 1

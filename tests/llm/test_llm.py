@@ -540,6 +540,21 @@ def test_apply_edits(spark, corpus, tokenizer):
     assert token_counts.apply_edits(docs(spark, rows), e.where("false")).count() == len(rows)
 
 
+def test_windows_beyond_the_depth(spark):
+    rng = random.Random(9)
+    common = [f"w{i}" for i in range(20)]
+    tails = [[f"t{rng.randrange(4)}" for _ in range(20)] for _ in range(60)]
+    rows = [(i, " ".join(common + t)) for i, t in enumerate(tails)]
+    items = spark.createDataFrame([(str(i), " ".join(common + t)) for i, t in enumerate(tails[:30])], "item_id string, text string")
+    for window in (18, 30):
+        of = lambda w: {tuple(w[i : i + window]) for i in range(len(w) - window + 1)}
+        known = [of(common + t) for t in tails[:30]]
+        got = {r.doc_id: r.item_ids for r in decontaminate.hits(docs(spark, rows), items, window=window).collect()}
+        assert got == {i: sorted(str(k) for k, w in enumerate(known) if w & of(common + t)) for i, t in enumerate(tails)}
+    got = {(r.doc_id, r.item_id) for r in decontaminate.longest_matches(docs(spark, rows), items, min_words=40).collect()}
+    assert got == {(i, str(k)) for i, t in enumerate(tails) for k in range(30) if tails[k] == t}
+
+
 # URL filters
 
 
