@@ -38,6 +38,12 @@ def text_fingerprints(sections: DataFrame) -> DataFrame:
     return sections.groupBy("doc_id").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sec_idx", line.alias("line")))), lambda x: x["line"]), "\n").cast("binary"), 256).alias("hash"))
 
 
+def whole_fingerprints(sections: DataFrame) -> DataFrame:
+    """doc_id, hash: over id and a digest of the whole text of each section, so no change is missed; the digests travel, not the texts."""
+    line = F.concat_ws("|", F.col("id"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    return sections.groupBy("doc_id").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sec_idx", line.alias("line")))), lambda x: x["line"]), "\n").cast("binary"), 256).alias("hash"))
+
+
 def stale(current: DataFrame, registry: DataFrame) -> DataFrame:
     """Documents whose fingerprint is not in the registry."""
     return current.join(registry.select("doc_id", "hash"), ["doc_id", "hash"], "left_anti")

@@ -184,6 +184,7 @@ def role_filter(spark, d):
 
 
 def doc_fingerprint(spark, d):
+    """As its SQL, over the length and the first 200 characters of each text; incremental_reindex hashes whole texts."""
     s = table(spark, d, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("sec_idx"), F.concat(F.lit("§"), F.col("doc_id").cast("string")).alias("id"), "text")
     return index.text_fingerprints(s)
 
@@ -192,7 +193,7 @@ def incremental_reindex(spark, d):
     """Sources that changed since the registry was written: there the long French documents had another text."""
     s = table(spark, d, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("sec_idx"), F.concat(F.lit("§"), F.col("doc_id").cast("string")).alias("id"), "text", "lang")
     before = s.withColumn("text", F.when((F.col("lang") == "fr") & (F.length("text") > 8000), F.lit("before")).otherwise(F.col("text")))
-    return index.stale(index.text_fingerprints(s), index.text_fingerprints(before)).select("doc_id")
+    return index.stale(index.whole_fingerprints(s), index.whole_fingerprints(before)).select("doc_id")
 
 
 def postings_index(spark, d):

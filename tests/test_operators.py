@@ -256,6 +256,12 @@ def test_fingerprints(spark):
     assert index.stale(f("new"), f("old")).count() == 1 and index.stale(f("x"), f("x")).count() == 0
 
 
+def test_changes_behind_the_head_are_stale(spark):
+    f = lambda text: index.whole_fingerprints(spark.createDataFrame([("d", 0, "§1", text), ("e", 0, "§1", None)], "doc_id string, sec_idx int, id string, text string"))
+    assert [r.doc_id for r in index.stale(f("x" * 300), f("x" * 299 + "y")).collect()] == ["d"]
+    assert index.stale(f("x" * 300), f("x" * 300)).count() == 0
+
+
 def test_archives_round_trip(spark, tmp_path):
     import json
 
