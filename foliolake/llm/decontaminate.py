@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import Scratch, arrow_rows, fresh
+from .scratch import Scratch, arrow_bytes, fresh
 from .words import byte_blocks, hash_words
 
 NAME = "op1_decontaminate"
@@ -129,7 +129,7 @@ def longest_matches(docs: DataFrame, items: DataFrame, *, min_words: int = WINDO
 
     Matches begin with at least ``min_words`` words in common and are then extended word by word.
     """
-    arrow_rows(docs.sparkSession)
+    arrow_bytes(docs.sparkSession)
     slim = docs.select(F.col(ident).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
     schema = T.StructType([T.StructField("doc_id", docs.schema[ident].dataType), T.StructField("item_id", T.StringType()), *(T.StructField(n, T.LongType()) for n in ("item_word", "doc_word", "n_words"))])
     spark, found = docs.sparkSession, None
@@ -169,7 +169,7 @@ def longest_matches(docs: DataFrame, items: DataFrame, *, min_words: int = WINDO
 def _annotate(docs: DataFrame, items: DataFrame, *, window: int, text: str, item: str, item_text: str, block_bytes: int):
     """``docs`` with (number of words, hit words as spans, item ids) added; the names of the three columns."""
     spark = docs.sparkSession
-    arrow_rows(spark)
+    arrow_bytes(spark)
     n, spans, ids = (fresh(docs, x) for x in ("__words", "__spans", "__items"))
     scratch, step = None, 0
     out = docs.withColumns({n: F.lit(0).cast("long"), spans: F.lit(b""), ids: F.array().cast("array<string>")})

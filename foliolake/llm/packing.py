@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .pretokens import blocks, encoder
-from .scratch import Scratch, arrow_rows
+from .scratch import Scratch, arrow_bytes
 
 NAME = "op3_best_fit_packing"
 CAPACITY, SEPARATOR = 2048, 0
@@ -123,7 +123,7 @@ def locate(arrays: tuple[np.ndarray, ...], length: np.ndarray, rank: np.ndarray)
 
 def pieces(docs: DataFrame, *, capacity: int = CAPACITY, separator: int = SEPARATOR, ranks: str | None = None, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and, for the ranks, the task and the place among its pieces of this length."""
-    arrow_rows(docs.sparkSession)
+    arrow_bytes(docs.sparkSession)
     kind = docs.schema[ident].dataType
     schema = T.StructType([T.StructField("doc_id", kind), *(T.StructField(n, t()) for n, t in (("piece", T.IntegerType), ("start", T.LongType), ("length", T.LongType), ("ids_crc32", T.LongType), ("part", T.IntegerType), ("local", T.LongType)))])
 

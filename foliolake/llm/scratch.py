@@ -14,12 +14,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
+#: Most bytes in an Arrow batch.
+BATCH_BYTES = 4 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by the cluster; a temporary one only where none is named (tests on one machine)."""
+    """The folder named by the cluster; a temporary one only where none is named and all runs on this machine, as in tests."""
     folder = spark.conf.get(_KEY, None)
     if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError(f"set {_KEY} to a folder that every executor reaches")
         folder = "file://" + tempfile.mkdtemp(prefix="foliolake-")
         spark.conf.set(_KEY, folder)
     return folder
@@ -33,12 +37,19 @@ def fresh(df: DataFrame, base: str) -> str:
     return base
 
 
-def arrow_rows(spark: SparkSession, rows: int = 512) -> None:
-    """Documents are long, so few of them go into one Arrow batch."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def arrow_bytes(spark: SparkSession) -> None:
+    """Documents are long, so an Arrow batch has a size in bytes; one value for all operators, as plans run later than they are made."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
+def partitions_for(df: DataFrame, most: int) -> int:
+    """Shuffle partitions for ``df``: the session's number, and more where the plan's size estimate gives each over ``most`` bytes."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    # sources without statistics claim an absurd size, which says nothing
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // most) if size < 1 << 60 else 1)
+
+
 class Scratch:
     """Tables of one run: ``save`` writes and rereads, ``drop`` deletes early, the rest goes at exit."""
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import arrow_rows
+from .scratch import arrow_bytes
 
 NAME = "op7_secret_spans"
 SCOPE = 300
@@ -106,7 +106,7 @@ def _listed(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
 
 def scan(docs: DataFrame, *, scope: int = SCOPE, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, base and linked: spans (start, end, kind, value) of every document, in code points with exclusive ends."""
-    arrow_rows(docs.sparkSession)
+    arrow_bytes(docs.sparkSession)
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("kind", T.StringType()), T.StructField("value", T.StringType())]))
     schema = T.StructType([T.StructField("doc_id", docs.schema[ident].dataType), T.StructField("base", span), T.StructField("linked", span)])
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("value", pa.string())]))
@@ -125,7 +125,7 @@ def scan(docs: DataFrame, *, scope: int = SCOPE, ident: str = "doc_id", text: st
 
 def redact(docs: DataFrame, *, scope: int = SCOPE, text: str = "text", mask: str = "[secret]") -> DataFrame:
     """``docs`` with every reported span of the text replaced by ``mask``; a null text stays null."""
-    arrow_rows(docs.sparkSession)
+    arrow_bytes(docs.sparkSession)
     at = docs.columns.index(text)
 
     def clean(t: str | None) -> str | None:

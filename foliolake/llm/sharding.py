@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import Scratch, arrow_rows
+from .scratch import Scratch, arrow_bytes
 
 NAME = "op8_feistel_shards"
 SHARDS, SEED, ROUNDS = 24, 20240917, 6
@@ -88,7 +88,7 @@ def locate(shard: np.ndarray, slot: np.ndarray, n: int, shards: int, seed: int =
 def shard_rows(docs: DataFrame, *, shards: int = SHARDS, seed: int = SEED, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, row (global number), shard, slot for every row."""
     spark = docs.sparkSession
-    arrow_rows(spark, 10000)
+    arrow_bytes(spark)
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
     slim = docs.select(F.col(ident).alias("doc_id"), (F.octet_length(body) + 8).cast("long").alias("size"), F.crc32(body).alias("text_crc32"))
     ordered = slim.repartitionByRange("doc_id", "size", "text_crc32").sortWithinPartitions("doc_id", "size", "text_crc32")

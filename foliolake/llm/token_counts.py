@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .pretokens import blocks, encoder
-from .scratch import arrow_rows
+from .scratch import arrow_bytes
 
 NAME = "op10_edit_token_counts"
 #: Pre-tokens in a leaf block of the tree.
@@ -161,7 +161,7 @@ class CountedText:
 
 def count_tokens(docs: DataFrame, *, ranks: str | None = None, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_pretokens, n_tokens of every row."""
-    arrow_rows(docs.sparkSession)
+    arrow_bytes(docs.sparkSession)
     schema = T.StructType([T.StructField("doc_id", docs.schema[ident].dataType), T.StructField("n_pretokens", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
     def count(batches):
@@ -227,7 +227,7 @@ def _follow(ranks: str | None):
 
 def apply_edits(docs: DataFrame, edits: DataFrame, *, ranks: str | None = None, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_tokens_edited, n_edits, n_encoded (code points encoded again), n_chars_edited of every row."""
-    arrow_rows(docs.sparkSession)
+    arrow_bytes(docs.sparkSession)
     nothing = F.lit(None)
     kind = docs.schema[ident].dataType
     rows = docs.select(F.col(ident).alias("doc_id"), F.lit(0).alias("tag"), nothing.cast("long").alias("seq"), nothing.cast("long").alias("start"), nothing.cast("long").alias("length"), F.col(text).alias("text"))

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import Scratch, arrow_rows, fresh
+from .scratch import Scratch, arrow_bytes, fresh
 from .words import _powers, _tables, byte_blocks, mix
 
 NAME = "op5_toxicity"
@@ -118,7 +118,7 @@ class Ftrl:
 def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, epochs: int = EPOCHS, ident: str = "doc_id", text: str = "text", label: str = "toxic"):
     """Weights from the labelled rows that are not held out, or None where they lack a class."""
     spark = docs.sparkSession
-    arrow_rows(spark)
+    arrow_bytes(spark)
     known = labels.where(F.col(label).isNotNull() & F.col(ident).isNotNull() & ~held_out(F.col(ident))).groupBy(F.col(ident).alias("i")).agg(F.max(label).cast("int").alias("y"))
     chosen = known.orderBy(F.xxhash64("i"), "i").limit(sample)  # bounded: broadcast below
     rows = docs.select(F.col(ident).alias("i"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t")).join(F.broadcast(chosen), "i").dropDuplicates(["i"])
@@ -150,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, epochs: int
 
 def score(docs: DataFrame, model, *, text: str = "text", into: str = "score") -> DataFrame:
     """``docs`` with the probability of label 1 added."""
-    arrow_rows(docs.sparkSession)
+    arrow_bytes(docs.sparkSession)
     if model is None:
         return docs.withColumn(into, F.lit(0.0))
     held = docs.sparkSession.sparkContext.broadcast(model)
