@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import Scratch, arrow_rows, fresh
+from .scratch import Scratch, arrow_bytes, fresh
 
 PREFIX = 64
 NAME = "op9_exact_dedup"
@@ -45,7 +45,7 @@ def _sorted(df: DataFrame, text: str, ident: str, keep: str) -> tuple[DataFrame,
 def exact_groups(docs: DataFrame, *, ident: str = "doc_id", text: str = "text", keep: str = "max", normalise=lambda c: c) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256 (of the normalised text)."""
     spark = docs.sparkSession
-    arrow_rows(spark)
+    arrow_bytes(spark)
     id_type = docs.schema[ident].dataType
     slim = docs.select(F.col(ident).alias("doc_id"), normalise(F.coalesce(F.col(text), F.lit(""))).alias("text"))
     ordered, h = _sorted(slim, "text", "doc_id", keep)
@@ -118,7 +118,7 @@ def _id_runs(batches: Iterator[pa.RecordBatch], h: str) -> Iterator[tuple[list,
 def exact_dedup(docs: DataFrame, *, ident: str = "doc_id", text: str = "text", keep: str = "max") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; one per distinct text."""
     spark = docs.sparkSession
-    arrow_rows(spark)
+    arrow_bytes(spark)
     norm = fresh(docs, "__norm")
     ordered, h = _sorted(docs.withColumn(norm, F.coalesce(F.col(text), F.lit(""))), norm, ident, keep)
     sha, edge, pid = fresh(docs, "__sha"), fresh(docs, "__edge"), fresh(docs, "__pid")
@@ -126,34 +126,39 @@ def exact_dedup(docs: DataFrame, *, ident: str = "doc_id", text: str = "text", k
     schema = T.StructType([*docs.schema.fields, T.StructField(sha, T.StringType()), T.StructField(edge, T.BooleanType()), T.StructField(pid, T.IntegerType())])
 
     def scan(batches):
-        # a run is told by its first row; held winners wait until their hash value ends
+        # a run is told by its first row; only winners of the last hash value wait, copied out of their batches
         first_hash = last = None
-        held: list[tuple] = []
+        held: list[tuple[pa.RecordBatch, list[int], list[str]]] = []
         me = TaskContext.get().partitionId()
 
-        def emit(rows, edge_of):
-            if rows:
-                table = pa.Table.from_batches([r[0] for r in rows]).combine_chunks().select(columns)
-                extra = [pa.array([r[2] for r in rows], pa.string()), pa.array([edge_of(r) for r in rows], pa.bool_()), pa.array([me] * len(rows), pa.int32())]
-                for name, a in zip((sha, edge, pid), extra):
-                    table = table.append_column(name, a)
-                yield from table.to_batches()
+        def emit(edges):
+            for rows, hashes, shas in held:
+                extra = [pa.array(shas, pa.string()), pa.array([h in edges for h in hashes], pa.bool_()), pa.array([me] * len(hashes), pa.int32())]
+                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in columns), *extra], names=schema.names)
 
         for batch in batches:
             texts, hashes = batch.column(norm), batch.column(h).to_pylist()
+            won, shas = [], []
             for i, hv in enumerate(hashes):
                 t = texts[i].as_py()
                 if last is None:
                     first_hash = hv
                 elif last == (hv, t):
                     continue
-                elif last[0] != hv and len(held) >= 256:
-                    yield from emit(held, lambda r: r[1] == first_hash)
-                    held = []
                 last = (hv, t)
-                held.append((batch.slice(i, 1), hv, hashlib.sha256(t.encode()).hexdigest()))
+                won.append(i)
+                shas.append(hashlib.sha256(t.encode()).hexdigest())
+            if not won:
+                continue
+            rows, hashes = batch.take(pa.array(won)), [hashes[i] for i in won]
+            ended = next((i for i in range(len(won), 0, -1) if hashes[i - 1] != last[0]), 0)
+            if ended or held and held[-1][1][-1] != last[0]:
+                held.append((rows.slice(0, ended), hashes[:ended], shas[:ended]))
+                yield from emit((first_hash,))
+                held, rows, hashes, shas = [], rows.slice(ended), hashes[ended:], shas[ended:]
+            held.append((rows, hashes, shas))
         if last is not None:
-            yield from emit(held, lambda r: r[1] in (first_hash, last[0]))
+            yield from emit((first_hash, last[0]))
 
     won = Scratch(spark).save(ordered.mapInArrow(scan, schema), "winners")
     order = F.col(ident).desc_nulls_last() if keep == "max" else F.col(ident).asc_nulls_last()
