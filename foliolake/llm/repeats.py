@@ -18,10 +18,15 @@ what holds for the sample is induced for the suffixes between:
 Tuples are packed and travel through external sorts and shuffles on disk;
 before they do, equal tuples of one document group become one, so a string that
 a third of all documents share costs a tuple per group of documents and not
-per document. No step holds more than a bucket of tuples or one document.
+per document. There are ``FINE`` buckets and groups for each partition, which a
+task works off one after the other, and the partitions grow with the bytes of
+the input. A chosen string with very many different segments is found in a
+sample of the documents: its tuples are spread by the hash of the segment and
+its windows by the hash of the window, so no bucket holds them all.
 
 Equality of windows is by 64-bit hashes. Defined cases: null and empty texts
-have no bytes; texts below ``LENGTH`` bytes keep everything; rows with a null
+have no bytes; texts below ``LENGTH`` bytes keep everything; very long texts are
+worked on in stretches of ``BLOCK`` bytes that overlap by a window; rows with a null
 identifier neither lose bytes nor count as a source; rows with one identifier
 never lose bytes to each other. Empty tables give empty results.
 """
@@ -35,11 +40,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, arrow_rows
-from .words import byte_blocks, mix
+from .scratch import Scratch, arrow_bytes, partitions_for
+from .words import mix
 
 NAME = "op4_repeated_bytes"
 LENGTH, GRAM = 50, 20
+#: Buckets and document groups in a partition, bytes in a stretch of text, tuples held before they are packed.
+FINE, BLOCK, HOLD = 8, 1 << 20, 500_000
+#: Bytes of input in a partition at most; one document of SAMPLE is looked at for strings with more than HOT segments.
+PART_BYTES, SAMPLE, HOT = 48 << 20, 64, 200_000
 _BASE = 0xD1342543DE82EF95
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _VALUE = np.random.default_rng(23).integers(1, 1 << 63, 256, np.int64).astype(np.uint64)
@@ -106,6 +115,32 @@ class Bytes:
         return np.searchsorted(self.bounds, lo, "right") - 1, lo, hi, self.hash(at, at + gram), whole
 
 
+def _stretches(texts: list[bytes], block: int = BLOCK):
+    """(rows, offsets, bytes) of stretches of the texts whose windows are all windows of the texts, about ``block`` bytes at a time."""
+    rows, base, held, size = [], [], [], 0
+    for i, t in enumerate(texts):
+        for a in range(0, len(t) - LENGTH + 1, block):
+            if size + min(len(t) - a, block) > block and held:
+                yield np.array(rows), np.array(base), held
+                rows, base, held, size = [], [], [], 0
+            rows.append(i)
+            base.append(a)
+            held.append(t[a : a + block + LENGTH - 1])
+            size += len(held[-1])
+    if held:
+        yield np.array(rows), np.array(base), held
+
+
+def _bucket(chosen: np.ndarray, whole: np.ndarray, buckets: int, hot: np.ndarray) -> np.ndarray:
+    """The bucket of the chosen string; for a hot one, a bucket beyond these by the other hash."""
+    out = (chosen % np.uint64(buckets)).astype(np.int64)
+    if len(hot):
+        where = np.minimum(np.searchsorted(hot, chosen), len(hot) - 1)
+        split = hot[where] == chosen
+        out[split] = buckets + (whole[split] % np.uint64(buckets)).astype(np.int64)
+    return out
+
+
 def _pack(*columns: np.ndarray) -> bytes:
     return b"".join(c.tobytes() for c in columns)
 
@@ -127,7 +162,7 @@ def _emit(names: list[str], kinds, rows: list[tuple]):
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * len(names), kinds)], names=names)
 
 
-def _tuples(buckets: int, hold: int = 1_500_000):
+def _tuples(buckets: int, hot, block: int, hold: int = HOLD):
     """Documents to packed tuples (bucket, g, blob); equal tuples of a document group are merged while they are held."""
 
     def flush(held):
@@ -137,7 +172,7 @@ def _tuples(buckets: int, hold: int = 1_500_000):
         first = np.flatnonzero(np.append(True, (whole[1:] != whole[:-1]) | (g[1:] != g[:-1])))
         lo, hi = np.minimum.reduceat(lo, first), np.maximum.reduceat(hi, first)
         g, chosen, whole = g[first], chosen[first], whole[first]
-        bucket = (chosen % np.uint64(buckets)).astype(np.int64)
+        bucket = _bucket(chosen, whole, buckets, hot.value)
         order = np.lexsort((lo, g, bucket))
         g, chosen, whole, lo, hi, bucket = (c[order] for c in (g, chosen, whole, lo, hi, bucket))
         cut = np.flatnonzero(np.append(True, (bucket[1:] != bucket[:-1]) | (g[1:] != g[:-1])))
@@ -149,10 +184,10 @@ def _tuples(buckets: int, hold: int = 1_500_000):
         held, count = [], 0
         for batch in batches:
             ids, groups = batch.column("id").to_numpy(), batch.column("g").to_numpy()
-            for at0, some in byte_blocks(batch.column("t").to_pylist()):
+            for rows, _, some in _stretches(batch.column("t").to_pylist(), block):
                 text, _, _, chosen, whole = Bytes(some).segments()
-                ident = ids[at0 + text]
-                held.append((groups[at0 + text].astype(np.int64), chosen, whole, ident, ident))
+                ident = ids[rows[text]]
+                held.append((groups[rows[text]], chosen, whole, ident, ident))
                 count += len(text)
                 if count >= hold:
                     yield flush(held)
@@ -163,6 +198,26 @@ def _tuples(buckets: int, hold: int = 1_500_000):
     return run
 
 
+def _chosen(batches):
+    """(chosen string, segment) of the distinct segments of each stretch."""
+    for batch in batches:
+        for _, _, some in _stretches(batch.column("t").to_pylist()):
+            _, _, _, chosen, whole = Bytes(some).segments()
+            _, first = np.unique(whole, return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(chosen[first].view(np.int64)), pa.array(whole[first].view(np.int64))], names=["chosen", "whole"])
+
+
+def hot_strings(docs: DataFrame, sample: int, hot: int, most: int = 1 << 20) -> np.ndarray:
+    """Sorted hashes of the chosen strings that, by a sample of documents, have more than ``hot`` segments.
+
+    The ``most`` with the most segments are taken, so 8 MB are broadcast at the most; the others stay in one bucket each.
+    """
+    some = docs.where(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(sample)) == 0).select("t")
+    count = some.mapInArrow(_chosen, "chosen long, whole long").distinct().groupBy("chosen").count()
+    found = count.where(F.col("count") * sample > hot).orderBy(F.desc("count"), "chosen").limit(most)
+    return np.sort(np.array([r.chosen for r in found.collect()], np.int64).view(np.uint64))
+
+
 def _runs(batches, column: str):
     """Streams the rows of sorted batches by runs of ``column``, one list of row dictionaries each."""
     now, rows = None, []
@@ -177,31 +232,39 @@ def _runs(batches, column: str):
         yield now, rows
 
 
-def _settle(batches):
-    """Packed tuples of a bucket to replies for each document group."""
-    for _, rows in _runs(batches, "bucket"):
-        blobs = [_unpack(r["blob"], *_TUPLE) for r in rows]
-        g = np.repeat([r["g"] for r in rows], [len(b[0]) for b in blobs])
-        chosen, whole, lo, hi = map(np.concatenate, zip(*blobs))
-        order = np.lexsort((whole, chosen))
-        g, chosen, whole, lo, hi = (c[order] for c in (g, chosen, whole, lo, hi))
-        top = np.append(True, chosen[1:] != chosen[:-1])
-        seg = top | np.append(True, whole[1:] != whole[:-1])
-        group, segment = np.cumsum(top) - 1, np.cumsum(seg) - 1
-        first = np.flatnonzero(top)
-        least, most = np.minimum.reduceat(lo, first), np.maximum.reduceat(hi, first)
-        distinct = np.add.reduceat(seg.astype(np.int64), first)
-        mine = np.minimum.reduceat(lo, np.flatnonzero(seg))[segment]
-        wanted = ((distinct > 1) & (least < most))[group]
-        tell = np.flatnonzero((hi > mine) | wanted & (lo == mine))
-        tell = tell[np.argsort(g[tell], kind="stable")]
-        if len(tell):
-            cut = np.flatnonzero(np.append(True, g[tell][1:] != g[tell][:-1]))
-            out = []
-            for a, b in zip(cut, np.append(cut[1:], len(tell))):
-                at = tell[a:b]
-                out.append((int(g[at[0]]), _pack(whole[at], mine[at], wanted[at].astype("u1"))))
-            yield _emit(["g", "blob"], (pa.int32(), pa.binary()), out)
+def _settle(buckets: int):
+    """Packed tuples of a bucket to replies for each document group; hot strings are always undecided."""
+
+    def run(batches):
+        for bucket, rows in _runs(batches, "bucket"):
+            yield from _replies(rows, bucket >= buckets)
+
+    return run
+
+
+def _replies(rows: list[dict], hot: bool):
+    blobs = [_unpack(r["blob"], *_TUPLE) for r in rows]
+    g = np.repeat([r["g"] for r in rows], [len(b[0]) for b in blobs])
+    chosen, whole, lo, hi = map(np.concatenate, zip(*blobs))
+    order = np.lexsort((whole, chosen))
+    g, chosen, whole, lo, hi = (c[order] for c in (g, chosen, whole, lo, hi))
+    top = np.append(True, chosen[1:] != chosen[:-1])
+    seg = top | np.append(True, whole[1:] != whole[:-1])
+    group, segment = np.cumsum(top) - 1, np.cumsum(seg) - 1
+    first = np.flatnonzero(top)
+    least, most = np.minimum.reduceat(lo, first), np.maximum.reduceat(hi, first)
+    distinct = np.add.reduceat(seg.astype(np.int64), first)
+    mine = np.minimum.reduceat(lo, np.flatnonzero(seg))[segment]
+    wanted = ((distinct > 1) & (least < most) | hot)[group]
+    tell = np.flatnonzero((hi > mine) | wanted & (lo == mine))
+    tell = tell[np.argsort(g[tell], kind="stable")]
+    if len(tell):
+        cut = np.flatnonzero(np.append(True, g[tell][1:] != g[tell][:-1]))
+        out = []
+        for a, b in zip(cut, np.append(cut[1:], len(tell))):
+            at = tell[a:b]
+            out.append((int(g[at[0]]), _pack(whole[at], mine[at], wanted[at].astype("u1"))))
+        yield _emit(["g", "blob"], (pa.int32(), pa.binary()), out)
 
 
 def _spans(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
@@ -212,7 +275,7 @@ def _spans(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     return np.stack([start[new], reach[np.append(new[1:], len(start)) - 1]], 1).astype("<i8")
 
 
-def _decide(buckets: int):
+def _decide(buckets: int, hot, block: int):
     """Replies, then documents, of each group: spans that are settled and bytes of undecided segments."""
 
     def run(batches):
@@ -236,33 +299,49 @@ def _decide(buckets: int):
                 while stop < len(kind) and kind[stop] == 1 and groups[stop] == now:
                     stop += 1
                 out = []
-                for at0, some in byte_blocks(texts[at:stop]):
+                for rows, base, some in _stretches(texts[at:stop], block):
                     b = Bytes(some)
                     text, lo, hi, chosen, whole = b.segments()
-                    own, mark = (np.array(c[at + at0 : at + at0 + len(some)], np.int64) for c in (ids, marks))
+                    own, mark = (np.array(c[at:stop], np.int64)[rows] for c in (ids, marks))
                     place = np.searchsorted(ready[0], whole)
                     known = np.flatnonzero(place < len(ready[0]))
                     known = known[ready[0][place[known]] == whole[known]]
                     least, ask = ready[1][place[known]], ready[2][place[known]]
                     ident = own[text[known]]
                     full = known[least < ident]
+                    shift = base - b.bounds[:-1]  # from a place in the stretches to one in its text
                     cut = np.searchsorted(text[full], np.arange(len(some) + 1))
-                    for i in range(len(some)):
-                        if cut[i] < cut[i + 1]:
-                            f = full[cut[i] : cut[i + 1]]
-                            out.append((1, None, now, int(own[i]), int(mark[i]), _spans(lo[f] - b.bounds[i], hi[f] + LENGTH - b.bounds[i]).tobytes()))
+                    for i in np.flatnonzero(cut[:-1] < cut[1:]).tolist():
+                        f = full[cut[i] : cut[i + 1]]
+                        out.append((1, None, now, int(own[i]), int(mark[i]), _spans(lo[f] + shift[i], hi[f] + LENGTH + shift[i]).tobytes()))
                     send = known[(ask > 0) & (least == ident)]
-                    if len(send):
-                        bucket = (chosen[send] % np.uint64(buckets)).astype(np.int64)
-                        order = np.argsort(bucket, kind="stable")
-                        send, bucket = send[order], bucket[order]
-                        cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-                        raw = b.data
-                        for a, e in zip(cut, np.append(cut[1:], len(send))):
-                            s = send[a:e]
-                            size = (hi[s] - lo[s] + LENGTH).astype("<u2")
-                            head = _pack(np.array([len(s)], "<i8"), own[text[s]], mark[text[s]], lo[s] - b.bounds[text[s]], size)
-                            out.append((2, int(bucket[a]), now, None, None, head + b"".join(raw[x : y + LENGTH].tobytes() for x, y in zip(lo[s].tolist(), hi[s].tolist()))))
+                    if not len(send):
+                        continue
+                    bucket = _bucket(chosen[send], whole[send], buckets, hot.value)
+                    split = send[bucket >= buckets]
+                    if len(split):  # the windows of hot strings travel one by one
+                        size = hi[split] - lo[split] + 1
+                        each = np.repeat(split, size)
+                        start = np.repeat(lo[split], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                        h = b.hash(start, start + LENGTH)
+                        column = (h, own[text[each]], mark[text[each]], start + shift[text[each]])
+                        home = buckets + (h % np.uint64(buckets)).astype(np.int64)
+                        order = np.argsort(home, kind="stable")
+                        home, column = home[order], [c[order] for c in column]
+                        cut = np.flatnonzero(np.append(True, home[1:] != home[:-1]))
+                        out += [(2, int(home[a]), now, None, None, _pack(*(c[a:e] for c in column))) for a, e in zip(cut, np.append(cut[1:], len(home)))]
+                    send, bucket = send[bucket < buckets], bucket[bucket < buckets]
+                    if not len(send):
+                        continue
+                    order = np.argsort(bucket, kind="stable")
+                    send, bucket = send[order], bucket[order]
+                    cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+                    raw = b.data
+                    for a, e in zip(cut, np.append(cut[1:], len(send))):
+                        s = send[a:e]
+                        size = (hi[s] - lo[s] + LENGTH).astype("<u2")
+                        head = _pack(np.array([len(s)], "<i8"), own[text[s]], mark[text[s]], lo[s] + shift[text[s]], size)
+                        out.append((2, int(bucket[a]), now, None, None, head + b"".join(raw[x : y + LENGTH].tobytes() for x, y in zip(lo[s].tolist(), hi[s].tolist()))))
                 if out:
                     yield _emit(["kind", "bucket", "g", "id", "r", "blob"], (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), out)
                 at = stop
@@ -270,38 +349,54 @@ def _decide(buckets: int):
     return run
 
 
-def _compare(batches):
-    """Bytes of the undecided segments of a bucket to spans of windows that occur in a smaller document."""
-    for _, rows in _runs(batches, "bucket"):
-        ident, mark, lo, group, size, raw = [], [], [], [], [], []
-        for r in rows:
-            blob = r["blob"]
-            n = int(np.frombuffer(blob, "<i8", 1)[0])
-            ident.append(np.frombuffer(blob, "<i8", n, 8))
-            mark.append(np.frombuffer(blob, "<i8", n, 8 + 8 * n))
-            lo.append(np.frombuffer(blob, "<i8", n, 8 + 16 * n))
-            size.append(np.frombuffer(blob, "<u2", n, 8 + 24 * n))
-            raw.append(blob[8 + 26 * n :])
-            group.append(np.full(n, r["g"]))
-        ident, mark, lo, size, group = map(np.concatenate, (ident, mark, lo, size, group))
-        b = Bytes([b"".join(raw)])
-        b.bounds = np.concatenate([[0], np.cumsum(size.astype(np.int64))])
-        start = b.windows(LENGTH)
-        owner = np.searchsorted(b.bounds, start, "right") - 1
-        h, doc = b.hash(start, start + LENGTH), ident[owner]
-        order = np.argsort(h)
-        h = h[order]
-        first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-        least = np.repeat(np.minimum.reduceat(doc[order], first), np.diff(np.append(first, len(h))))
-        hit = order[least < doc[order]]
-        if not len(hit):
-            continue
-        doc, row, g, begin = doc[hit], mark[owner[hit]], group[owner[hit]], start[hit] - b.bounds[owner[hit]] + lo[owner[hit]]
-        order = np.lexsort((row, doc))
-        doc, row, g, begin = doc[order], row[order], g[order], begin[order]
-        cut = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (row[1:] != row[:-1])))
-        out = [(int(g[a]), int(doc[a]), int(row[a]), _spans(begin[a:e], begin[a:e] + LENGTH).tobytes()) for a, e in zip(cut, np.append(cut[1:], len(doc)))]
-        yield _emit(["g", "id", "r", "blob"], (pa.int32(), pa.int64(), pa.int64(), pa.binary()), out)
+def _compare(buckets: int):
+    """Undecided segments, or windows of hot strings, of a bucket to spans of windows that occur in a smaller document."""
+
+    def run(batches):
+        for bucket, rows in _runs(batches, "bucket"):
+            h, doc, row, g, begin = _loose(rows) if bucket >= buckets else _windows(rows)
+            order = np.argsort(h)
+            h = h[order]
+            first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+            least = np.repeat(np.minimum.reduceat(doc[order], first), np.diff(np.append(first, len(h))))
+            hit = order[least < doc[order]]
+            if not len(hit):
+                continue
+            doc, row, g, begin = doc[hit], row[hit], g[hit], begin[hit]
+            order = np.lexsort((row, doc))
+            doc, row, g, begin = doc[order], row[order], g[order], begin[order]
+            cut = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (row[1:] != row[:-1])))
+            out = [(int(g[a]), int(doc[a]), int(row[a]), _spans(begin[a:e], begin[a:e] + LENGTH).tobytes()) for a, e in zip(cut, np.append(cut[1:], len(doc)))]
+            yield _emit(["g", "id", "r", "blob"], (pa.int32(), pa.int64(), pa.int64(), pa.binary()), out)
+
+    return run
+
+
+def _windows(rows: list[dict]) -> tuple[np.ndarray, ...]:
+    """(hash, document, row, group, start) of all windows of packed segments."""
+    ident, mark, lo, group, size, raw = [], [], [], [], [], []
+    for r in rows:
+        blob = r["blob"]
+        n = int(np.frombuffer(blob, "<i8", 1)[0])
+        ident.append(np.frombuffer(blob, "<i8", n, 8))
+        mark.append(np.frombuffer(blob, "<i8", n, 8 + 8 * n))
+        lo.append(np.frombuffer(blob, "<i8", n, 8 + 16 * n))
+        size.append(np.frombuffer(blob, "<u2", n, 8 + 24 * n))
+        raw.append(blob[8 + 26 * n :])
+        group.append(np.full(n, r["g"]))
+    ident, mark, lo, size, group = map(np.concatenate, (ident, mark, lo, size, group))
+    b = Bytes([b"".join(raw)])
+    b.bounds = np.concatenate([[0], np.cumsum(size.astype(np.int64))])
+    start = b.windows(LENGTH)
+    owner = np.searchsorted(b.bounds, start, "right") - 1
+    return b.hash(start, start + LENGTH), ident[owner], mark[owner], group[owner], start - b.bounds[owner] + lo[owner]
+
+
+def _loose(rows: list[dict]) -> tuple[np.ndarray, ...]:
+    """The same of windows that were packed one by one."""
+    each = [_unpack(r["blob"], "<u8", "<i8", "<i8", "<i8") for r in rows]
+    h, doc, mark, start = map(np.concatenate, zip(*each))
+    return h, doc, mark, np.repeat([r["g"] for r in rows], [len(e[0]) for e in each]), start
 
 
 def _cut(batches):
@@ -329,28 +424,29 @@ def _cut(batches):
             yield _emit(["id", "n_bytes", "spans", "kept"], (pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.binary()), out)
 
 
-def repeated(docs: DataFrame, *, ident: str = "doc_id", text: str = "text") -> DataFrame:
+def repeated(docs: DataFrame, *, ident: str = "doc_id", text: str = "text", sample: int = SAMPLE, hot: int = HOT, block: int = BLOCK) -> DataFrame:
     """id, n_bytes, spans (removed byte ranges) and kept (remaining bytes) of every row; identifiers are integers."""
     spark = docs.sparkSession
-    arrow_rows(spark, 256)
+    arrow_bytes(spark)
     scratch = Scratch(spark)
-    groups = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = groups
+    parts = partitions_for(docs, PART_BYTES)
+    groups = buckets = parts * FINE
     slim = docs.select(F.col(ident).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
     slim = slim.withColumn("r", F.xxhash64("t"))  # tells rows apart that share an identifier
     slim = slim.withColumn("g", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int"))
     named = slim.where("id IS NOT NULL")
+    held = spark.sparkContext.broadcast(hot_strings(named, sample, hot))
     # documents of one group meet in one task, where their equal tuples are merged before they travel
-    tuples = named.repartition(groups, "g").mapInArrow(_tuples(buckets), "bucket int, g int, blob binary")
-    replies = scratch.save(tuples.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_settle, "g int, blob binary"), "replies")
+    tuples = named.repartition(parts, "g").sortWithinPartitions("g").mapInArrow(_tuples(buckets, held, block), "bucket int, g int, blob binary")
+    replies = scratch.save(tuples.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_settle(buckets), "g int, blob binary"), "replies")
     asked = replies.select(F.lit(0).alias("kind"), "g", F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("r"), F.col("blob").alias("t"))
-    mixed = asked.unionByName(named.select(F.lit(1).alias("kind"), "g", "id", "r", "t")).repartition(groups, "g").sortWithinPartitions("g", "kind")
-    decided = scratch.save(mixed.mapInArrow(_decide(buckets), "kind int, bucket int, g int, id long, r long, blob binary"), "decided")
+    mixed = asked.unionByName(named.select(F.lit(1).alias("kind"), "g", "id", "r", "t")).repartition(parts, "g").sortWithinPartitions("g", "kind")
+    decided = scratch.save(mixed.mapInArrow(_decide(buckets, held, block), "kind int, bucket int, g int, id long, r long, blob binary"), "decided")
     scratch.drop("replies")
-    found = decided.where("kind = 2").select("bucket", "g", "blob").repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_compare, "g int, id long, r long, blob binary")
+    found = decided.where("kind = 2").select("bucket", "g", "blob").repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_compare(buckets), "g int, id long, r long, blob binary")
     found = scratch.save(found, "found")
     spans = decided.where("kind = 1").select("g", "id", "r", "blob").unionByName(found).select(F.lit(0).alias("kind"), "g", "id", "r", F.col("blob").alias("t"))
-    final = spans.unionByName(slim.select(F.lit(1).alias("kind"), F.coalesce("g", F.lit(0)).alias("g"), "id", "r", "t")).repartition(groups, "g", "id").sortWithinPartitions("id", "r", "kind")
+    final = spans.unionByName(slim.select(F.lit(1).alias("kind"), F.coalesce("g", F.lit(0)).alias("g"), "id", "r", "t")).repartition(parts, "g", "id").sortWithinPartitions("id", "r", "kind")
     return final.mapInArrow(_cut, "id long, n_bytes long, spans array<array<long>>, kept binary")
 
 

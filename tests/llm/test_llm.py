@@ -121,6 +121,14 @@ def test_near_chain_through_second_round(spark):
     assert got == brute_components(rows)
 
 
+def test_near_blocks_of_a_bucket(spark, corpus, monkeypatch):
+    """A bucket of many blocks gives the links of one block, and a full bit table only costs work."""
+    monkeypatch.setattr(near_dedup._in_cells, "__defaults__", (3,))
+    monkeypatch.setattr(near_dedup, "BITS", 64)
+    got = {r.id: (r.n, r.component) for r in near_dedup.near_groups(docs(spark, corpus)).collect()}
+    assert got == brute_components(corpus)
+
+
 def test_near_edge_cases(spark):
     rows = [(None, "a b c d e f", "x"), (7, "a b c d e f", "y"), (7, "a b c d e f", "y"), (3, None, "z"), (4, "", "z"), (9, "A B  C d e\nf", "q")]
     df = docs(spark, rows, "doc_id long, text string, __id string")
@@ -132,11 +140,11 @@ def test_near_edge_cases(spark):
 
 def test_pigeonhole_finds_all_pairs_within_the_distance():
     rng = np.random.default_rng(0)
-    a = rng.integers(0, 1 << 16, (200, near_dedup.K)).astype(np.uint16)
+    a = rng.integers(0, 1 << 32, (200, near_dedup.K)).astype(np.uint32)
     b = a.copy()
     for row in b:
         at = rng.choice(near_dedup.K, near_dedup.T, replace=False)
-        row[at] ^= 1 + rng.integers(0, 1 << 15, len(at)).astype(np.uint16)
+        row[at] ^= 1 + rng.integers(0, 1 << 31, len(at)).astype(np.uint32)
     keys = near_dedup.index_keys(a), near_dedup.index_keys(b)
     assert ((keys[0] == keys[1]).any(1)).all()
 
@@ -212,6 +220,30 @@ def test_repeats(spark, corpus):
     assert got == brute_repeats(rows)
 
 
+@pytest.mark.parametrize("hot", [5, 10**9])
+def test_repeats_of_a_phrase_that_all_documents_share(spark, hot):
+    """With 5, the strings chosen in the phrase are split by segment and window; else they stay in one bucket."""
+    rng = random.Random(3)
+    noise = lambda: "".join(rng.choice("abcd ") for _ in range(rng.randint(0, 60)))
+    rows = [(i, f"{noise()}the forty bytes of a phrase all rows share{noise()}") for i in range(300)]
+    rows += [(1000 + i, t) for i, (_, t) in enumerate(rows[:40])]
+    got = {r.id: (r.n_bytes, sum(e - a for a, e in r.spans), len(r.spans), bytes(r.kept)) for r in repeats.repeated(docs(spark, rows), sample=1, hot=hot).collect()}
+    assert got == brute_repeats(rows)
+    named = docs(spark, rows).select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("t"))
+    assert (len(repeats.hot_strings(named, 1, hot)) > 0) == (hot == 5)
+
+
+def test_repeats_of_long_texts(spark):
+    """Texts of many stretches: a stretch has 2000 bytes here, so copies are cut at other places than their originals."""
+    rng = random.Random(4)
+    long = "".join(rng.choice("abcdefgh") for _ in range(30000))
+    texts = [long, long[777:25001], "x" * 9000, long[:100] + "x" * 4321, "y" + long]
+    assert max(len(some[0]) for _, _, some in repeats._stretches([long.encode()], 2000)) == 2000 + repeats.LENGTH - 1
+    rows = list(enumerate(texts))
+    got = {r.id: (r.n_bytes, sum(e - a for a, e in r.spans), len(r.spans), bytes(r.kept)) for r in repeats.repeated(docs(spark, rows), block=2000).collect()}
+    assert got == brute_repeats(rows)
+
+
 def test_repeats_edge_cases(spark):
     long = "the same sixty characters or more are in all of these rows here, yes"
     rows = [(None, long), (5, long), (5, long), (5, "other " + long), (9, long), (None, None), (1, "")]
