@@ -2,7 +2,7 @@
 
 Every document is its set of distinct word shingles. Documents with one set are
 one class, whose smallest identifier stands for it, so thousands of copies are
-one row from here on. Signatures have ``K`` minima of ``16`` bits each. They
+one row from here on. Signatures have ``K`` minima of ``32`` bits each. They
 are cut into chunks of three; a pair that differs in at most ``T`` = 23 of the
 36 places has, by the pigeonhole principle, a chunk with at most one error, so
 indexing each chunk once for every place that may be wrong finds all pairs
@@ -22,7 +22,10 @@ What shares an index key is narrowed by exact tests before any pair is made:
 
 Links are confirmed on the full sets. No number of partners or candidates is
 capped. Keys are range-partitioned together with the identifier, so a key that
-a third of all rows has is spread over many partitions.
+a third of all rows has is spread over many partitions; the second round cuts
+its bucket into blocks and compares each pair of blocks in a task of its own.
+Sets are computed where the documents are read, for the candidates that a bit
+table of at most ``BITS`` bits lets through, so texts are never shuffled.
 
 Defined cases: null and empty texts (or white space alone) have an empty set,
 are linked with nothing and are kept. Rows with a null identifier are left out
@@ -41,12 +44,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import Scratch, arrow_rows, fresh
+from .scratch import Scratch, arrow_bytes, fresh
 from .words import byte_blocks, hash_words, mix
 
 NAME = "op6_minhash_links"
 SHINGLE, K, CHUNK, T = 5, 36, 3, 23
 PERCENT = 70
+#: Most bits of the broadcast table of candidates; beyond it, more sets are computed that a join then drops.
+BITS = 1 << 27
+#: Members of a bucket that the second round compares in one task.
+BLOCK = 4096
 _PLACE = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 _seeds = np.random.default_rng(5)
 _ODD = _seeds.integers(1, 1 << 62, K, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -73,17 +80,17 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     """b-bit minima of non-empty sets, one row of K each."""
     flat = np.concatenate(sets)
     starts = np.cumsum([0, *map(len, sets[:-1])])
-    out = np.empty((len(sets), K), np.uint16)
+    out = np.empty((len(sets), K), np.uint32)
     for j in range(K):
         least = np.minimum.reduceat((flat ^ _XOR[j]) * _ODD[j], starts)
-        out[:, j] = (least * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(48)
+        out[:, j] = (least * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(32)
     return out
 
 
 def index_keys(signature: np.ndarray) -> np.ndarray:
-    """The multi-index keys of signatures, one row each: chunk and tolerated place above, the other values below."""
-    s = signature.astype(np.int64)
-    return np.stack([np.int64(n) << 32 | s[:, a] << 16 | s[:, b] for n, (a, b) in enumerate(_CHUNKS)], 1)
+    """The 64-bit multi-index keys of signatures, one row each: a chunk, its tolerated place, and the other values."""
+    s = signature.astype(np.uint64)
+    return np.stack([mix((s[:, a] << np.uint64(32) | s[:, b]) * _PLACE[0] + np.uint64(n)) for n, (a, b) in enumerate(_CHUNKS)], 1).view(np.int64)
 
 
 def _sketch(batches):
@@ -104,7 +111,7 @@ def _sketch(batches):
 def _explode_keys(batches):
     for batch in batches:
         if batch.num_rows:
-            keys = index_keys(np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint16).reshape(-1, K))
+            keys = index_keys(np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32).reshape(-1, K))
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), batch.column("id").take(pa.array(np.repeat(np.arange(batch.num_rows), len(_CHUNKS))))], names=["key", "id"])
 
 
@@ -138,40 +145,45 @@ def _shared_keys(batches):
         yield emit(*tail, np.array([not paired]))
 
 
-def _buckets(batches):
-    """Streams runs of equal keys of rows sorted by key as (ids, n, component, signatures)."""
-    held = []
+def _cells(batches):
+    """Streams runs of equal (key, x, y) of rows sorted by them."""
+    held, now = [], None
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys = batch.column("key").to_numpy()
-        cut = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        for a, b in zip(cut, np.append(cut[1:], len(keys))):
-            if held and held[0][0] != keys[a]:
-                yield pa.Table.from_batches([x for _, x in held])
+        cell = np.stack([batch.column(c).to_numpy() for c in ("key", "x", "y")], 1)
+        cut = np.flatnonzero(np.append(True, (cell[1:] != cell[:-1]).any(1)))
+        for a, b in zip(cut, np.append(cut[1:], len(cell))):
+            if held and now != tuple(cell[a]):
+                yield pa.Table.from_batches(held)
                 held = []
-            held.append((keys[a], batch.slice(a, b - a)))
+            now = tuple(cell[a])
+            held.append(batch.slice(a, b - a))
     if held:
-        yield pa.Table.from_batches([x for _, x in held])
+        yield pa.Table.from_batches(held)
 
 
 def _across(batches):
-    """Pairs of a bucket's members in different components within T places and the ratio of sizes."""
-    for table in _buckets(batches):
-        ids, n, comp = (table.column(c).to_numpy() for c in ("id", "n", "component"))
+    """Pairs of a cell's members in different components within T places and the ratio of sizes; a cell has one block or two."""
+    for table in _cells(batches):
+        ids, n, comp, block = (table.column(c).to_numpy() for c in ("id", "n", "component", "block"))
+        two = table.column("x")[0] != table.column("y")[0]
         names, inverse, count = np.unique(comp, return_inverse=True, return_counts=True)
         if len(names) < 2:
             continue
-        sign = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(-1, K)
+        sign = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(-1, K)
         order = np.argsort(n, kind="stable")
-        ids, n, inverse, sign = ids[order], n[order], inverse[order], sign[order]
+        ids, n, inverse, sign, block = ids[order], n[order], inverse[order], sign[order], block[order]
         largest = count.argmax()
         a, b = [], []
         for i in np.flatnonzero(inverse != largest):  # members of the largest component need no comparison among themselves
             lo = np.searchsorted(n, -(-n[i] * PERCENT // 100))
             hi = np.searchsorted(n, n[i] * 100 // PERCENT, "right")
             other = inverse[lo:hi]
-            cand = lo + np.flatnonzero((other != inverse[i]) & ((other == largest) | (np.arange(lo, hi) > i)))
+            wanted = (other != inverse[i]) & ((other == largest) | (np.arange(lo, hi) > i))
+            if two:
+                wanted &= block[lo:hi] != block[i]
+            cand = lo + np.flatnonzero(wanted)
             cand = cand[(sign[cand] != sign[i]).sum(1) <= T]
             a.append(np.full(len(cand), ids[i]))
             b.append(ids[cand])
@@ -180,6 +192,28 @@ def _across(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
+def _in_cells(rest: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Members of buckets with the blocks (x, y) that they meet in; a bucket of one block is one cell."""
+    large = rest.groupBy("key").count().where(F.col("count") > block).select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
+    own = rest.join(large, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    cells = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return cells.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "n", "component", "signature")
+
+
+def _bits(candidates: DataFrame) -> tuple[np.ndarray, list]:
+    """(bit table of the candidates' identifiers, function from an identifier to its two places)."""
+    size = 1 << 16
+    while size < min(16 * candidates.count(), BITS):
+        size *= 2
+    places = lambda c: [F.pmod(F.xxhash64(c, F.lit(k)), F.lit(size)) for k in (1, 2)]
+    at = candidates.select(F.explode(F.array(*places(F.col("least")))).alias("at"))
+    word = at.groupBy(F.shiftright("at", 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 AS int))")).alias("v"))
+    found = word.toArrow()  # as many rows as the table has words, at most
+    table = np.zeros(size >> 6, np.int64)
+    table[found.column("w").to_numpy()] = found.column("v").to_numpy()
+    return table, places
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity; hubs are split by skew joins."""
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
@@ -201,7 +235,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def near_groups(docs: DataFrame, *, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """id, n (size of the set), component for every row of ``docs``; identifiers are integers."""
     spark = docs.sparkSession
-    arrow_rows(spark)
+    arrow_bytes(spark)
     scratch = Scratch(spark)
     slim = docs.select(F.col(ident).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
     sketch = scratch.save(slim.mapInArrow(_sketch, "id long, n long, digest binary, signature binary"), "sketch")
@@ -217,17 +251,34 @@ def near_groups(docs: DataFrame, *, ident: str = "doc_id", text: str = "text") -
     shared = shared.join(F.broadcast(alone), "key", "left_anti").select("key", "id")
     shared = scratch.save(shared, "keys")
 
+    scratch.drop("shared")
     candidates = scratch.save(shared.select("id").distinct().join(classes.select("id", "least", "digest"), "id"), "candidates")
+    table, places = _bits(candidates)
+    held = spark.sparkContext.broadcast(table)
 
     def load(batches):
+        seen = set()  # copies of one row have one set
         for batch in batches:
-            sets = [s for _, some in byte_blocks(batch.column("t").to_pylist()) for s in shingle_sets(some)]
-            same = [i for i, s in enumerate(sets) if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == batch.column("digest")[i].as_py()]
-            at = pa.array(same, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(at), pa.array([len(sets[i]) for i in same], pa.int64()), pa.array([sets[i].tobytes() for i in same], pa.binary())], names=["id", "n", "shingles"])
-
-    texts = slim.withColumnRenamed("id", "least").join(candidates, "least")
-    sets = scratch.save(texts.mapInArrow(load, "id long, n long, shingles binary"), "sets")
+            hit = np.ones(batch.num_rows, bool)
+            for c in ("p", "q"):
+                at = batch.column(c).to_numpy()
+                hit &= (held.value[at >> 6] >> (at & 63) & 1).astype(bool)
+            texts = batch.column("t").take(pa.array(np.flatnonzero(hit))).to_pylist()
+            rows = {}
+            for _, some in byte_blocks(texts):
+                for s in shingle_sets(some):
+                    raw = s.tobytes()
+                    digest = hashlib.blake2b(raw, digest_size=16).digest()
+                    if digest not in seen:
+                        rows[digest] = raw
+            seen.update(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.binary()), pa.array([len(r) // 8 for r in rows.values()], pa.int64()), pa.array(list(rows.values()), pa.binary())], names=["digest", "n", "shingles"])
+
+    p, q = places(F.col("id"))
+    loaded = slim.where("id IS NOT NULL").select("t", p.alias("p"), q.alias("q")).mapInArrow(load, "digest binary, n long, shingles binary")
+    sets = scratch.save(loaded.join(candidates.select("id", "digest"), "digest").select("id", "n", "shingles"), "sets")
+    held.unpersist()
+    scratch.drop("candidates")
 
     def spread(batches):
         for batch in batches:
@@ -238,18 +289,22 @@ def near_groups(docs: DataFrame, *, ident: str = "doc_id", text: str = "text") -
     lonely = sets.mapInArrow(spread, "h long, id long").groupBy("h").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1").groupBy("id").agg(F.count("*").alias("lonely"))
     able = sets.select("id", "n").join(lonely, "id", "left").where(100 * (F.col("n") - F.coalesce("lonely", F.lit(0))) >= PERCENT * F.col("n")).select("id", "n").distinct()
     able = scratch.save(able, "able")
+    narrow = scratch.save(sets.join(able.select("id"), "id", "left_semi"), "narrow")
+    scratch.drop("sets")
     members = shared.join(able, "id")
     leaders = members.groupBy("key").agg(F.min("id").alias("b"), F.count("*").alias("c")).where("c > 1").select("key", "b")
     members = scratch.save(members.join(leaders, "key"), "members")
+    scratch.drop("keys", "able")
     stars = members.where("id <> b").select(F.col("id").alias("a"), "b").distinct()
-    links = scratch.save(_confirm(stars, sets), "links")
+    links = scratch.save(_confirm(stars, narrow), "links")
     joined = components(links, scratch, "round1_")
 
     placed = members.select("key", "id", "n").join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_keys = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
     rest = placed.join(open_keys, "key", "left_semi").join(classes.select("id", "signature"), "id")
-    pairs = rest.repartition("key").sortWithinPartitions("key").mapInArrow(_across, "a long, b long").distinct()
-    more = scratch.save(_confirm(pairs, sets), "more")
+    pairs = _in_cells(rest).repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(_across, "a long, b long").distinct()
+    more = scratch.save(_confirm(pairs, narrow), "more")
+    scratch.drop("members", "narrow")
     final = components(links.unionByName(more), scratch, "round2_")
 
     named = classes.select("id", "least", "digest").join(final.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
