@@ -21,6 +21,16 @@ def let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def counted(tokens: Column) -> Column:
+    """(term, tf) of the distinct tokens of an array, from its sorted runs; no shuffle is needed."""
+
+    def runs(s: Column) -> Column:
+        heads = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (F.get(s, i - 1) != x), i)), lambda i: i.isNotNull())
+        return let(heads, lambda h: F.transform(h, lambda at, j: F.struct(F.get(s, at).alias("term"), (F.coalesce(F.get(h, j + 1), F.size(s)) - at).alias("tf"))))
+
+    return let(F.array_sort(tokens), runs)
+
+
 def words(c: Column) -> Column:
     """Lower-cased tokens between white space; punctuation stays attached."""
     return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"\S+"), F.lit(0))
@@ -68,18 +78,42 @@ def token_estimate(c: Column) -> Column:
     return F.floor(F.size(words(c)) * 1.3).cast("int")
 
 
+def _magnitude(low: Column, sizes: tuple[tuple[str, float], ...], use) -> Column:
+    """``use(number text, scale)`` with the first magnitude word of ``sizes`` that ``low`` has taken out and turned into a scale."""
+    names = "|".join(w for w, _ in sizes)
+
+    def scaled(found: Column) -> Column:
+        # of several words only the largest counts and is removed
+        best = F.element_at(F.filter(F.array(*[F.lit(w) for w, _ in sizes]), lambda w: F.array_contains(found, w)), 1)
+        scale = lambda w: F.coalesce(*[F.when(w == n, F.lit(x)) for n, x in sizes], F.lit(1.0))
+        return let(best, lambda w: use(F.regexp_replace(low, F.concat(F.lit("(?<![a-z0-9_])"), w, F.lit("(?![a-z0-9_])")), F.lit(" ")), scale(w)))
+
+    found = F.regexp_extract_all(low, F.lit(rf"(?<![a-z0-9_])({names})(?![a-z0-9_])"), F.lit(1))
+    return F.when(low.rlike(names), let(found, lambda f: F.when(F.size(f) > 0, scaled(f)).otherwise(use(low, F.lit(1.0))))).otherwise(use(low, F.lit(1.0)))
+
+
 def parsed_number(c: Column) -> Column:
     """The number in a table cell, or null: separators, magnitude words and a final k are understood."""
-    low = F.lower(F.trim(c))
-    blank = low.isin("", "n/a", "na", "-", "–", "—", "tbd", "none", "null")
-    scale, clean = F.lit(1.0), low
-    for word, size in (("thousand", 1e3), ("million", 1e6), ("billion", 1e9)):  # of several words only the largest counts
-        pattern = rf"(?<![a-z0-9_]){word}(?![a-z0-9_])"
-        scale = F.when(low.rlike(pattern), F.lit(size)).otherwise(scale)
-        clean = F.when(low.rlike(pattern), F.regexp_replace(low, pattern, " ")).otherwise(clean)
-    clean = F.regexp_replace(F.replace(clean, F.lit(","), F.lit("")), r"(?<=[0-9])\s+(?=[0-9]{3}(?![a-z0-9_]))", "")
-    found = F.regexp_extract(clean, r"-?[0-9]+(?:\.[0-9]+)?k?", 0)
-    return F.when(~blank, let(found, lambda x: F.rtrim(x, F.lit("k")).try_cast("double") * F.when(x.endswith("k"), 1e3).otherwise(1.0)) * scale)
+
+    def number(text: Column, scale: Column) -> Column:
+        clean = F.regexp_replace(F.replace(text, F.lit(","), F.lit("")), r"(?<=[0-9])\s+(?=[0-9]{3}(?![a-z0-9_]))", "")
+        found = F.regexp_extract(clean, r"-?[0-9]+(?:\.[0-9]+)?k?", 0)
+        return let(found, lambda x: F.rtrim(x, F.lit("k")).try_cast("double") * F.when(x.endswith("k"), 1e3).otherwise(1.0)) * scale
+
+    blank = ("", "n/a", "na", "-", "–", "—", "tbd", "none", "null")
+    sizes = (("billion", 1e9), ("million", 1e6), ("thousand", 1e3))
+    return let(F.lower(F.trim(c)), lambda low: F.when(~low.isin(*blank), _magnitude(low, sizes, number)))
+
+
+def parsed_figure(c: Column) -> Column:
+    """The number in a key figure, or null: like :func:`parsed_number` with trillions, but without blanks and joined groups."""
+
+    def number(text: Column, scale: Column) -> Column:
+        found = F.regexp_extract(F.replace(text, F.lit(","), F.lit("")), r"-?[0-9]+(?:\.[0-9]+)?k?", 0)
+        return let(found, lambda x: F.rtrim(x, F.lit("k")).try_cast("double") * F.when(x.endswith("k"), 1e3).otherwise(1.0)) * scale
+
+    sizes = (("trillion", 1e12), ("billion", 1e9), ("million", 1e6), ("thousand", 1e3))
+    return let(F.lower(F.trim(c)), lambda low: _magnitude(low, sizes, number))
 
 
 def unit(c: Column) -> Column:

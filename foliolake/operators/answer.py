@@ -69,49 +69,71 @@ def precomputed(questions: DataFrame, documents: DataFrame, figures: DataFrame)
     return out.select(*_KEYS, answer.alias("answer")).where("answer IS NOT NULL")
 
 
-def _result(df: DataFrame, answer: Column, citations: Column, navigate: Column, layer: int, tokens: Column, confidence: Column) -> DataFrame:
-    return df.select(*_KEYS, answer.alias("answer"), citations.cast("array<string>").alias("citations"), navigate.cast("string").alias("navigate_to"), F.lit(layer).alias("layer_used"), tokens.cast("int").alias("tokens_used"), confidence.cast("double").alias("confidence"))
+def _render(tables: Column, budget: int) -> Column:
+    """Tables of a section as text, each up to ``budget`` characters: the header, at least one row, and how many are left out."""
+
+    def one(t: Column) -> Column:
+        head = F.array_join(t["headers"], " | ")
+        lines = F.transform(t["rows"], lambda r: F.array_join(r, " | "))
+        # rows are taken while they fit; the state is (characters used, rows taken, whether one did not fit)
+        start = F.struct(F.length(head).alias("used"), F.lit(0).alias("n"), F.lit(False).alias("full"))
+        step = lambda s, line: F.when(s["full"] | (s["used"] + F.length(line) + 1 > budget) & (s["n"] >= 1), F.struct(s["used"].alias("used"), s["n"].alias("n"), F.lit(True).alias("full"))).otherwise(F.struct((s["used"] + F.length(line) + 1).alias("used"), (s["n"] + 1).alias("n"), F.lit(False).alias("full")))
+        taken = F.aggregate(lines, start, step)["n"]
+        more = F.size(lines) - taken
+        body = F.array_join(F.concat(F.array(head), F.slice(lines, F.lit(1), taken)), "\n")
+        return F.concat(F.lit("Table "), F.coalesce(t["table_id"], F.lit("")), F.lit(":\n"), body, F.when(more > 0, F.concat(F.lit("\n… (+"), more.cast("string"), F.lit(" more rows)"))).otherwise(""))
+
+    return F.array_join(F.transform(tables, one), "\n\n")
+
+
+def section_text(sections: DataFrame, prose: int | None = None, budget: int = 1500) -> Column:
+    """A section's prose, cut to ``prose`` characters, and its tables within their budget; blank without either."""
+    text = F.coalesce("text", F.lit(""))
+    text = text if prose is None else F.substring(text, 1, prose)
+    if "tables" not in sections.columns:
+        return F.trim(text)
+    rendered = F.when(F.coalesce(F.size("tables"), F.lit(0)) > 0, F.concat(F.lit("\n\n"), _render(F.col("tables"), budget))).otherwise("")
+    return F.regexp_replace(F.concat(text, rendered), r"^\s+|\s+$", "")
 
 
 def layered(questions: DataFrame, documents: DataFrame, sections: DataFrame, figures: DataFrame, *, vectors: DataFrame | None = None, provider: str = "bm25", complete: Callable[[list[str]], list[str]] | None = None) -> DataFrame:
     """One answer for each (qid, doc_id) of the questions (qid, doc_id, question).
 
-    Sections are (doc_id, sec_idx, id, title, text, summary, keywords). Layers: 0 computed before, 1 the
+    Sections are (doc_id, sec_idx, id, title, text, summary, keywords[, tables]). Layers: 0 computed before, 1 the
     best section's summary or sentences, 2 to 4 the model on one section, three sections or the document,
-    -1 nothing without a model.
+    -1 nothing without a model. Ranking and answers computed before are joined to the questions once, and
+    each row then takes the first layer that has an answer.
     """
-    none, nothing = F.lit(None), F.array().cast("array<string>")
-    zero = precomputed(questions, documents, figures)
-    out = [_result(zero, F.col("answer"), nothing, none, 0, F.lit(0), F.lit(1.0))]
-    rest = questions.join(zero.select(*_KEYS), _KEYS, "left_anti")
+    nothing = F.array().cast("array<string>")
+    zero = precomputed(questions, documents, figures).withColumnRenamed("answer", "zero")
     scored = retrieve.hybrid(sections, questions.select("qid", "question").distinct(), provider=provider, vectors=vectors)
-    ranked = scored.join(rest, _KEYS).withColumn("rank", F.row_number().over(Window.partitionBy(*_KEYS).orderBy(F.desc("score"), "sec_idx"))).where("rank <= 3")
-    ranked = ranked.join(sections.select("doc_id", "sec_idx", "id", "title", "text", "summary"), ["doc_id", "sec_idx"])
-    extract = best_sentences(F.col("text"), F.col("question"))
-    top = ranked.where("rank = 1").withColumn("found", F.when(F.col("score") >= FOUND, F.coalesce(F.nullif("summary", F.lit("")), F.nullif(extract, F.lit("")))))
-    one = top.where("found IS NOT NULL")
-    out.append(_result(one, F.col("found"), F.array("id"), F.col("id"), 1, F.lit(0), F.least("score", F.lit(1.0))))
-    left = rest.join(one.select(*_KEYS), _KEYS, "left_anti")
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy(*_KEYS).orderBy(F.desc("score"), "sec_idx"))).where("rank <= 3")
+    own = sections.select("doc_id", "sec_idx", "id", "title", "text", "summary", section_text(sections, 2000).alias("one"), section_text(sections, 600, 800).alias("several"))
+    best = F.struct("rank", "score", "id", "title", "summary", F.when(F.col("rank") == 1, F.col("text")).alias("text"), F.when(F.col("rank") == 1, F.col("one")).alias("one"), "several")
+    # three rows for each question and document at most
+    tops = ranked.join(own, ["doc_id", "sec_idx"]).groupBy(*_KEYS).agg(F.array_sort(F.collect_list(best)).alias("tops"))
+    rows = questions.join(zero, _KEYS, "left").join(tops, _KEYS, "left").withColumn("top", F.try_element_at("tops", F.lit(1)))
+    extract = F.coalesce(F.nullif("top.summary", F.lit("")), F.nullif(best_sentences(F.col("top.text"), F.col("question")), F.lit("")))
+    rows = rows.withColumn("found", F.when(F.col("zero").isNull() & (F.col("top.score") >= FOUND), extract))
+    usable = F.filter("tops", lambda t: t["several"] != "")
+    layer = F.when(F.col("zero").isNotNull(), 0).when(F.col("found").isNotNull(), 1)
     if complete is None:
-        out.append(_result(left, F.lit(""), nothing, none, -1, F.lit(0), F.lit(0.0)))
+        rows = rows.withColumn("layer_used", layer.otherwise(-1)).withColumns({"reply": F.lit(None).cast("string"), "prompt": F.lit(None).cast("string"), "used": usable})
     else:
-        ask = _asker(complete)
-        single = top.join(left.select(*_KEYS), _KEYS, "left_semi").where((F.col("score") >= WORTH_ASKING) & (F.coalesce("text", F.lit("")) != ""))
-        single = single.withColumn("prompt", prompt(F.col("question"), F.concat_ws("\n", "title", F.substring("text", 1, 2000)))).withColumn("reply", ask("prompt"))
-        out.append(_result(single, F.col("reply"), F.array("id"), F.col("id"), 2, _spent(), F.least(F.col("score") + 0.1, F.lit(1.0))))
-        left = left.join(single.select(*_KEYS), _KEYS, "left_anti")
-        several = ranked.join(left.select(*_KEYS), _KEYS, "left_semi").where(F.coalesce("text", F.lit("")) != "")
-        part = F.array_sort(F.collect_list(F.struct("rank", "id", F.concat_ws("\n", F.concat_ws(" ", "id", "title"), F.substring("text", 1, 600)).alias("t"))))
-        several = several.groupBy(*_KEYS, "question").agg(part.alias("parts"), F.max("rank").alias("n")).where("n >= 2")
-        several = several.withColumn("prompt", prompt(F.col("question"), F.array_join(F.transform("parts", lambda p: p["t"]), "\n\n"))).withColumn("reply", ask("prompt"))
-        out.append(_result(several, F.col("reply"), F.transform("parts", lambda p: p["id"]), none, 3, _spent(), F.lit(0.6)))
-        left = left.join(several.select(*_KEYS), _KEYS, "left_anti")
-        whole = left.join(full_text(sections), "doc_id", "left").withColumn("prompt", prompt(F.col("question"), F.substring(F.coalesce("full_text", F.lit("")), 1, 6000))).withColumn("reply", ask("prompt"))
-        out.append(_result(whole, F.col("reply"), nothing, none, 4, _spent(), F.lit(0.4)))
-    result = out[0]
-    for o in out[1:]:
-        result = result.unionByName(o)
-    return result
+        layer = layer.when((F.col("top.score") >= WORTH_ASKING) & (F.col("top.one") != ""), 2).when(F.coalesce(F.size(usable), F.lit(0)) >= 2, 3)
+        rows = rows.withColumns({"layer_used": layer.otherwise(4), "used": usable})
+        whole = full_text(sections.join(questions.select("doc_id").distinct(), "doc_id", "left_semi"))
+        single = F.concat_ws("\n", F.col("top.title"), F.col("top.one"))
+        parts = F.array_join(F.transform("used", lambda p: F.concat_ws("\n", F.concat_ws(" ", p["id"], p["title"]), p["several"])), "\n\n")
+        context = F.when(F.col("layer_used") == 2, single).when(F.col("layer_used") == 3, parts).when(F.col("layer_used") == 4, F.substring(F.coalesce("full_text", F.lit("")), 1, 6000))
+        # the model sees all prompts of the layers 2 to 4 in one pass
+        rows = rows.join(whole, "doc_id", "left").withColumn("prompt", prompt(F.col("question"), context)).withColumn("reply", _asker(complete)("prompt"))
+    at = F.col("layer_used")
+    answer = F.when(at == 0, F.col("zero")).when(at == 1, F.col("found")).when(at == -1, F.lit("")).otherwise(F.col("reply"))
+    one = at.isin(1, 2)
+    cited = F.when(one, F.array("top.id")).when(at == 3, F.transform("used", lambda p: p["id"])).otherwise(nothing)
+    sure = F.when(at == 0, 1.0).when(at == 1, F.least("top.score", F.lit(1.0))).when(at == 2, F.least(F.col("top.score") + 0.1, F.lit(1.0))).when(at == 3, 0.6).when(at == 4, 0.4).otherwise(0.0)
+    return rows.select(*_KEYS, answer.alias("answer"), cited.alias("citations"), F.when(one, F.col("top.id")).alias("navigate_to"), at.alias("layer_used"), F.when(at >= 2, _spent()).otherwise(0).alias("tokens_used"), sure.cast("double").alias("confidence"))
 
 
 def prompt(question: Column, context: Column) -> Column:
@@ -126,19 +148,24 @@ def _asker(complete):
     """A batch function for prompts; an error becomes a reply in brackets."""
 
     def run(s: pd.Series) -> pd.Series:
-        try:
-            return pd.Series(complete(s.tolist()), index=s.index)
-        except Exception as e:  # a provider may raise anything, and one bad batch must not end the job
-            return pd.Series([f"[model error: {e}]"] * len(s), index=s.index)
+        out = pd.Series([None] * len(s), index=s.index, dtype=object)
+        asked = s[s.notna()]  # rows of layers without a model have no prompt
+        if len(asked):
+            try:
+                out[asked.index] = complete(asked.tolist())
+            except Exception as e:  # a provider may raise anything, and one bad batch must not end the job
+                out[asked.index] = f"[model error: {e}]"
+        return out
 
     run.__annotations__ = {"s": pd.Series, "return": pd.Series}
     return F.pandas_udf(run, "string")
 
 
 def full_text(sections: DataFrame) -> DataFrame:
-    """doc_id, full_text: headings and texts in reading order."""
-    line = F.concat(F.lit("## "), F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")))
-    return sections.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sec_idx", line.alias("line")))), lambda x: x["line"]), "\n\n").alias("full_text"))
+    """doc_id, full_text: headings, texts and rendered tables in reading order; sections without text are left out."""
+    body = section_text(sections)
+    line = F.when(body != "", F.concat(F.lit("## "), F.coalesce("title", F.lit("")), F.lit("\n"), body))
+    return sections.select("doc_id", "sec_idx", line.alias("line")).where("line IS NOT NULL").groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sec_idx", "line"))), lambda x: x["line"]), "\n\n").alias("full_text"))
 
 
 def guarded(answer: Column, computed: Column, extracted: Column) -> Column:

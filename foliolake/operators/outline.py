@@ -2,35 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LEVELS = 6
 
 
+def _before() -> Window:
+    return Window.partitionBy("doc_id").orderBy("sec_idx").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _last(level: int) -> Column:
+    """Index of the last section of ``level`` above this one."""
+    return F.max(F.when(F.col("level") == level, F.col("sec_idx"))).over(_before())
+
+
 def parents(sections: DataFrame) -> DataFrame:
     """Adds parent_idx: the nearest section above with a smaller level, null at the top."""
-    before = Window.partitionBy("doc_id").orderBy("sec_idx").rowsBetween(Window.unboundedPreceding, -1)
-    last = [F.max(F.when(F.col("level") == n, F.col("sec_idx"))).over(before) for n in range(1, LEVELS)]
-    nearest = F.greatest(F.lit(None).cast("int"), *[F.when(F.col("level") > n, x) for n, x in enumerate(last, 1)])
+    nearest = F.greatest(F.lit(None).cast("int"), *[F.when(F.col("level") > n, _last(n)) for n in range(1, LEVELS)])
     return sections.withColumn("parent_idx", nearest)
 
 
 def number(sections: DataFrame) -> DataFrame:
-    """Adds id ("§1.2"), parent_id and depth. Skipped levels close up: a level-4 heading below a level-1 one is its child.
+    """Adds parent_idx, id ("§1.2"), parent_id and depth. Skipped levels close up: a level-4 heading below a level-1 one is its child.
 
-    All windows are inside one document. The path follows at most ``LEVELS`` parents, by joins on (doc_id, index).
+    A section above is an ancestor if its level is smaller and no later one has a level that is smaller
+    still; the ancestor at a depth is the last section of that depth. So the whole path comes from
+    running windows over one document, which share one exchange; nothing is joined.
     """
-    own = Window.partitionBy("doc_id", "parent_idx").orderBy("sec_idx")
-    base = parents(sections).withColumn("ordinal", F.row_number().over(own))
-    path = base.select("doc_id", "sec_idx", "parent_idx", F.col("ordinal").cast("string").alias("path"), F.col("parent_idx").alias("up"))
-    step = base.select("doc_id", F.col("sec_idx").alias("up"), F.col("ordinal").alias("o"), F.col("parent_idx").alias("next"))
-    for _ in range(LEVELS - 1):
-        joined = path.join(step, ["doc_id", "up"], "left")
-        path = joined.select("doc_id", "sec_idx", "parent_idx", F.when(F.col("o").isNull(), F.col("path")).otherwise(F.concat_ws(".", F.col("o").cast("string"), "path")).alias("path"), F.col("next").alias("up"))
-    ids = path.select("doc_id", "sec_idx", F.concat(F.lit("§"), "path").alias("id"), F.size(F.split("path", r"\.")).alias("depth"))
-    parent = ids.select("doc_id", F.col("sec_idx").alias("parent_idx"), F.col("id").alias("parent_id"))
-    return base.drop("ordinal").join(ids, ["doc_id", "sec_idx"]).join(parent, ["doc_id", "parent_idx"], "left")
+    marks = [f"__last{n}" for n in range(1, LEVELS)]
+    seen = sections.withColumns({m: _last(n) for n, m in enumerate(marks, 1)})
+    below = lambda n: F.greatest(F.lit(-1), *[F.coalesce(m, F.lit(-1)) for m in marks[: n - 1]], F.lit(-1))
+    up = [F.when((F.col("level") > n) & (F.coalesce(m, F.lit(-1)) > below(n)), 1).otherwise(0) for n, m in enumerate(marks, 1)]
+    nearest = F.greatest(F.lit(None).cast("int"), *[F.when(F.col("level") > n, F.col(m)) for n, m in enumerate(marks, 1)])
+    placed = seen.withColumns({"parent_idx": nearest, "depth": sum(up[1:], up[0]) + 1}).drop(*marks)
+    # partitioned by the document and more, so the exchange above serves here too
+    own = F.row_number().over(Window.partitionBy("doc_id", "parent_idx").orderBy("sec_idx"))
+    here = Window.partitionBy("doc_id").orderBy("sec_idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    steps = [f"__step{n}" for n in range(1, LEVELS + 1)]
+    ranked = placed.withColumn("__own", own).withColumns({s: F.last(F.when(F.col("depth") == n, F.col("__own")), ignorenulls=True).over(here) for n, s in enumerate(steps, 1)})
+    path = lambda n: F.concat(F.lit("§"), F.array_join(F.slice(F.array(*[F.col(s).cast("string") for s in steps]), F.lit(1), n), "."))
+    return ranked.withColumns({"id": path(F.col("depth")), "parent_id": F.when(F.col("depth") > 1, path(F.col("depth") - 1))}).drop("__own", *steps)
 
 
 def children(numbered: DataFrame) -> DataFrame:

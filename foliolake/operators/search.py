@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.small import few, small
+from ..functions.text import counted
 
 K1, B = 1.2, 0.75
 
@@ -28,79 +29,133 @@ def _asked(questions: DataFrame):
     return mark(asked), mark
 
 
-def _hits(sections: DataFrame, asked: DataFrame, mark) -> DataFrame:
-    """doc_id, sec_idx, length, term, tf of the terms that are asked for."""
-    terms = mark(asked.select("term").distinct())
-    # the outer form makes no filter on the tokens, which would compute them twice
-    rows = sections.select("doc_id", "sec_idx", F.size("tokens").alias("length"), F.explode_outer("tokens").alias("term"))
-    return rows.join(terms, "term").groupBy("doc_id", "sec_idx", "length", "term").agg(F.count("*").alias("tf"))
+class Live:
+    """Statistics of (doc_id, sec_idx, tokens) that are counted at each search."""
+
+    def __init__(self, sections: DataFrame):
+        self.sections = sections
+
+    def hits(self, asked: DataFrame, mark) -> DataFrame:
+        """doc_id, sec_idx, length, distinct, term, tf of the terms that are asked for."""
+        terms = mark(asked.select("term").distinct())
+        # the outer form makes no filter on the tokens, which would compute them twice
+        rows = self.sections.select("doc_id", "sec_idx", F.size("tokens").alias("length"), F.size(F.array_distinct("tokens")).alias("distinct"), F.explode_outer("tokens").alias("term"))
+        return rows.join(terms, "term").groupBy("doc_id", "sec_idx", "length", "distinct", "term").agg(F.count("*").alias("tf"))
+
+    def totals(self, by: list[str]) -> DataFrame:
+        """…by, n (sections), mean (length)."""
+        return self.sections.groupBy(*by).agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("mean"))
+
+    def postings(self) -> DataFrame:
+        return self.sections.select("doc_id", "sec_idx", F.inline(counted(F.col("tokens"))))
+
+    def mean_idf(self, by: list[str]) -> DataFrame:
+        """…by, mean_idf over all terms."""
+        df = self.postings().groupBy(*by, "term").agg(F.count("*").alias("df"))
+        return _joined(df, self.totals(by), by).groupBy(*by).agg(F.avg(_raw_idf()).alias("mean_idf"))
+
+    def norms(self, by: list[str]) -> DataFrame:
+        """doc_id, sec_idx, norm of the tf-idf weights."""
+        tf = self.postings()
+        idf = _joined(tf.groupBy(*by, "term").agg(F.count("*").alias("df")), self.totals(by), by).select(*by, "term", _smooth_idf().alias("idf"))
+        return tf.join(idf, [*by, "term"]).groupBy("doc_id", "sec_idx").agg(F.sqrt(F.sum((F.col("tf") * F.col("idf")) ** 2)).alias("norm"))
+
+
+def _source(sections):
+    return Live(sections) if isinstance(sections, DataFrame) else sections
+
+
+def _raw_idf() -> Column:
+    return F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
+
+
+def _smooth_idf() -> Column:
+    return F.ln((F.col("n") + 1) / (F.col("df") + 1)) + 1
+
+
+def _joined(df: DataFrame, totals: DataFrame, by: list[str]) -> DataFrame:
+    return df.join(totals, by) if by else df.crossJoin(F.broadcast(totals))  # one row of totals
 
 
 def _scope(per_document: bool) -> list[str]:
     return ["doc_id"] if per_document else []
 
 
-def bm25(sections: DataFrame, questions: DataFrame, *, per_document: bool = False, k1: float = K1, b: float = B) -> DataFrame:
+def bm25(sections, questions: DataFrame, *, per_document: bool = False, k1: float = K1, b: float = B) -> DataFrame:
     """qid, doc_id, sec_idx, score with idf = ln((N - n + 0.5) / (n + 0.5)), at least 1e-6.
 
-    Statistics are of all sections or, with ``per_document``, of the section's own document.
+    ``sections`` are (doc_id, sec_idx, tokens) or a stored index (``index.Stored``). Statistics are of all
+    sections or, with ``per_document``, of the section's own document.
     """
-    (asked, mark), by = _asked(questions), _scope(per_document)
-    hits = _hits(sections, asked, mark)
-    stats = sections.groupBy(*by).agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("mean"))
-    df = hits.groupBy(*by, "term").agg(F.count("*").alias("df"))
-    joined = hits.join(df, [*by, "term"]).join(stats, by) if by else hits.join(mark(df), "term").crossJoin(F.broadcast(stats))  # one row of totals
+    source, (asked, mark), by = _source(sections), _asked(questions), _scope(per_document)
+    hits = source.hits(asked, mark)
+    df = _joined(hits.groupBy(*by, "term").agg(F.count("*").alias("df")), source.totals(by), by)
+    joined = hits.join(df if by else mark(df), [*by, "term"])
     idf = F.greatest(F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
     return joined.withColumn("w", weight).join(asked, "term").groupBy("qid", "doc_id", "sec_idx").agg(F.sum("w").alias("score"))
 
 
-def bm25_okapi(sections: DataFrame, questions: DataFrame, *, per_document: bool = True, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
+def bm25_okapi(sections, questions: DataFrame, *, per_document: bool = True, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
     """qid, doc_id, sec_idx, score over the best score of the question in the document.
 
     A negative idf = ln((N - n + 0.5) / (n + 0.5)) is replaced by ``epsilon`` times the mean idf of all terms of the scope.
     """
-    (asked, mark), by = _asked(questions), _scope(per_document)
-    hits = _hits(sections, asked, mark)
-    stats = sections.groupBy(*by).agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("mean"))
-    idf: Column = F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
-    # every term's document frequency is needed for the mean; counts are combined before they move
-    every = sections.select("doc_id", "sec_idx", F.explode_outer(F.array_distinct("tokens")).alias("term")).where("term IS NOT NULL").groupBy(*by, "term").agg(F.count("*").alias("df"))
-    with_n = every.join(stats, by) if by else every.crossJoin(F.broadcast(stats))
-    with_n = with_n.withColumn("idf", idf)
-    mean_idf = with_n.groupBy(*by).agg(F.avg("idf").alias("mean_idf"))
-    known = with_n.join(mark(asked.select("term").distinct()), "term").select(*by, "term", "idf", "mean")
-    known = known.join(mean_idf, by) if by else known.crossJoin(F.broadcast(mean_idf))
-    joined = hits.join(known, [*by, "term"])
-    weight = F.when(F.col("idf") < 0, F.col("mean_idf") * epsilon).otherwise(F.col("idf")) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    scored = joined.withColumn("w", weight).join(asked, "term").groupBy("qid", "doc_id", "sec_idx").agg(F.sum("w").alias("score"))
+    by = _scope(per_document)
+    scored = _okapi(_source(sections), questions, by, k1, b, epsilon)
     best = scored.groupBy("qid", *by).agg(F.max("score").alias("best"))
     return scored.join(best, ["qid", *by]).select("qid", "doc_id", "sec_idx", (F.col("score") / (F.col("best") + 1e-8)).alias("score"))
 
 
-def tfidf(sections: DataFrame, questions: DataFrame, *, per_document: bool = False) -> DataFrame:
+def _okapi(source, questions: DataFrame, by: list[str], k1: float, b: float, epsilon: float) -> DataFrame:
+    asked, mark = _asked(questions)
+    hits = source.hits(asked, mark)
+    df = _joined(hits.groupBy(*by, "term").agg(F.count("*").alias("df")), source.totals(by), by)
+    known = _joined(df, source.mean_idf(by), by)
+    joined = hits.join(known if by else mark(known), [*by, "term"]).withColumn("idf", _raw_idf())
+    weight = F.when(F.col("idf") < 0, F.col("mean_idf") * epsilon).otherwise(F.col("idf")) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
+    return joined.withColumn("w", weight).join(asked, "term").groupBy("qid", "doc_id", "sec_idx").agg(F.sum("w").alias("score"))
+
+
+def bm25_two_queries(sections, questions: DataFrame, *, per_document: bool = True, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
+    """qid, doc_id, sec_idx, score: the larger of the unscaled Okapi scores of a question's words and of its content words.
+
+    ``questions`` are (qid, tokens, content); where ``content`` is empty the words stand for it. A word that a
+    question repeats counts each time.
+    """
+    source, by = _source(sections), _scope(per_document)
+    both = questions.select("qid", F.explode(F.array(F.struct(F.lit("w").alias("form"), F.col("tokens").alias("tokens")), F.struct(F.lit("c").alias("form"), F.when(F.size("content") > 0, F.col("content")).otherwise(F.col("tokens")).alias("tokens")))).alias("f"))
+    # a form of a question is a question of its own; repeated words are weighed by their number
+    each = both.select(F.struct("qid", F.col("f.form").alias("form")).alias("qid"), F.explode("f.tokens").alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
+    asked = small(each)
+    mark = F.broadcast if few(each) else lambda df: df
+    hits = source.hits(asked, mark)
+    df = _joined(hits.groupBy(*by, "term").agg(F.count("*").alias("df")), source.totals(by), by)
+    known = _joined(df, source.mean_idf(by), by)
+    joined = hits.join(known if by else mark(known), [*by, "term"]).withColumn("idf", _raw_idf())
+    weight = F.when(F.col("idf") < 0, F.col("mean_idf") * epsilon).otherwise(F.col("idf")) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
+    scored = joined.withColumn("w", weight).join(asked, "term").groupBy("qid", "doc_id", "sec_idx").agg(F.sum(F.col("w") * F.col("times")).alias("score"))
+    return scored.groupBy(F.col("qid.qid").alias("qid"), "doc_id", "sec_idx").agg(F.max("score").alias("score"))
+
+
+def tfidf(sections, questions: DataFrame, *, per_document: bool = False) -> DataFrame:
     """qid, doc_id, sec_idx, score: cosine of tf times ln((1 + N) / (1 + n)) + 1; terms that no section has do not count."""
-    by = _scope(per_document)
-    n = sections.groupBy(*by).agg(F.count("*").alias("n"))
-    tf = sections.select("doc_id", "sec_idx", F.explode_outer("tokens").alias("term")).where("term IS NOT NULL").groupBy("doc_id", "sec_idx", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy(*by, "term").agg(F.count("*").alias("df"))
-    df = df.join(n, by) if by else df.crossJoin(F.broadcast(n))
-    idf = df.select(*by, "term", (F.ln((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
-    weighted = tf.join(idf, [*by, "term"]).withColumn("w", F.col("tf") * F.col("idf"))
-    norms = weighted.groupBy("doc_id", "sec_idx").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    source, by = _source(sections), _scope(per_document)
     asked = questions.select("qid", F.explode("tokens").alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
-    qw = small(asked).join(idf, "term").withColumn("qw", F.col("qtf") * F.col("idf"))
+    mark = F.broadcast if few(asked) else lambda df: df
+    hits = source.hits(asked, mark)
+    idf = _joined(hits.groupBy(*by, "term").agg(F.count("*").alias("df")), source.totals(by), by).select(*by, "term", _smooth_idf().alias("idf"))
+    qw = mark(asked).join(idf, "term").withColumn("qw", F.col("qtf") * F.col("idf"))
     qn = qw.groupBy("qid", *by).agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
-    dots = weighted.join(qw.select("qid", *by, "term", "qw"), [*by, "term"]).groupBy("qid", "doc_id", "sec_idx").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
-    return dots.join(norms, ["doc_id", "sec_idx"]).join(qn, ["qid", *by]).select("qid", "doc_id", "sec_idx", (F.col("dot") / (F.col("norm") * F.col("qnorm"))).alias("score"))
+    dots = hits.join(qw.select("qid", *by, "term", "qw", "idf"), [*by, "term"]).groupBy("qid", "doc_id", "sec_idx").agg(F.sum(F.col("tf") * F.col("idf") * F.col("qw")).alias("dot"))
+    return dots.join(source.norms(by), ["doc_id", "sec_idx"]).join(qn, ["qid", *by]).select("qid", "doc_id", "sec_idx", (F.col("dot") / (F.col("norm") * F.col("qnorm"))).alias("score"))
 
 
-def overlap(sections: DataFrame, questions: DataFrame) -> DataFrame:
+def overlap(sections, questions: DataFrame) -> DataFrame:
     """qid, doc_id, sec_idx, score: Jaccard similarity of token sets, for sections that share a token."""
     asked, mark = _asked(questions)
     sizes = questions.select("qid", F.size(F.array_distinct("tokens")).alias("q"))
-    rows = sections.select("doc_id", "sec_idx", F.size(F.array_distinct("tokens")).alias("d"), F.explode(F.array_distinct("tokens")).alias("term"))
-    shared = rows.join(asked, "term").groupBy("qid", "doc_id", "sec_idx", "d").agg(F.count("*").alias("s"))
+    shared = _source(sections).hits(asked, mark).join(asked, "term").groupBy("qid", "doc_id", "sec_idx", F.col("distinct").alias("d")).agg(F.count("*").alias("s"))
     return shared.join(mark(sizes), "qid").select("qid", "doc_id", "sec_idx", (F.col("s") / (F.col("q") + F.col("d") - F.col("s"))).alias("score"))
 
 

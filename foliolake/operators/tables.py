@@ -64,6 +64,27 @@ def filter_rows(long: DataFrame, column: str, op: str, value) -> DataFrame:
     return _column(long, column).where(matches(F.col("cell"), op, value)).select(*_KEY, "row_idx")
 
 
+def numeric_column(long: DataFrame, name: str) -> DataFrame:
+    """…key, row_idx, value of the cells that are numbers, in the column that ``name`` resolves to."""
+    return _column(long, name).select(*_KEY, "row_idx", parsed_number(F.col("cell")).alias("value")).where("value IS NOT NULL")
+
+
+def _folded(cells: DataFrame, column: str) -> DataFrame:
+    """For every table, the folds of the column that ``column`` resolves to (null where none does); one pass over the cells.
+
+    All columns that answer to the name are folded, and the best one is chosen from these few rows afterwards.
+    """
+    score = header_score(F.col("header"), F.lit(column))
+    # cells of columns that do not answer to the name are not parsed
+    asked = cells.select(*_KEY, "col_idx", "header", "row_idx", F.when(score >= 0.3, F.col("cell")).alias("cell"), score.alias("score"))
+    num = asked.select(*_KEY, "col_idx", "row_idx", "score", parsed_number(F.col("cell")).alias("x"), unit(F.col("cell")).alias("u"))
+    by_unit = num.groupBy(*_KEY, "col_idx", "score", "u").agg(F.sum("x").alias("s"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("rows"), F.count("x").alias("numbers"), F.min(F.when(F.col("x").isNotNull(), F.col("row_idx"))).alias("first"))
+    common = F.when(F.col("u").isNotNull() & (F.col("numbers") > 0), F.struct("numbers", -F.col("first")))
+    by_column = by_unit.groupBy(*_KEY, "col_idx", "score").agg(F.sum("s").alias("sum"), F.min("lo").alias("min"), F.max("hi").alias("max"), (F.sum("s") / F.nullif(F.sum("numbers"), F.lit(0))).alias("avg"), F.sum("rows").cast("double").alias("count"), F.sum("rows").alias("rows"), F.sum("numbers").alias("numbers"), F.max_by("u", common).alias("unit"))
+    folds = F.when(F.col("score") >= 0.3, F.struct(*OPS, "rows", "numbers", "unit"))
+    return by_column.groupBy(*_KEY).agg(F.max_by(folds, F.struct("score", -F.col("col_idx"))).alias("b"))
+
+
 def aggregate(long: DataFrame, op: str, column: str, where: tuple[str, str, object] | None = None) -> DataFrame:
     """…key, ok, op, value, unit, n_rows, skipped, reason for every table.
 
@@ -71,34 +92,30 @@ def aggregate(long: DataFrame, op: str, column: str, where: tuple[str, str, obje
     fail where there are none. The unit is the most frequent one, the earliest of ties.
     """
     op = op.lower()
-    tables = long.select(*_KEY).distinct()
-    fail = lambda df, why: df.select(*_KEY, F.lit(False).alias("ok"), F.lit(op).alias("op"), F.lit(None).cast("double").alias("value"), F.lit(None).cast("string").alias("unit"), F.lit(0).cast("long").alias("n_rows"), F.lit(0).cast("long").alias("skipped"), F.lit(why).alias("reason"))
     if op not in OPS:
-        return fail(tables, f"unknown operation {op}")
-    target = _column(long, column)
-    if where is not None:
-        known = _column(long, where[0]).select(*_KEY).distinct()
-        target = target.join(filter_rows(long, *where), [*_KEY, "row_idx"], "left_semi")
-    num = target.select(*_KEY, "row_idx", parsed_number(F.col("cell")).alias("x"), unit(F.col("cell")).alias("u"))
-    # one pass over the cells: folds for each unit first, then the tables'
-    by_unit = num.groupBy(*_KEY, "u").agg(F.sum("x").alias("s"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("rows"), F.count("x").alias("numbers"), F.min(F.when(F.col("x").isNotNull(), F.col("row_idx"))).alias("first"))
-    folds = {"sum": F.sum("s"), "min": F.min("lo"), "max": F.max("hi"), "avg": F.sum("s") / F.nullif(F.sum("numbers"), F.lit(0)), "count": F.sum("rows").cast("double")}
-    common = F.when(F.col("u").isNotNull() & (F.col("numbers") > 0), F.struct("numbers", -F.col("first")))
-    done = by_unit.groupBy(*_KEY).agg(folds[op].alias("value"), F.sum("rows").alias("rows"), F.sum("numbers").alias("numbers"), F.max_by("u", common).alias("unit"))
-    heads = long.select(*_KEY, "col_idx", "header").distinct()
-    has = resolve(heads, tables.withColumn("name", F.lit(column))).select(*_KEY, F.lit(True).alias("has"))
-    out = tables.join(has, _KEY, "left").join(done, _KEY, "left")
-    usable = F.lit(True)
-    if where is not None:
-        out = out.join(known.withColumn("has_filter", F.lit(True)), _KEY, "left")
-        usable = F.coalesce("has_filter", F.lit(False))
-    count = F.lit(op == "count")
-    ok = F.coalesce("has", F.lit(False)) & usable & (count | (F.coalesce("numbers", F.lit(0)) > 0))
-    reason = F.when(F.col("has").isNull(), f"no column for {column}").when(~usable, f"no column for {where[0] if where else ''}").when(~ok, "no numbers").otherwise("")
-    value = F.when(ok, F.coalesce("value", F.lit(0.0) if op == "count" else F.lit(None).cast("double")))
-    rows = F.coalesce(F.col("rows") if op == "count" else F.col("numbers"), F.lit(0)).cast("long")
-    skipped = F.lit(0).cast("long") if op == "count" else (F.coalesce("rows", F.lit(0)) - F.coalesce("numbers", F.lit(0))).cast("long")
-    return out.select(*_KEY, ok.alias("ok"), F.lit(op).alias("op"), value.alias("value"), F.when(ok, F.col("unit")).alias("unit"), F.when(ok, rows).otherwise(F.lit(0).cast("long")).alias("n_rows"), F.when(ok, skipped).otherwise(F.lit(0).cast("long")).alias("skipped"), reason.alias("reason"))
+        nothing = F.lit(0).cast("long")
+        return long.select(*_KEY).distinct().select(*_KEY, F.lit(False).alias("ok"), F.lit(op).alias("op"), F.lit(None).cast("double").alias("value"), F.lit(None).cast("string").alias("unit"), nothing.alias("n_rows"), nothing.alias("skipped"), F.lit(f"unknown operation {op}").alias("reason"))
+    if where is None:
+        out, usable = _folded(long, column).withColumn("has", F.col("b").isNotNull()), F.lit(True)
+    else:
+        # a table's headers are few: they decide which cells of the rest are needed
+        heads = long.select(*_KEY, "col_idx", "header").distinct()
+        asked = heads.select(*_KEY).distinct()
+        names = asked.select(*_KEY, F.explode(F.array(F.lit(column), F.lit(where[0]))).alias("name")).distinct()
+        found = resolve(heads, names)
+        known = asked.join(found.groupBy(*_KEY).agg(F.max((F.col("name") == column).cast("int")).alias("has"), F.max((F.col("name") == where[0]).cast("int")).alias("has_filter")), _KEY, "left")
+        rows = long.join(found.where(F.col("name") == where[0]).select(*_KEY, "col_idx"), [*_KEY, "col_idx"]).where(matches(F.col("cell"), *where[1:])).select(*_KEY, "row_idx")
+        chosen = long.join(found.where(F.col("name") == column).select(*_KEY, "col_idx"), [*_KEY, "col_idx"]).join(rows, [*_KEY, "row_idx"], "left_semi")
+        out = known.join(_folded(chosen, column), _KEY, "left").withColumns({"has": F.coalesce("has", F.lit(0)) == 1, "has_filter": F.coalesce("has_filter", F.lit(0)) == 1})
+        usable = F.col("has_filter")
+    has, numbers = F.col("has"), F.coalesce("b.numbers", F.lit(0))
+    ok = has & usable & (F.lit(op == "count") | (numbers > 0))
+    reason = F.when(~has, f"no column for {column}").when(~usable, f"no column for {where[0] if where else ''}").when(~ok, "no numbers").otherwise("")
+    value = F.when(ok, F.coalesce(f"b.{op}", F.lit(0.0) if op == "count" else F.lit(None).cast("double")))
+    rows = F.coalesce("b.rows", F.lit(0)).cast("long") if op == "count" else numbers.cast("long")
+    skipped = F.lit(0).cast("long") if op == "count" else (F.coalesce("b.rows", F.lit(0)) - numbers).cast("long")
+    zero = F.lit(0).cast("long")
+    return out.select(*_KEY, ok.alias("ok"), F.lit(op).alias("op"), value.alias("value"), F.when(ok, F.col("b.unit")).alias("unit"), F.when(ok, rows).otherwise(zero).alias("n_rows"), F.when(ok, skipped).otherwise(zero).alias("skipped"), reason.alias("reason"))
 
 
 def intent(question: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.small import spread
 from ..functions.text import KEYWORD_STOP, RETRIEVAL_STOP, question_terms, terms
+from ..operators import index
 
 QUESTIONS = [
     ("q1", "which documents are licensed under the apache license version"),
@@ -38,6 +39,11 @@ def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.lit("corpus").alias("doc_id"), F.col("doc_id").alias("sec_idx"), terms(F.col("text")).alias("tokens"))
 
 
+def lexical(spark: SparkSession, sf_dir: str) -> index.Stored:
+    """The stored index of :func:`sections`, built at the first search of a session and when the table changes."""
+    return index.kept(spark, f"{sf_dir}/documents.parquet", lambda: sections(spark, sf_dir))
+
+
 def sql_list(words: list[str]) -> str:
     return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
 

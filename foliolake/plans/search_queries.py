@@ -7,25 +7,25 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import dequantised, int8_levels, quantised
 from ..operators import answer, enrich, graph, index, library, outline, retrieve, search, sinks, vectors
-from .common import SQL_ASKED, SQL_BM25, SQL_SECTIONS, questions, sections, shown, sql_keyword_terms, sql_terms, sql_top, sql_words, table, term_questions
+from .common import SQL_ASKED, SQL_BM25, SQL_SECTIONS, lexical, questions, sections, shown, sql_keyword_terms, sql_terms, sql_top, sql_words, table, term_questions
 
 K = 10
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return shown(search.top_k(search.bm25(sections(spark, d), term_questions(spark)), K))
+    return shown(search.top_k(search.bm25(lexical(spark, d), term_questions(spark)), K))
 
 
 def bm25_okapi_norm(spark, d):
-    return shown(search.top_k(search.bm25_okapi(sections(spark, d), term_questions(spark)), K))
+    return shown(search.top_k(search.bm25_okapi(lexical(spark, d), term_questions(spark)), K))
 
 
 def tfidf_cosine_topk(spark, d):
-    return shown(search.top_k(search.tfidf(sections(spark, d), term_questions(spark)), K))
+    return shown(search.top_k(search.tfidf(lexical(spark, d), term_questions(spark)), K))
 
 
 def jaccard_search(spark, d):
-    return shown(search.top_k(search.overlap(sections(spark, d), term_questions(spark)), K))
+    return shown(search.top_k(search.overlap(lexical(spark, d), term_questions(spark)), K))
 
 
 def bm25_stemmed(spark, d):
@@ -102,19 +102,19 @@ def _dense(spark, d):
 
 
 def rrf_fusion(spark, d):
-    lexical = search.bm25(sections(spark, d), term_questions(spark))
-    return shown(search.top_k(retrieve.fuse([(lexical, 2.0), (_dense(spark, d), 1.5)], 30), K), 6)
+    found = search.bm25(lexical(spark, d), term_questions(spark))
+    return shown(search.top_k(retrieve.fuse([(found, 2.0), (_dense(spark, d), 1.5)], 30), K), 6)
 
 
 def rrf_graph_expand(spark, d):
-    lexical = search.bm25(sections(spark, d), term_questions(spark))
-    return shown(retrieve.retrieve(lexical, _dense(spark, d), _tree(spark, d), K), 6)
+    found = search.bm25(lexical(spark, d), term_questions(spark))
+    return shown(retrieve.retrieve(found, _dense(spark, d), _tree(spark, d), K), 6)
 
 
 def rerank_pool(spark, d):
-    lexical = search.top_k(search.bm25(sections(spark, d), term_questions(spark)), 30)
+    found = search.top_k(search.bm25(lexical(spark, d), term_questions(spark)), 30)
     own = table(spark, d, "documents").select(F.lit("corpus").alias("doc_id"), F.col("doc_id").alias("sec_idx"), F.concat_ws(" ", "source", "lang").alias("title"), "text")
-    return shown(retrieve.rerank(lexical.select("qid", "doc_id", "sec_idx", "score"), own, term_questions(spark), 15), 4)
+    return shown(retrieve.rerank(found.select("qid", "doc_id", "sec_idx", "score"), own, term_questions(spark), 15), 4)
 
 
 def _keyed(spark, d):
