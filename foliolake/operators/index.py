@@ -71,7 +71,9 @@ def refreshed(index: DataFrame, rebuilt: DataFrame, changed: DataFrame, removed:
 
 def postings(sections: DataFrame) -> DataFrame:
     """doc_id, sec_idx, length, distinct, term, tf of (doc_id, sec_idx, tokens): the stored form of the lexical index; terms are counted inside a row."""
-    return sections.select("doc_id", "sec_idx", F.size("tokens").alias("length"), F.size(F.array_distinct("tokens")).alias("distinct"), F.inline(counted(F.col("tokens"))))
+    # sizes first: what stands beside a generator is computed for each of its rows
+    sized = sections.select("doc_id", "sec_idx", F.size("tokens").alias("length"), F.size(F.array_distinct("tokens")).alias("distinct"), "tokens")
+    return sized.select("doc_id", "sec_idx", "length", "distinct", F.inline(counted(F.col("tokens"))))
 
 
 @dataclass

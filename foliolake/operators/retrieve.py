@@ -43,7 +43,8 @@ def hybrid(sections: DataFrame, questions: DataFrame, *, provider: str = "bm25",
     bag = sections.select("doc_id", "sec_idx", F.array_distinct(F.concat(keys, words(F.col("title")))).alias("tokens"))
     kw = search.provider(provider)(bag, asked)
     terms_of = small(asked.select("qid", F.explode("tokens").alias("term")))
-    shared = sections.select("doc_id", "sec_idx", F.size(F.array_distinct(keys)).alias("d"), F.explode(F.array_distinct(keys)).alias("term")).join(terms_of, "term").groupBy("qid", "doc_id", "sec_idx", "d").agg(F.count("*").alias("s"))
+    keyed = sections.select("doc_id", "sec_idx", F.array_distinct(keys).alias("k"))
+    shared = keyed.select("doc_id", "sec_idx", "k", F.explode("k").alias("term")).withColumn("d", F.size("k")).join(terms_of, "term").groupBy("qid", "doc_id", "sec_idx", "d").agg(F.count("*").alias("s"))
     sizes = small(asked.select("qid", F.size("tokens").alias("q")))
     sem = shared.join(sizes, "qid").select("qid", "doc_id", "sec_idx", (F.col("s") / F.greatest(F.col("q") + F.col("d") - F.col("s"), F.lit(1))).alias("sem"))
     if vectors is not None:

@@ -38,8 +38,10 @@ class Live:
     def hits(self, asked: DataFrame, mark) -> DataFrame:
         """doc_id, sec_idx, length, distinct, term, tf of the terms that are asked for."""
         terms = mark(asked.select("term").distinct())
+        # sizes first, as what stands beside a generator is computed for each of its rows
+        sized = self.sections.select("doc_id", "sec_idx", F.size("tokens").alias("length"), F.size(F.array_distinct("tokens")).alias("distinct"), "tokens")
         # the outer form makes no filter on the tokens, which would compute them twice
-        rows = self.sections.select("doc_id", "sec_idx", F.size("tokens").alias("length"), F.size(F.array_distinct("tokens")).alias("distinct"), F.explode_outer("tokens").alias("term"))
+        rows = sized.select("doc_id", "sec_idx", "length", "distinct", F.explode_outer("tokens").alias("term"))
         return rows.join(terms, "term").groupBy("doc_id", "sec_idx", "length", "distinct", "term").agg(F.count("*").alias("tf"))
 
     def totals(self, by: list[str]) -> DataFrame:

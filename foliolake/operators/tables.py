@@ -72,15 +72,15 @@ def numeric_column(long: DataFrame, name: str) -> DataFrame:
 def _folded(cells: DataFrame, column: str) -> DataFrame:
     """For every table, the folds of the column that ``column`` resolves to (null where none does); one pass over the cells.
 
-    All columns that answer to the name are folded, and the best one is chosen from these few rows afterwards.
+    The best column is chosen from the folds, which are few rows.
     """
-    score = header_score(F.col("header"), F.lit(column))
-    # cells of columns that do not answer to the name are not parsed
-    asked = cells.select(*_KEY, "col_idx", "header", "row_idx", F.when(score >= 0.3, F.col("cell")).alias("cell"), score.alias("score"))
-    num = asked.select(*_KEY, "col_idx", "row_idx", "score", parsed_number(F.col("cell")).alias("x"), unit(F.col("cell")).alias("u"))
-    by_unit = num.groupBy(*_KEY, "col_idx", "score", "u").agg(F.sum("x").alias("s"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("rows"), F.count("x").alias("numbers"), F.min(F.when(F.col("x").isNotNull(), F.col("row_idx"))).alias("first"))
+    # folding a cell costs less than comparing its header, so every column is folded and headers are compared afterwards
+    num = cells.select(*_KEY, "col_idx", "header", "row_idx", parsed_number(F.col("cell")).alias("x"), unit(F.col("cell")).alias("u"))
+    column_key = [*_KEY, "col_idx", "header"]
+    by_unit = num.groupBy(*column_key, "u").agg(F.sum("x").alias("s"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("rows"), F.count("x").alias("numbers"), F.min(F.when(F.col("x").isNotNull(), F.col("row_idx"))).alias("first"))
     common = F.when(F.col("u").isNotNull() & (F.col("numbers") > 0), F.struct("numbers", -F.col("first")))
-    by_column = by_unit.groupBy(*_KEY, "col_idx", "score").agg(F.sum("s").alias("sum"), F.min("lo").alias("min"), F.max("hi").alias("max"), (F.sum("s") / F.nullif(F.sum("numbers"), F.lit(0))).alias("avg"), F.sum("rows").cast("double").alias("count"), F.sum("rows").alias("rows"), F.sum("numbers").alias("numbers"), F.max_by("u", common).alias("unit"))
+    by_column = by_unit.groupBy(*column_key).agg(F.sum("s").alias("sum"), F.min("lo").alias("min"), F.max("hi").alias("max"), (F.sum("s") / F.nullif(F.sum("numbers"), F.lit(0))).alias("avg"), F.sum("rows").cast("double").alias("count"), F.sum("rows").alias("rows"), F.sum("numbers").alias("numbers"), F.max_by("u", common).alias("unit"))
+    by_column = by_column.withColumn("score", header_score(F.col("header"), F.lit(column)))
     folds = F.when(F.col("score") >= 0.3, F.struct(*OPS, "rows", "numbers", "unit"))
     return by_column.groupBy(*_KEY).agg(F.max_by(folds, F.struct("score", -F.col("col_idx"))).alias("b"))
 
