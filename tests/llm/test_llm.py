@@ -547,14 +547,53 @@ def test_counted_text():
             a_ = min(a, len(s))
             s = s[:a_] + new + s[min(a_ + n, len(s)) :]
             c.edit(a, n, new)
-            assert c.text == s and c.tokens == len(one(s)) and c.tree.characters == len(s)
+            assert c.text == s and c.tokens == len(one(s)) and c.chars == len(s)
             total += len(s)
         encoded += c.encoded
     assert encoded < total / 3
 
 
+def test_tree_grows_and_shrinks():
+    """Long insertions divide nodes and deletions empty them; only what an edit touches is encoded."""
+    rng, one = random.Random(6), encoder().one
+    c = token_counts.CountedText("")
+    s = ""
+    for k in range(400):
+        at = rng.randint(0, len(s))
+        new = "".join(rng.choice([" word", " of", "\n", " 17", "'s", "  "]) for _ in range(rng.choice((1, 40, 2000)))) if k < 250 else ""
+        size = 0 if k < 250 else rng.choice((10, 3000))
+        s = s[:at] + new + s[at + size :]
+        c.edit(at, size, new)
+        if k % 20 == 0 or len(s) < 2000:
+            assert c.text == s and (c.tokens, c.chars) == (len(one(s)), len(s))
+            stack = [c.tree.root]
+            while stack:
+                node = stack.pop()
+                assert len(node.children) <= token_counts.FAN and all(x.parent is node for x in node.children)
+                assert node.tokens == sum(x.tokens for x in node.children) and node.chars == sum(x.chars for x in node.children)
+                stack += [x for x in node.children if isinstance(x, token_counts.Node)]
+    big = token_counts.CountedText("some words " * 100_000)
+    before = big.encoded
+    big.edit(500_000, 3, "new")
+    assert big.encoded - before < 5000
+
+
+def test_stored_trees_are_read(spark, corpus, monkeypatch):
+    """Trees that say another number of tokens show that they, and not the texts, give the counts of what is not edited."""
+    df = docs(spark, [(1, "a b c " * 200), (2, None)])
+    trees = token_counts.build_trees(df).collect()
+    sums = np.frombuffer(next(r.leaves for r in trees if r.doc_id == 1), "<i4").reshape(-1, 2).copy()
+    sums[-1, 1] += 1000
+    other = spark.createDataFrame([(1, next(r.digest for r in trees if r.doc_id == 1), bytearray(sums.tobytes())), (3, 5, bytearray(b""))], "doc_id long, digest long, leaves binary")
+    e = spark.createDataFrame([(1, 1, 0, 1, "x")], "doc_id long, seq long, start long, length long, insert string")
+    got = {r.doc_id: r for r in token_counts.apply_edits(df, e, other).collect()}
+    true = {r.doc_id: r for r in token_counts.apply_edits(df, e).collect()}
+    assert got[1].n_tokens == true[1].n_tokens + 1000 and got[1].n_tokens_edited == true[1].n_tokens_edited + 1000
+    assert got[1].n_encoded == true[1].n_encoded < 700 and got[2].n_tokens == 0
+
+
 def test_apply_edits(spark, corpus, tokenizer):
-    rows = [*corpus, (None, "no id"), (6, "twin a"), (6, "twin b")]
+    rows = [*corpus, (None, "no id"), (6, "twin a"), (6, "twin b"), (6, "twin b")]
     edits = [(6, 2, 0, 4, "two "), (6, 1, 0, 0, "one "), (6, 2, 0, 4, "two "), (corpus[0][0], 1, -5, 3, None), (777777, 1, 0, 1, "x"), (None, 1, 0, 1, "x"), (corpus[1][0], 1, 10**9, 5, " end")]
     e = spark.createDataFrame(edits, "doc_id long, seq long, start long, length long, insert string")
     got = Counter((r.doc_id, r.n_tokens, r.n_tokens_edited, r.n_edits) for r in token_counts.apply_edits(docs(spark, rows), e).collect())
@@ -598,12 +637,32 @@ def test_path_rules_keep_their_case(spark):
     assert [got[u] for u in urls] == ["example.com/Ads", "example.com/Ads", None, "other.org", None]
 
 
-@pytest.mark.parametrize("limit", [1000, 0])
+def test_url_filters_with_clashing_columns(spark):
+    """Columns that are called like results or keys pass through; rows that are made anew at each read keep their verdicts."""
+    entries = spark.createDataFrame([("l", "block", "bad.org", "2023-01-01", "add")], "list string, action string, key string, day string, op string")
+    made = spark.range(0, 40, 1, 4).select(F.when(F.rand() < 0.5, "http://bad.org/").otherwise("http://good.org/").alias("url"), F.to_date(F.lit("2023-02-01")).alias("fetched"), *(F.lit(c).alias(c) for c in ("verdict", "Rule", "n_active", "row", "key", "hit", "bucket", "salt")))
+    for most in (1 << 20, 0):
+        out = url_filters.evaluate(made, entries, broadcast_bytes=most)
+        assert out.columns == [*made.columns, "verdict_", "rule_", "n_active_"]
+        assert all((r.verdict_ == "block") == ("bad" in r.url) and r.verdict == "verdict" and r.key == "key" for r in out.collect())
+        kept = url_filters.blocked_removed(made, entries, broadcast_bytes=most)
+        assert kept.columns == made.columns and {r.url for r in kept.collect()} <= {"http://good.org/"}
+
+
+def test_long_addresses(spark):
+    entries = spark.createDataFrame([("l", "block", "a.org/" + "/".join(["p"] * 300), "2023-01-01", "add")], "list string, action string, key string, day string, op string")
+    urls = ["http://a.org/" + "p/" * n for n in (299, 300, 2000)]
+    pages = spark.createDataFrame([(u,) for u in urls], "url string").withColumn("fetched", F.to_date(F.lit("2023-02-01")))
+    got = {r.url: r.verdict for r in url_filters.evaluate(pages, entries).collect()}
+    assert [got[u] for u in urls] == ["allow", "block", "block"]
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 0])
 def test_url_filters(spark, limit):
     entries = spark.createDataFrame([("l", "block", "bad.org", "2024-01-10", "add"), ("l", "block", "bad.org", "2024-02-10", "remove"), ("l", "block", "bad.org", "2024-01-10", "add"), ("l", "allow", "ok.bad.org", "2024-01-20", "add"), ("l", "block", "x.net/en/a", "2024-01-01", "add"), ("l", "block", "day.com", "2024-03-01", "add"), ("l", "block", "day.com", "2024-03-01", "remove"), ("m", "allow", "bad.org/p", "2023-01-01", "add"), (None, "block", None, "2024-01-01", "add")], "list string, action string, key string, day string, op string")
     pages = [(1, "http://a.bad.org/x", "2024-01-09"), (2, "http://a.BAD.org:80/x", "2024-01-10"), (3, "http://u@a.bad.org./x", "2024-02-09"), (4, "http://a.bad.org", "2024-02-10"), (5, "http://ok.bad.org/", "2024-01-25"), (6, "http://ok.bad.org/", "2024-01-15"), (7, "https://x.net/en/a/b?q", "2024-05-01"), (8, "https://x.net/en/ab", "2024-05-01"), (9, "http://day.com", "2024-03-01"), (10, None, "2024-01-15"), (11, "not an address", "2024-01-15"), (12, "http://a.bad.org", None), (13, "http://bad.org/p/q", "2024-01-15"), (2, "http://a.BAD.org:80/x", "2024-01-10")]
     df = spark.createDataFrame(pages, "page_id int, url string, fetched string").withColumn("fetched", F.to_date("fetched")).withColumn("__row", F.lit(1))
-    got = url_filters.evaluate(df, entries, broadcast_rows=limit).collect()
+    got = url_filters.evaluate(df, entries, broadcast_bytes=limit).collect()
     assert Counter(r.page_id for r in got if r.verdict == "block") == {2: 2, 3: 1, 6: 1, 7: 1}
     assert {r.page_id: r.rule for r in got}[5] == "ok.bad.org" and {r.page_id: r.rule for r in got}[7] == "x.net/en/a"
     assert url_filters.blocked_removed(df, entries).columns == df.columns and url_filters.blocked_removed(df, entries).count() == 9
