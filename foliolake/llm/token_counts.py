@@ -1,11 +1,15 @@
 """Token counts that follow edits.
 
-A document keeps a segment tree whose leaves are the token and character counts
-of its pre-tokens. Merges never cross pre-tokens, so an edit can change only
-the pre-tokens that it touches and, because the split looks ahead, those next
-to them: this region is split and encoded anew together with its boundary
-context, the leaves are replaced, and the sums on the path to the root are
-updated. Text outside the region is neither split nor encoded again.
+A document keeps a segment tree over blocks of its pre-tokens: the leaves have the
+characters and tokens of ``LEAF`` pre-tokens each, the nodes above their sums.
+:func:`build_trees` writes the leaves once; :func:`apply_edits` reads them and
+never encodes a document again. Merges never cross pre-tokens, so an edit can
+change only the pre-tokens that it touches and, because the split looks ahead,
+those next to them: these leaves are split and encoded anew together with their
+boundary context, until the outermost pre-tokens are as before. The leaves are
+replaced, nodes with too many children are divided, and sums change on the path
+to the root only. Each leaf holds its own piece of the text, so an edit copies
+neither the text nor the tree.
 
 Edits are rows (doc_id, seq, start, length, insert): at code point ``start``
 remove ``length`` code points and insert a text; they apply in the order of
@@ -15,8 +19,9 @@ a document with very many edits is a stream and not a group in memory.
 Defined cases: null texts and inserts are empty; start and length are clipped
 to the text; edits without a document of their identifier are ignored, edits
 with a null identifier too; rows with one identifier all get its edits; ties in
-``seq`` apply in the order of start, length and insert. Empty tables give empty
-results, and other columns are not read.
+``seq`` apply in the order of start, length and insert; a text without a stored
+tree, or with one of another text, is counted first. Very long texts are deeper
+trees. Empty tables give empty results, and other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,135 +33,229 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .pretokens import blocks, encoder
-from .scratch import arrow_bytes
+from .scratch import Scratch, arrow_bytes
 
 NAME = "op10_edit_token_counts"
-#: Pre-tokens in a leaf block of the tree.
-LEAF = 64
+#: Pre-tokens in a leaf of the tree, and children of a node.
+LEAF, FAN = 64, 16
 
 
-class SegmentTree:
-    """Sums of (characters, tokens) over blocks of pre-tokens; the blocks are the leaves."""
-
-    def __init__(self, sizes: np.ndarray, counts: np.ndarray):
-        cut = np.arange(0, len(sizes), LEAF)
-        self.leaves = [(sizes[a : a + LEAF], counts[a : a + LEAF]) for a in cut]
-        self._build()
-
-    def _build(self) -> None:
-        self.width = 1
-        while self.width < max(len(self.leaves), 1):
-            self.width *= 2
-        self.sums = np.zeros((2 * self.width, 2), np.int64)
-        for i, (s, c) in enumerate(self.leaves):
-            self.sums[self.width + i] = s.sum(), c.sum()
-        for i in range(self.width - 1, 0, -1):
-            self.sums[i] = self.sums[2 * i] + self.sums[2 * i + 1]
+class Leaf:
+    """A piece of text with its characters and tokens."""
 
-    @property
-    def characters(self) -> int:
-        return int(self.sums[1, 0])
+    __slots__ = ("parent", "text", "chars", "tokens")
 
-    @property
-    def tokens(self) -> int:
-        return int(self.sums[1, 1])
+    def __init__(self, text: str, tokens: int):
+        self.parent, self.text, self.chars, self.tokens = None, text, len(text), tokens
+
+
+class Node:
+    """At most ``FAN`` children with the sums of their characters and tokens."""
+
+    __slots__ = ("parent", "children", "chars", "tokens")
+
+    def __init__(self, children: list):
+        self.parent, self.children = None, children
+        for c in children:
+            c.parent = self
+        self.chars, self.tokens = sum(c.chars for c in children), sum(c.tokens for c in children)
+
+
+class SegmentTree:
+    """Leaves in order under nodes of sums; all leaves have one depth."""
 
-    def find(self, at: int) -> tuple[int, int]:
+    def __init__(self, leaves: list[Leaf]):
+        level: list = leaves or [Leaf("", 0)]
+        while len(level) > 1 or isinstance(level[0], Leaf):
+            level = [Node(level[i : i + FAN]) for i in range(0, len(level), FAN)]
+        self.root = level[0]
+
+    def find(self, at: int) -> tuple[Leaf, int]:
         """(leaf, first character of it) of the leaf that holds character ``at``; the last leaf for the end."""
-        node, before = 1, 0
-        while node < self.width:
-            node *= 2
-            left = int(self.sums[node, 0])
-            if at >= before + left and self.sums[node + 1, 0] > 0:
-                before += left
-                node += 1
-        return node - self.width, before
-
-    def replace(self, first: int, last: int, sizes: np.ndarray, counts: np.ndarray) -> None:
-        """Puts new pre-tokens in the place of the leaves ``first`` to ``last``."""
-        fresh = [(sizes[a : a + LEAF], counts[a : a + LEAF]) for a in range(0, len(sizes), LEAF)]
-        same = last - first + 1
-        if self.leaves and len(fresh) <= same or not fresh:
-            # fewer leaves: empty ones keep the shape, so only the paths to the root change
-            empty = (np.zeros(0, np.int64), np.zeros(0, np.int64))
-            for i, leaf in enumerate(fresh + [empty] * (same - len(fresh))):
-                self._set(first + i, leaf)
-        elif len(fresh) - same == 1 and same and len(fresh[-1][0]) + len(fresh[-2][0]) <= 2 * LEAF:
-            joined = tuple(np.concatenate([a, b]) for a, b in zip(fresh[-2], fresh[-1]))
-            for i, leaf in enumerate([*fresh[:-2], joined]):
-                self._set(first + i, leaf)
+        node, before = self.root, 0
+        while isinstance(node, Node):
+            for child in node.children:
+                if at < before + child.chars:
+                    break
+                before += child.chars
+            else:
+                before -= child.chars
+            node = child
+        return node, before
+
+    def beside(self, leaf: Leaf, step: int) -> Leaf | None:
+        """The leaf after (1) or before (-1) a leaf."""
+        node = leaf
+        while node.parent is not None:
+            line = node.parent.children
+            i = line.index(node) + step
+            if 0 <= i < len(line):
+                node = line[i]
+                while isinstance(node, Node):
+                    node = node.children[0 if step > 0 else -1]
+                return node
+            node = node.parent
+        return None
+
+    def _add(self, node, chars: int, tokens: int) -> None:
+        while node is not None:
+            node.chars += chars
+            node.tokens += tokens
+            node = node.parent
+
+    def change(self, leaf: Leaf, text: str, tokens: int) -> None:
+        chars, more = len(text) - leaf.chars, tokens - leaf.tokens
+        leaf.text = text
+        self._add(leaf, chars, more)
+
+    def remove(self, leaf: Leaf) -> None:
+        self._add(leaf, -leaf.chars, -leaf.tokens)
+        node = leaf
+        while node.parent is not None and len(node.parent.children) == 1:
+            node = node.parent
+        if node.parent is None:  # the last leaf of all stays, without text
+            leaf.text = ""
         else:
-            self.leaves[first : last + 1] = fresh
-            self._build()
+            node.parent.children.remove(node)
+
+    def insert_after(self, leaf: Leaf, fresh: Leaf) -> None:
+        line = leaf.parent.children
+        line.insert(line.index(leaf) + 1, fresh)
+        fresh.parent = leaf.parent
+        self._add(leaf.parent, fresh.chars, fresh.tokens)
+        node = leaf.parent
+        while len(node.children) > FAN:  # divided, and so may be the nodes above
+            above, half = node.parent, len(node.children) // 2
+            right = Node(node.children[half:])
+            del node.children[half:]
+            node.chars -= right.chars
+            node.tokens -= right.tokens
+            if above is None:
+                self.root = Node([node, right])
+                break
+            above.children.insert(above.children.index(node) + 1, right)
+            right.parent = above
+            node = above
 
-    def _set(self, i: int, leaf: tuple[np.ndarray, np.ndarray]) -> None:
-        if i >= len(self.leaves):
-            return
-        self.leaves[i] = leaf
-        node = self.width + i
-        self.sums[node] = leaf[0].sum(), leaf[1].sum()
-        while node > 1:
-            node //= 2
-            self.sums[node] = self.sums[2 * node] + self.sums[2 * node + 1]
+    def leaves(self):
+        stack = [self.root]
+        while stack:
+            node = stack.pop()
+            if isinstance(node, Leaf):
+                yield node
+            else:
+                stack += reversed(node.children)
 
 
-class CountedText:
-    """A text with the token counts of its pre-tokens; ``edit`` keeps both up to date."""
+def leaf_sums(sizes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """(characters, tokens) of as few blocks of at most ``LEAF`` pre-tokens as there can be, about equal ones, a row each."""
+    blocks_ = -(-len(sizes) // LEAF)
+    at = np.arange(0, len(sizes), -(-len(sizes) // max(blocks_, 1)) or 1)
+    return np.stack([np.add.reduceat(sizes, at), np.add.reduceat(counts, at)], 1).astype("<i4") if len(at) else np.zeros((0, 2), "<i4")
 
-    def __init__(self, text: str, ranks: str | None = None, pretokens: tuple[np.ndarray, np.ndarray] | None = None):
-        self.text, self.coder, self.encoded = text, encoder(ranks), 0
-        self.tree = SegmentTree(*(pretokens if pretokens is not None else self._count(text)))
 
-    def _count(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        starts, index, _, at = self.coder.pretokens([text], added=True)
-        return np.diff(np.append(starts, at[-1])), self.coder.counts(index)
+class CountedText:
+    """A text as a tree of counted leaves; ``edit`` keeps both up to date. ``sums`` are stored leaves, else the text is counted."""
+
+    def __init__(self, text: str, ranks: str | None = None, sums: np.ndarray | None = None):
+        self.coder, self.encoded, leaves = encoder(ranks), 0, []
+        if sums is None or int(sums[:, 0].sum()) != len(text):
+            (sizes, counts), = self._count([text])
+            self.encoded, sums = len(text), leaf_sums(sizes, counts)
+        at = 0
+        for chars, tokens in sums.tolist():
+            leaves.append(Leaf(text[at : at + chars], tokens))
+            at += chars
+        self.tree = SegmentTree(leaves)
+
+    def _count(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(sizes, tokens) of the pre-tokens of each text."""
+        starts, index, bounds, at = self.coder.pretokens(texts, added=True)
+        counts = self.coder.counts(index)
+        return [(np.diff(np.append(starts[a:b], e)), counts[a:b]) for a, b, e in zip(bounds[:-1], bounds[1:], at[1:])]
 
     @property
     def tokens(self) -> int:
-        return self.tree.tokens
+        return self.tree.root.tokens
+
+    @property
+    def chars(self) -> int:
+        return self.tree.root.chars
+
+    @property
+    def text(self) -> str:
+        return "".join(leaf.text for leaf in self.tree.leaves())
 
     def edit(self, start: int, length: int, insert: str) -> None:
-        n = len(self.text)
+        tree, n = self.tree, self.chars
         start = min(max(start, 0), n)
         stop = min(start + max(length, 0), n)
-        tree = self.tree
-        before = n
-        self.text = self.text[:start] + insert + self.text[stop:]
-        if not tree.leaves:
-            self.encoded += len(self.text)
-            self.tree = SegmentTree(*self._count(self.text))
-            return
-        # the leaves that the edit touches, with one before and one after as context
+        # the leaves that the edit touches, then ones before and after them as context
         first, left = tree.find(max(start - 1, 0))
-        last, right = tree.find(min(stop, before - 1)) if before else (0, 0)
-        grow = 1
+        held = [first]
+        right = left + first.chars
+        while right < stop:
+            held.append(tree.beside(held[-1], 1))
+            right += held[-1].chars
+        back = on = 1  # leaves to add on either side
         while True:
-            lo, hi = max(first - grow, 0), min(last + grow, len(tree.leaves) - 1)
-            a = int(sum(tree.leaves[i][0].sum() for i in range(lo, first)))
-            a = left - a
-            b = right + int(sum(tree.leaves[i][0].sum() for i in range(last, hi + 1)))
-            region = self.text[a : b + len(insert) - (stop - start)]
-            sizes, counts = self._count(region)
+            for _ in range(back):
+                if (before := tree.beside(held[0], -1)) is None:
+                    break
+                held.insert(0, before)
+                left -= before.chars
+            for _ in range(on):
+                if (after := tree.beside(held[-1], 1)) is None:
+                    break
+                held.append(after)
+            whole = "".join(leaf.text for leaf in held)
+            a, b = start - left, stop - left
+            region = whole[:a] + insert + whole[b:]
+            at_start, after = tree.beside(held[0], -1) is None, tree.beside(held[-1], 1)
+            # the old ends are split with the new region, each with two signs that follow it, as white space looks ahead
+            ahead = after.text[:2] if after is not None else ""
+            texts = (region, held[0].text, held[-1].text)
+            follows = (ahead, held[1].text[:2] if len(held) > 1 else ahead, ahead)
+            counted = self._count([t + f for t, f in zip(texts, follows)])
+            new, head, tail = (self._before(c, len(t)) for c, t in zip(counted, texts))
             self.encoded += len(region)
-            # the region's outermost pre-tokens must be as before, else white space or a contraction reaches further; an added token reaches `reach` characters
-            head = lo == 0 or start - a >= self.coder.reach and self._same_head(tree, lo, sizes, start - a)
-            tail = hi == len(tree.leaves) - 1 or b - stop >= self.coder.reach and self._same_tail(tree, hi, sizes, b - stop)
-            if head and tail:
+            keep = len(whole) - b
+            # the outermost pre-tokens must be as before, else white space or a contraction reaches further; an added token reaches `reach` characters
+            reach = self.coder.reach
+            headed = new is not None and (at_start or a >= reach and self._same_head(head, new[0], a))
+            tailed = new is not None and (after is None or keep >= reach and self._same_tail(tail, new[0], keep))
+            if headed and tailed:
                 break
-            grow *= 2
-        tree.replace(lo, hi, sizes, counts)
+            back, on = 0 if headed or new is None else max(2 * back, 1), 0 if tailed else max(2 * on, 1)
+        sums, done, fresh = leaf_sums(*new), 0, []
+        for chars, tokens in sums.tolist():
+            fresh.append((region[done : done + chars], tokens))
+            done += chars
+        for leaf, (text, tokens) in zip(held, fresh):
+            tree.change(leaf, text, tokens)
+        last = held[min(len(held), len(fresh)) - 1]
+        for text, tokens in fresh[len(held) :]:
+            tree.insert_after(last, leaf := Leaf(text, tokens))
+            last = leaf
+        for leaf in held[len(fresh) :]:
+            tree.remove(leaf)
+
+    @staticmethod
+    def _before(pair: tuple[np.ndarray, np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray] | None:
+        """The pre-tokens of the first ``size`` characters; None where one reaches beyond."""
+        ends = np.cumsum(pair[0])
+        n = int(np.searchsorted(ends, size, "right"))
+        return (pair[0][:n], pair[1][:n]) if (ends[n - 1] if n else 0) == size else None
 
     @staticmethod
-    def _same_head(tree: SegmentTree, lo: int, sizes: np.ndarray, unchanged: int) -> bool:
+    def _same_head(old, new: np.ndarray, unchanged: int) -> bool:
         """Whether the region's first pre-token ends before the edit with the size that it had."""
-        old = tree.leaves[lo][0]
-        return len(old) > 0 and len(sizes) > 1 and sizes[0] == old[0] and sizes[0] < unchanged
+        return old is not None and len(old[0]) > 0 and len(new) > 1 and new[0] == old[0][0] and new[0] < unchanged
 
     @staticmethod
-    def _same_tail(tree: SegmentTree, hi: int, sizes: np.ndarray, unchanged: int) -> bool:
+    def _same_tail(old, new: np.ndarray, unchanged: int) -> bool:
         """Whether the region's last two pre-tokens begin after the edit with the sizes that they had."""
-        old = tree.leaves[hi][0]
-        return len(old) > 1 and len(sizes) > 2 and list(sizes[-2:]) == list(old[-2:]) and int(sizes[-2:].sum()) < unchanged
+        return old is not None and len(old[0]) > 1 and len(new) > 2 and list(new[-2:]) == list(old[0][-2:]) and int(new[-2:].sum()) < unchanged
 
 
 def count_tokens(docs: DataFrame, *, ranks: str | None = None, ident: str = "doc_id", text: str = "text") -> DataFrame:
@@ -178,15 +277,38 @@ def count_tokens(docs: DataFrame, *, ranks: str | None = None, ident: str = "doc
     return docs.select(F.col(ident).alias("doc_id"), F.col(text).alias("text")).mapInArrow(count, schema)
 
 
+def build_trees(docs: DataFrame, *, ranks: str | None = None, ident: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, digest (of the text), leaves: the characters and tokens of the leaves of every row's tree, packed."""
+    arrow_bytes(docs.sparkSession)
+    schema = T.StructType([T.StructField("doc_id", docs.schema[ident].dataType), T.StructField("digest", T.LongType()), T.StructField("leaves", T.BinaryType())])
+
+    def build(batches):
+        coder = encoder(ranks)
+        for batch in batches:
+            out = []
+            for _, some in blocks([t or "" for t in batch.column("text").to_pylist()]):  # many documents at once
+                begin, index, bounds, chars = coder.pretokens(some, added=True)
+                counts, ends = coder.counts(index), np.append(begin, chars[-1])
+                for j in range(len(some)):
+                    a, b = bounds[j], bounds[j + 1]
+                    out.append(leaf_sums(np.diff(np.append(ends[a:b], chars[j + 1])), counts[a:b]).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), pa.array(out, pa.binary())], names=schema.names)
+
+    return docs.select(F.col(ident).alias("doc_id"), F.col(text).alias("text"), _digest(text).alias("digest")).mapInArrow(build, schema)
+
+
+def _digest(text: str):
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
 def _follow(ranks: str | None):
-    """Each document, then its edits in order, to its counts before and after."""
+    """Each document's trees, its texts, and its edits in order to its counts before and after."""
 
     def run(batches):
-        coder, now = encoder(ranks), None  # (identifier, [texts as counted], [sizes before])
+        now, trees, held = None, {}, {}  # identifier, leaves by digest, [counted text, tokens before, edits, rows] by digest
 
         def close():
-            ident, held, before = now
-            return [(ident, b, c.tokens, k, c.encoded, len(c.text)) for c, (b, k) in zip(held, before)]
+            return [(now, b, c.tokens, k, c.encoded, c.chars) for c, b, k, rows in held.values() for _ in range(rows)]
 
         def ready(rows):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (kind, *[pa.int64()] * 5))], names=["doc_id", "n_tokens", "n_tokens_edited", "n_edits", "n_encoded", "n_chars_edited"])
@@ -194,46 +316,56 @@ def _follow(ranks: str | None):
         kind = None
         for batch in batches:
             kind = batch.schema.field("doc_id").type
-            ids, tags = batch.column("doc_id").to_pylist(), batch.column("tag").to_pylist()
-            starts, lengths, texts = (batch.column(c).to_pylist() for c in ("start", "length", "text"))
-            done, whole = [], {}
-            at = [i for i, t in enumerate(tags) if t == 0]
-            for first, some in blocks([texts[i] or "" for i in at]):  # first counts of many documents at once
-                begin, index, bounds, chars = coder.pretokens(some, added=True)
-                counts, ends = coder.counts(index), np.append(begin, chars[-1])
-                for j in range(len(some)):
-                    a, b = bounds[j], bounds[j + 1]
-                    whole[at[first + j]] = np.diff(np.append(begin[a:b], chars[j + 1])), counts[a:b]
-            for i, ident in enumerate(ids):
-                if tags[i] == 0:
-                    if now is None or now[0] != ident or ident is None or now[2][0][1]:
-                        if now is not None:
-                            done += close()
-                        now = (ident, [], [])
-                    held = CountedText(texts[i] or "", ranks, whole[i])
-                    now[1].append(held)
-                    now[2].append((held.tokens, 0))
-                elif now is not None and now[0] == ident and ident is not None:
-                    for j, held in enumerate(now[1]):
-                        held.edit(int(starts[i] or 0), int(lengths[i] or 0), texts[i] or "")
-                        now[2][j] = now[2][j][0], now[2][j][1] + 1
+            columns = (batch.column(c).to_pylist() for c in ("doc_id", "tag", "digest", "leaves", "start", "length", "text"))
+            done = []
+            for ident, tag, digest, leaves, start, length, text in zip(*columns):
+                if ident != now:
+                    done += close()
+                    now, trees, held = ident, {}, {}
+                if tag == 0:
+                    trees[digest] = np.frombuffer(leaves, "<i4").reshape(-1, 2)
+                elif tag == 1:
+                    if digest in held:  # repeated rows are edited once
+                        held[digest][3] += 1
+                    else:
+                        counted = CountedText(text or "", ranks, trees.get(digest))
+                        held[digest] = [counted, counted.tokens, 0, 1]
+                else:
+                    for each in held.values():
+                        each[0].edit(int(start or 0), int(length or 0), text or "")
+                        each[2] += 1
+            if now is None:  # rows without an identifier have no edits, so none of them waits
+                done += close()
+                held = {}
             if done:
                 yield ready(done)
-        if now is not None:
+        if held:
             yield ready(close())
 
     return run
 
 
-def apply_edits(docs: DataFrame, edits: DataFrame, *, ranks: str | None = None, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_tokens, n_tokens_edited, n_edits, n_encoded (code points encoded again), n_chars_edited of every row."""
-    arrow_bytes(docs.sparkSession)
-    nothing = F.lit(None)
+def apply_edits(docs: DataFrame, edits: DataFrame, trees: DataFrame | None = None, *, ranks: str | None = None, ident: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_tokens, n_tokens_edited, n_edits, n_encoded (code points encoded again), n_chars_edited of every row.
+
+    ``trees`` is what :func:`build_trees` gave for ``docs``, or a table of it from before; without it, trees are built first.
+    """
+    spark = docs.sparkSession
+    arrow_bytes(spark)
+    if trees is None:
+        trees = Scratch(spark).save(build_trees(docs, ranks=ranks, ident=ident, text=text), "trees")
     kind = docs.schema[ident].dataType
-    rows = docs.select(F.col(ident).alias("doc_id"), F.lit(0).alias("tag"), nothing.cast("long").alias("seq"), nothing.cast("long").alias("start"), nothing.cast("long").alias("length"), F.col(text).alias("text"))
-    more = edits.where(F.col(ident).isNotNull()).select(F.col(ident).cast(kind).alias("doc_id"), F.lit(1).alias("tag"), F.col("seq").cast("long").alias("seq"), F.col("start").cast("long").alias("start"), F.col("length").cast("long").alias("length"), F.col("insert").alias("text"))
+    empty = {"digest": "long", "leaves": "binary", "seq": "long", "start": "long", "length": "long", "text": "string"}
+
+    def rows(df: DataFrame, tag: int, **given) -> DataFrame:
+        return df.select(F.col(ident if tag else "doc_id").cast(kind).alias("doc_id"), F.lit(tag).alias("tag"), *(given.get(n, F.lit(None)).cast(t).alias(n) for n, t in empty.items()))
+
+    # a tree for each text, whatever the number of its copies under one identifier
+    kept = rows(trees.where("doc_id IS NOT NULL"), 0, digest=F.col("digest"), leaves=F.col("leaves"))
+    bodies = rows(docs, 1, digest=_digest(text), text=F.col(text))
+    changes = rows(edits.where(F.col(ident).isNotNull()), 2, seq=F.col("seq"), start=F.col("start"), length=F.col("length"), text=F.col("insert"))
     schema = T.StructType([T.StructField("doc_id", kind), *(T.StructField(n, T.LongType()) for n in ("n_tokens", "n_tokens_edited", "n_edits", "n_encoded", "n_chars_edited"))])
-    ordered = rows.unionByName(more).repartition("doc_id").sortWithinPartitions("doc_id", "tag", "seq", "start", "length", "text")
+    ordered = kept.unionByName(bodies).unionByName(changes).repartition("doc_id").sortWithinPartitions("doc_id", "tag", "seq", "start", "length", "text")
     return ordered.mapInArrow(_follow(ranks), schema)
 
 
