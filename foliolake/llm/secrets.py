@@ -9,7 +9,7 @@ secret needs an identifier or an endpoint. The join runs over the sorted parts
 of one document (binary searches on their starts and ends), so it needs no
 shuffle, and its cost follows the number of parts and not of pairs.
 
-Defined cases: a null text is empty and has no spans; every row is scanned on
+Defined cases: a null text is empty and has no spans; a very long text is scanned whole; every row is scanned on
 its own, so repeated or null identifiers do not matter; an empty table gives an
 empty result; columns other than the identifier and the text are not read.
 """
@@ -86,10 +86,11 @@ def link(base: list[tuple[int, int, str]], weak: list[tuple[int, int, str]], sco
         return []
     of = lambda spans, *kinds: [x for x in spans if x[2] in kinds]
     taken = np.array(sorted((a, b) for a, b, _ in base)).reshape(-1, 2)
+    reach = np.maximum.accumulate(taken[:, 1])
 
     def free(x):  # a weak span inside a base span says nothing new
         i = np.searchsorted(taken[:, 0], x[0], "right") - 1
-        return i < 0 or taken[: i + 1, 1].max() < x[1]
+        return i < 0 or reach[i] < x[1]
 
     weak = [x for x in weak if free(x)]
     identities = of(base, "access") + of(weak, "account", "endpoint")
