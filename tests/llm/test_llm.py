@@ -275,6 +275,30 @@ def brute_hits(rows, items, n=10):
     return out
 
 
+def brute_longest(rows, items, n=10):
+    """(words, place, item) of the longest verbatim match: of all alignments, runs of at least n words or whole shorter items."""
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({i: i + 32 for i in range(65, 91)}))
+    out = {}
+    for i, t in rows:
+        w, best = words(t), (0, 0, "")
+        places = defaultdict(list)
+        for k, x in enumerate(w):
+            places[x].append(k)
+        for name, text in items:
+            v = words(text)
+            for a, x in enumerate(v):
+                for b in places[x]:
+                    if a and b and v[a - 1] == w[b - 1]:
+                        continue
+                    size = 0
+                    while a + size < len(v) and b + size < len(w) and v[a + size] == w[b + size]:
+                        size += 1
+                    if size >= min(n, len(v)):
+                        best = min(best, (-size, b, "" if name is None else str(name)))
+        out[i] = (-best[0], best[1], best[2]) if best[0] else (0, None, None)
+    return out
+
+
 @pytest.mark.parametrize("block", [1 << 25, 60])
 def test_hits(spark, corpus, block):
     rng = random.Random(9)
@@ -282,9 +306,10 @@ def test_hits(spark, corpus, block):
     items = [(k, " ".join(t[a : a + rng.randint(3, 30)])) for k, t in enumerate(rng.sample(texts, 20)) for a in [rng.randrange(len(t) - 30)]]
     items += [(100, None), (101, ""), (102, "one"), (2, items[2][1]), (103, "ÖL für,ÄÖÜ"), (None, "two!words")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = {r.doc_id: (r.n_words, r.n_hit, r.item_ids) for r in decontaminate.hits(docs(spark, corpus), bench, block_bytes=block).collect()}
+    rows = decontaminate.hits(docs(spark, corpus), bench, block_bytes=block).collect()
     want = brute_hits(corpus, items)
-    assert got == want
+    assert {r.doc_id: (r.n_words, r.n_hit, r.item_ids) for r in rows} == want
+    assert {r.doc_id: (r.longest_words, r.longest_at, r.longest_item) for r in rows} == brute_longest(corpus, items)
     kept = {r.doc_id for r in decontaminate.decontaminate(docs(spark, corpus), bench, block_bytes=block).collect()}
     assert kept == {i for i, (_, h, _) in want.items() if not h}
 
