@@ -1,9 +1,7 @@
 """Removal of byte strings that repeat from documents with smaller identifiers.
 
-A suffix of the corpus matters only through its first ``LENGTH`` bytes, so the
-suffix order is not built for every byte. As in induced sorting a sample of
-suffixes is chosen by local content, only tuples of the sample are sorted, and
-what holds for the sample is induced for the suffixes between:
+Suffixes are sorted by external induced sorting (:mod:`.induced`) in shards that
+need no merging, since equal strings of ``LENGTH`` bytes always meet in one:
 
 1. Every window of ``LENGTH`` bytes contains the smallest of its ``GRAM``-byte
    strings in a hashed order; equal windows choose the same one. Consecutive
@@ -12,8 +10,10 @@ what holds for the sample is induced for the suffixes between:
 2. Tuples are sorted by both hashes. A segment that occurs whole in a smaller
    document is repeated in all its windows. One whose chosen string occurs in
    smaller documents with other surroundings is undecided; of such groups each
-   distinct segment sends its bytes once.
-3. The windows of these segments are sorted by content, which decides them.
+   distinct segment sends its bytes once, to the shard of its chosen string.
+3. In each shard, induced sorting carries suffix tuples and their common prefixes
+   through queues, beyond ``MEMORY`` bytes on disk. Suffixes with ``LENGTH`` bytes in
+   common are neighbours there, and the smallest identifier of such a run keeps them.
 
 Tuples are packed and travel through external sorts and shuffles on disk;
 before they do, equal tuples of one document group become one, so a string that
@@ -24,7 +24,7 @@ the input. A chosen string with very many different segments is found in a
 sample of the documents: its tuples are spread by the hash of the segment and
 its windows by the hash of the window, so no bucket holds them all.
 
-Equality of windows is by 64-bit hashes. Defined cases: null and empty texts
+Equality of whole segments, and of windows of hot strings, is by 64-bit hashes. Defined cases: null and empty texts
 have no bytes; texts below ``LENGTH`` bytes keep everything; very long texts are
 worked on in stretches of ``BLOCK`` bytes that overlap by a window; rows with a null
 identifier neither lose bytes nor count as a source; rows with one identifier
@@ -40,6 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .induced import groups, suffixes
 from .scratch import Scratch, arrow_bytes, partitions_for
 from .words import mix
 
@@ -49,10 +50,13 @@ LENGTH, GRAM = 50, 20
 FINE, BLOCK, HOLD = 8, 1 << 20, 500_000
 #: Bytes of input in a partition at most; one document of SAMPLE is looked at for strings with more than HOT segments.
 PART_BYTES, SAMPLE, HOT = 48 << 20, 64, 200_000
+#: Bytes of queued suffix tuples of a shard in memory; the rest waits on disk.
+MEMORY = 64 << 20
 _BASE = 0xD1342543DE82EF95
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _VALUE = np.random.default_rng(23).integers(1, 1 << 63, 256, np.int64).astype(np.uint64)
 _POSITION = np.int64((1 << 31) - 1)
+_NONE = np.iinfo(np.int64).max
 
 
 class _Powers:
@@ -349,20 +353,14 @@ def _decide(buckets: int, hot, block: int):
     return run
 
 
-def _compare(buckets: int):
+def _compare(buckets: int, memory: int):
     """Undecided segments, or windows of hot strings, of a bucket to spans of windows that occur in a smaller document."""
 
     def run(batches):
         for bucket, rows in _runs(batches, "bucket"):
-            h, doc, row, g, begin = _loose(rows) if bucket >= buckets else _windows(rows)
-            order = np.argsort(h)
-            h = h[order]
-            first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-            least = np.repeat(np.minimum.reduceat(doc[order], first), np.diff(np.append(first, len(h))))
-            hit = order[least < doc[order]]
-            if not len(hit):
+            doc, row, g, begin = _loose(rows) if bucket >= buckets else _sorted_segments(rows, memory)
+            if not len(doc):
                 continue
-            doc, row, g, begin = doc[hit], row[hit], g[hit], begin[hit]
             order = np.lexsort((row, doc))
             doc, row, g, begin = doc[order], row[order], g[order], begin[order]
             cut = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (row[1:] != row[:-1])))
@@ -372,8 +370,8 @@ def _compare(buckets: int):
     return run
 
 
-def _windows(rows: list[dict]) -> tuple[np.ndarray, ...]:
-    """(hash, document, row, group, start) of all windows of packed segments."""
+def _sorted_segments(rows: list[dict], memory: int) -> tuple[np.ndarray, ...]:
+    """(document, row, group, start) of the windows of packed segments that a smaller document has too, by the suffix order of their bytes."""
     ident, mark, lo, group, size, raw = [], [], [], [], [], []
     for r in rows:
         blob = r["blob"]
@@ -385,18 +383,31 @@ def _windows(rows: list[dict]) -> tuple[np.ndarray, ...]:
         raw.append(blob[8 + 26 * n :])
         group.append(np.full(n, r["g"]))
     ident, mark, lo, size, group = map(np.concatenate, (ident, mark, lo, size, group))
-    b = Bytes([b"".join(raw)])
-    b.bounds = np.concatenate([[0], np.cumsum(size.astype(np.int64))])
-    start = b.windows(LENGTH)
-    owner = np.searchsorted(b.bounds, start, "right") - 1
-    return b.hash(start, start + LENGTH), ident[owner], mark[owner], group[owner], start - b.bounds[owner] + lo[owner]
+    bounds = np.concatenate([[0], np.cumsum(size.astype(np.int64))])
+    owner = np.repeat(np.arange(len(size)), size)
+    hits = []
+    for place, starts in groups(suffixes(np.frombuffer(b"".join(raw), np.uint8), LENGTH, memory), LENGTH):
+        # a group is a string of LENGTH bytes; only windows inside a segment count
+        whose = owner[place]
+        doc = np.where(place + LENGTH <= bounds[whose + 1], ident[whose], _NONE)
+        least = np.repeat(np.minimum.reduceat(doc, starts), np.diff(np.append(starts, len(doc))))
+        hits.append(place[(doc > least) & (doc != _NONE)])
+    place = np.concatenate(hits) if hits else np.zeros(0, np.int64)
+    whose = owner[place]
+    return ident[whose], mark[whose], group[whose], place - bounds[whose] + lo[whose]
 
 
 def _loose(rows: list[dict]) -> tuple[np.ndarray, ...]:
-    """The same of windows that were packed one by one."""
+    """The same of windows that were packed one by one, by their hashes."""
     each = [_unpack(r["blob"], "<u8", "<i8", "<i8", "<i8") for r in rows]
     h, doc, mark, start = map(np.concatenate, zip(*each))
-    return h, doc, mark, np.repeat([r["g"] for r in rows], [len(e[0]) for e in each]), start
+    g = np.repeat([r["g"] for r in rows], [len(e[0]) for e in each])
+    order = np.argsort(h)
+    h = h[order]
+    first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+    least = np.repeat(np.minimum.reduceat(doc[order], first), np.diff(np.append(first, len(h))))
+    hit = order[least < doc[order]]
+    return doc[hit], mark[hit], g[hit], start[hit]
 
 
 def _cut(batches):
@@ -424,7 +435,7 @@ def _cut(batches):
             yield _emit(["id", "n_bytes", "spans", "kept"], (pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.binary()), out)
 
 
-def repeated(docs: DataFrame, *, ident: str = "doc_id", text: str = "text", sample: int = SAMPLE, hot: int = HOT, block: int = BLOCK) -> DataFrame:
+def repeated(docs: DataFrame, *, ident: str = "doc_id", text: str = "text", sample: int = SAMPLE, hot: int = HOT, block: int = BLOCK, memory: int = MEMORY) -> DataFrame:
     """id, n_bytes, spans (removed byte ranges) and kept (remaining bytes) of every row; identifiers are integers."""
     spark = docs.sparkSession
     arrow_bytes(spark)
@@ -443,7 +454,7 @@ def repeated(docs: DataFrame, *, ident: str = "doc_id", text: str = "text", samp
     mixed = asked.unionByName(named.select(F.lit(1).alias("kind"), "g", "id", "r", "t")).repartition(parts, "g").sortWithinPartitions("g", "kind")
     decided = scratch.save(mixed.mapInArrow(_decide(buckets, held, block), "kind int, bucket int, g int, id long, r long, blob binary"), "decided")
     scratch.drop("replies")
-    found = decided.where("kind = 2").select("bucket", "g", "blob").repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_compare(buckets), "g int, id long, r long, blob binary")
+    found = decided.where("kind = 2").select("bucket", "g", "blob").repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_compare(buckets, memory), "g int, id long, r long, blob binary")
     found = scratch.save(found, "found")
     spans = decided.where("kind = 1").select("g", "id", "r", "blob").unionByName(found).select(F.lit(0).alias("kind"), "g", "id", "r", F.col("blob").alias("t"))
     final = spans.unionByName(slim.select(F.lit(1).alias("kind"), F.coalesce("g", F.lit(0)).alias("g"), "id", "r", "t")).repartition(parts, "g", "id").sortWithinPartitions("id", "r", "kind")

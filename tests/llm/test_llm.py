@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from foliolake.llm import components, decontaminate, exact_dedup, near_dedup, packing, repeats, secrets, sharding, token_counts, toxicity, url_filters
+from foliolake.llm import components, decontaminate, exact_dedup, induced, near_dedup, packing, repeats, secrets, sharding, token_counts, toxicity, url_filters
 from foliolake.llm.pretokens import encoder
 from foliolake.llm.scratch import Scratch
 
@@ -252,6 +252,53 @@ def test_repeats_edge_cases(spark):
     assert repeats.repeated(docs(spark, rows).where("false")).count() == 0
 
 
+def common(a, b, most):
+    return next((k for k in range(most) if k >= min(len(a), len(b)) or a[k] != b[k]), most)
+
+
+@pytest.mark.parametrize("block", [7, 1 << 16])
+def test_induced_sorting(monkeypatch, block):
+    """Order and common prefixes of all suffixes against comparing them, in memory and with queues on disk."""
+    monkeypatch.setattr(induced, "BLOCK", block)
+    rng = random.Random(1)
+    for _ in range(700):
+        letters, n = rng.choice((1, 2, 3, 26, 256)), rng.choice((1, 2, 5, 30, 200))
+        text = bytes(rng.randrange(letters) for _ in range(n))
+        if rng.random() < 0.3:
+            text = text + text[: n // 2] + text
+        depth = rng.choice((5, 50))
+        got = [x for p, c in induced.suffixes(np.frombuffer(text, np.uint8), depth, rng.choice((1 << 28, 200))) for x in zip(p.tolist(), c.tolist())]
+        assert sorted(p for p, _ in got) == list(range(len(text)))
+        for (p, _), (q, c) in zip(got, got[1:]):
+            assert text[p : p + depth] <= text[q : q + depth] and c == common(text[p:], text[q:], depth), (text, p, q)
+
+
+@pytest.mark.parametrize("block", [3, 1 << 16])
+def test_groups_of_equal_strings(monkeypatch, block):
+    monkeypatch.setattr(induced, "BLOCK", block)
+    rng = random.Random(2)
+    for _ in range(300):
+        text = bytes(rng.randrange(2) for _ in range(rng.choice((1, 3, 40, 90))))
+        want = defaultdict(set)
+        for i in range(len(text) - 3):
+            want[text[i : i + 4]].add(i)
+        got = []
+        for place, starts in induced.groups(induced.suffixes(np.frombuffer(text, np.uint8), 4), 4):
+            got += [frozenset(x.tolist()) for x in np.split(place, starts[1:])]
+        whole = [g for g in got if all(i + 4 <= len(text) for i in g)]
+        assert sorted(map(sorted, whole)) == sorted(map(sorted, want.values())) and sum(map(len, got)) == len(text)
+
+
+def test_induced_sorting_beyond_memory():
+    """A shard of a megabyte with 64 kB of queue in memory equals one that is held whole."""
+    rng = np.random.default_rng(3)
+    words = [bytes(rng.integers(97, 123, rng.integers(1, 9)).astype(np.uint8)) for _ in range(500)]
+    text = np.frombuffer(b" ".join(words[i] for i in rng.integers(0, 500, 200_000)), np.uint8)
+    small, large = (list(zip(*induced.suffixes(text, 50, memory))) for memory in (1 << 16, 1 << 28))
+    for a, b in zip(small, large):
+        assert np.array_equal(np.concatenate(a), np.concatenate(b))
+
+
 # decontamination
 
 
