@@ -37,7 +37,7 @@ WINDOW, DEPTH = 10, 16
 #: Most bytes of item texts in one broadcast; what is beyond goes into further passes.
 BLOCK_BYTES = 32 << 20
 #: Bytes of texts in a shard; a longer document is a shard of its own.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 
 
 class Shard:
@@ -48,6 +48,7 @@ class Shard:
         words, self.bounds = hash_words(texts, "alnum")
         self.vocabulary, rank = np.unique(words, return_inverse=True)
         self.words = rank.astype(np.int64) + 1
+        del words, rank
         n = len(self.words)
         self.end = np.repeat(self.bounds[1:], np.diff(self.bounds))  # of the document that a word belongs to
         self.rank, step = self.words, 1

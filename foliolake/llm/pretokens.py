@@ -194,7 +194,7 @@ def encoder(path: str | None = None) -> Encoder:
     return Encoder(path)
 
 
-def blocks(texts: list[str], most: int = 1 << 21):
+def blocks(texts: list[str], most: int = 1 << 20):
     """Consecutive (first, texts) with at most ``most`` characters each; a longer text is a block of its own."""
     first, size = 0, 0
     for i, t in enumerate(texts):

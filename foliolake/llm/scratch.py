@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
 #: Most bytes in an Arrow batch.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .scratch import Scratch, arrow_bytes, fresh
-from .words import _powers, _tables, byte_blocks, mix
+from .words import byte_blocks, mix, word_stretches
 
 NAME = "op5_toxicity"
 #: Labelled rows that are fitted on at most, and passes over them.
@@ -49,29 +49,20 @@ def held_out(ident: Column) -> Column:
 
 def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, hash bucket) of every gram occurrence, and the words of each text."""
-    inside_of, value = _tables("alnum")
-    data = np.frombuffer(b" ".join(texts), np.uint8)
-    inside = inside_of[data]
-    begin = inside.copy()
-    begin[1:] &= ~inside[:-1]
-    place = np.flatnonzero(begin)
-    at = np.zeros(len(texts) + 1, np.int64)
-    np.cumsum([len(t) + 1 for t in texts], out=at[1:])
-    sizes = np.diff(np.searchsorted(place, at))
+    place, bounds, stretches = word_stretches(texts, "alnum")
+    sizes = np.diff(bounds)
     if not len(place):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), sizes
-    chars = value[data[inside]]
-    starts = np.flatnonzero(begin[inside])
-    length = np.diff(np.append(starts, len(chars)))
-    within = np.arange(len(chars)) - np.repeat(starts, length)
-    chars = chars * _powers.upto(int(length.max()))[within]
-    word = mix(np.add.reduceat(chars, starts) + length.astype(np.uint64))
     owner = np.repeat(np.arange(len(texts)), sizes)
+    word = np.empty(len(place), np.uint64)
     found, whose = [word], [owner]
-    for k in BEGINNINGS:
-        longer = length > k
-        found.append(mix(np.add.reduceat(np.where(within < k, chars, np.uint64(0)), starts) + np.uint64(1000 + k))[longer])
-        whose.append(owner[longer])
+    for first, chars, starts, length, within in stretches:
+        here = slice(first, first + len(starts))
+        word[here] = mix(np.add.reduceat(chars, starts) + length.astype(np.uint64))
+        for k in BEGINNINGS:
+            longer = length > k
+            found.append(mix(np.add.reduceat(np.where(within < k, chars, np.uint64(0)), starts) + np.uint64(1000 + k))[longer])
+            whose.append(owner[here][longer])
     for apart, factor in ((1, _NEXT), (2, _SKIP)):
         same = owner[:-apart] == owner[apart:]
         found.append(mix(word[:-apart] * factor + word[apart:])[same])

@@ -45,8 +45,12 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def hash_words(texts: list[bytes], kind: str) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hash of each lower-cased word, bounds of each text's words)."""
+def word_stretches(texts: list[bytes], kind: str, most: int = 1 << 19):
+    """(starts of all words in the joined texts, bounds of each text's words, stretches).
+
+    A stretch is (first word, powers-weighted characters, starts of its words among them, sizes), of about
+    ``most`` bytes, so what is held beside the words does not grow with the texts.
+    """
     inside_of, value = _tables(kind)
     data = np.frombuffer(b" ".join(texts), np.uint8)
     inside = inside_of[data]
@@ -55,18 +59,34 @@ def hash_words(texts: list[bytes], kind: str) -> tuple[np.ndarray, np.ndarray]:
     place = np.flatnonzero(begin)
     at = np.zeros(len(texts) + 1, np.int64)
     np.cumsum([len(t) + 1 for t in texts], out=at[1:])
-    bounds = np.searchsorted(place, at)
-    if not len(place):
-        return np.zeros(0, np.uint64), bounds
-    chars = value[data[inside]]
-    starts = np.flatnonzero(begin[inside])
-    sizes = np.diff(np.append(starts, len(chars)))
-    within = np.arange(len(chars)) - np.repeat(starts, sizes)
-    h = np.add.reduceat(chars * _powers.upto(int(sizes.max()))[within], starts)
-    return mix(h + sizes.astype(np.uint64)), bounds
-
-
-def byte_blocks(texts: list[bytes], most: int = 1 << 21):
+
+    def stretches():
+        cut = np.unique(np.append(np.searchsorted(place, np.arange(0, len(data), most)), len(place)))
+        if cut[0]:
+            cut = np.append(0, cut)
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
+            span = slice(int(place[a]), int(place[b]) if b < len(place) else len(data))
+            within = inside[span]
+            chars = value[data[span][within]]
+            starts = np.flatnonzero(begin[span][within])
+            sizes = np.diff(np.append(starts, len(chars)))
+            order = np.arange(len(chars)) - np.repeat(starts, sizes)
+            chars *= _powers.upto(int(sizes.max()))[order]
+            yield a, chars, starts, sizes, order
+
+    return place, np.searchsorted(place, at), stretches()
+
+
+def hash_words(texts: list[bytes], kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash of each lower-cased word, bounds of each text's words)."""
+    place, bounds, stretches = word_stretches(texts, kind)
+    out = np.zeros(len(place), np.uint64)
+    for first, chars, starts, sizes, _ in stretches:
+        out[first : first + len(starts)] = mix(np.add.reduceat(chars, starts) + sizes.astype(np.uint64))
+    return out, bounds
+
+
+def byte_blocks(texts: list[bytes], most: int = 1 << 20):
     """Consecutive (first, texts) of at most ``most`` bytes; a longer text is a block of its own."""
     first, size = 0, 0
     for i, t in enumerate(texts):
