@@ -122,6 +122,35 @@ def reply_keywords(reply: Column, k: int = 10) -> Column:
     return F.slice(F.from_json(json_block(reply), "array<string>"), 1, k)
 
 
+_REPLY = "struct<summary:string,insights:array<string>,key_numbers:array<struct<label:string,value:string,unit:string,section:string>>>"
+
+
+def document_facts(documents: DataFrame, complete: Callable[[list[str]], list[str]]) -> DataFrame:
+    """doc_id, summary, insights, key_numbers of (doc_id, title, context) by a model's reply in JSON.
+
+    Figures without a label or a value are left out; a reply that is no JSON leaves the title as the summary.
+    """
+
+    def ask(s: pd.Series) -> pd.Series:
+        try:
+            return pd.Series(complete(s.tolist()), index=s.index)
+        except Exception:  # a provider may raise anything, and one bad batch must not end the job
+            return pd.Series([None] * len(s), index=s.index, dtype=object)
+
+    ask.__annotations__ = {"s": pd.Series, "return": pd.Series}
+    prompt = F.concat(F.lit('Return a JSON object with "summary", "insights" and "key_numbers" (label, value, unit, section) of this document.\n\n'), "context")
+    return facts_of(documents.withColumn("reply", F.pandas_udf(ask, "string")(prompt)))
+
+
+def facts_of(replies: DataFrame) -> DataFrame:
+    """doc_id, summary, insights, key_numbers of (doc_id, title, reply)."""
+    parsed = replies.withColumn("r", F.from_json(json_block(F.col("reply")), _REPLY))
+    good = F.col("r.summary").isNotNull() | F.col("r.insights").isNotNull() | F.col("r.key_numbers").isNotNull()
+    named = F.transform(F.filter("r.key_numbers", lambda k: (F.coalesce(k["label"], F.lit("")) != "") & (F.coalesce(k["value"], F.lit("")) != "")), lambda k: F.struct(k["label"].alias("label"), k["value"].alias("value"), k["unit"].alias("unit"), F.coalesce(k["section"], F.lit("§1")).alias("section")))
+    none = F.array()
+    return parsed.select("doc_id", F.when(good, F.coalesce("r.summary", F.lit(""))).otherwise(F.concat(F.lit("Document: "), "title")).alias("summary"), F.coalesce("r.insights", none.cast("array<string>")).alias("insights"), F.coalesce(named, none.cast("array<struct<label:string,value:string,unit:string,section:string>>")).alias("key_numbers"))
+
+
 def document_context(sections: DataFrame, budget: int = 8000) -> DataFrame:
     """doc_id, context: titles and texts in order, as many as fit into ``budget`` characters, at least the first."""
     line = F.concat(F.lit("## "), "title", F.lit("\n"), F.substring(F.coalesce("text", F.lit("")), 1, 500))
@@ -136,4 +165,4 @@ def token_totals(sections: DataFrame) -> DataFrame:
     return sections.groupBy("doc_id").agg(F.count("*").alias("n_sections"), F.sum(token_estimate(F.col("text"))).alias("n_tokens"))
 
 
-__all__ = ["document_context", "figures", "key_numbers", "keywords", "reply_keywords", "token_totals", "with_keywords", "with_summaries"]
+__all__ = ["document_context", "document_facts", "facts_of", "figures", "key_numbers", "keywords", "reply_keywords", "token_totals", "with_keywords", "with_summaries"]

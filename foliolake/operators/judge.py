@@ -58,3 +58,18 @@ def layer_report(answers: DataFrame) -> DataFrame:
     """layer_used, answers and their share, and tokens."""
     total = answers.agg(F.count("*").alias("total"))
     return answers.groupBy("layer_used").agg(F.count("*").alias("n"), F.sum("tokens_used").alias("tokens")).crossJoin(F.broadcast(total)).select("layer_used", "n", (F.col("n") / F.col("total")).alias("share"), "tokens")
+
+
+def markdown(rows: DataFrame, title: str) -> str:
+    """A report as a Markdown table; reports have one row for each group."""
+    head = "| " + " | ".join(rows.columns) + " |"
+    shown = lambda v: "" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v)
+    lines = ["| " + " | ".join(map(shown, r)) + " |" for r in rows.orderBy(*rows.columns[:1]).toLocalIterator()]
+    return "\n".join([f"# {title}", "", head, "|" + " --- |" * len(rows.columns), *lines, ""])
+
+
+def write_reports(spark, path: str, **reports: DataFrame) -> None:
+    """Each report as JSON lines in ``path``/name and as one Markdown file in ``path``/name.md."""
+    for name, rows in reports.items():
+        rows.coalesce(1).write.mode("overwrite").json(f"{path}/{name}")
+        spark.createDataFrame([(markdown(rows, name),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{name}.md")

@@ -21,6 +21,12 @@ def get(library: DataFrame, doc_id: str) -> DataFrame:
     return library.where(F.col("doc_id") == doc_id)
 
 
+def resolved(library: DataFrame, root: str) -> DataFrame:
+    """``library`` with absolute paths: relative ones are below ``root``."""
+    full = F.concat(F.lit(root.rstrip("/") + "/"), F.regexp_replace("path", r"^(?:\./)+", ""))
+    return library.withColumn("path", F.when(F.col("path").rlike("^(/|[A-Za-z]:|[a-z0-9]+://)"), F.col("path")).otherwise(full))
+
+
 def may_read(role: str) -> Column:
     """Whether a role passes; "*" passes everywhere and an entry for "*" lets everyone in."""
     roles = F.coalesce("access_roles", F.array(F.lit("*")))

@@ -56,11 +56,20 @@ class Live:
         df = self.postings().groupBy(*by, "term").agg(F.count("*").alias("df"))
         return _joined(df, self.totals(by), by).groupBy(*by).agg(F.avg(_raw_idf()).alias("mean_idf"))
 
-    def norms(self, by: list[str]) -> DataFrame:
-        """doc_id, sec_idx, norm of the tf-idf weights."""
+    def norms(self, by: list[str], sublinear: bool = False, most: float = 1.0) -> DataFrame:
+        """doc_id, sec_idx, norm of the tf-idf weights, without terms that more than a share of ``most`` of the sections have."""
         tf = self.postings()
-        idf = _joined(tf.groupBy(*by, "term").agg(F.count("*").alias("df")), self.totals(by), by).select(*by, "term", _smooth_idf().alias("idf"))
-        return tf.join(idf, [*by, "term"]).groupBy("doc_id", "sec_idx").agg(F.sqrt(F.sum((F.col("tf") * F.col("idf")) ** 2)).alias("norm"))
+        df = _joined(tf.groupBy(*by, "term").agg(F.count("*").alias("df")), self.totals(by), by)
+        idf = _rare(df, most).select(*by, "term", _smooth_idf().alias("idf"))
+        return tf.join(idf, [*by, "term"]).groupBy("doc_id", "sec_idx").agg(F.sqrt(F.sum((_damped("tf", sublinear) * F.col("idf")) ** 2)).alias("norm"))
+
+
+def _damped(tf: str, sublinear: bool) -> Column:
+    return 1 + F.ln(tf) if sublinear else F.col(tf)
+
+
+def _rare(df: DataFrame, most: float) -> DataFrame:
+    return df if most >= 1 else df.where(F.col("df") <= F.col("n") * most)
 
 
 def _source(sections):
@@ -140,17 +149,21 @@ def bm25_two_queries(sections, questions: DataFrame, *, per_document: bool = Tru
     return scored.groupBy(F.col("qid.qid").alias("qid"), "doc_id", "sec_idx").agg(F.max("score").alias("score"))
 
 
-def tfidf(sections, questions: DataFrame, *, per_document: bool = False) -> DataFrame:
-    """qid, doc_id, sec_idx, score: cosine of tf times ln((1 + N) / (1 + n)) + 1; terms that no section has do not count."""
+def tfidf(sections, questions: DataFrame, *, per_document: bool = False, sublinear: bool = False, most: float = 1.0) -> DataFrame:
+    """qid, doc_id, sec_idx, score: cosine of tf times ln((1 + N) / (1 + n)) + 1; terms that no section has do not count.
+
+    ``sublinear`` takes 1 + ln(tf), and ``most`` leaves out terms that a larger share of the sections have (not with a stored index).
+    """
     source, by = _source(sections), _scope(per_document)
     asked = questions.select("qid", F.explode("tokens").alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
     mark = F.broadcast if few(asked) else lambda df: df
     hits = source.hits(asked, mark)
-    idf = _joined(hits.groupBy(*by, "term").agg(F.count("*").alias("df")), source.totals(by), by).select(*by, "term", _smooth_idf().alias("idf"))
-    qw = mark(asked).join(idf, "term").withColumn("qw", F.col("qtf") * F.col("idf"))
+    idf = _rare(_joined(hits.groupBy(*by, "term").agg(F.count("*").alias("df")), source.totals(by), by), most).select(*by, "term", _smooth_idf().alias("idf"))
+    qw = mark(asked).join(idf, "term").withColumn("qw", _damped("qtf", sublinear) * F.col("idf"))
     qn = qw.groupBy("qid", *by).agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
-    dots = hits.join(qw.select("qid", *by, "term", "qw", "idf"), [*by, "term"]).groupBy("qid", "doc_id", "sec_idx").agg(F.sum(F.col("tf") * F.col("idf") * F.col("qw")).alias("dot"))
-    return dots.join(source.norms(by), ["doc_id", "sec_idx"]).join(qn, ["qid", *by]).select("qid", "doc_id", "sec_idx", (F.col("dot") / (F.col("norm") * F.col("qnorm"))).alias("score"))
+    dots = hits.join(qw.select("qid", *by, "term", "qw", "idf"), [*by, "term"]).groupBy("qid", "doc_id", "sec_idx").agg(F.sum(_damped("tf", sublinear) * F.col("idf") * F.col("qw")).alias("dot"))
+    norms = source.norms(by, sublinear, most) if sublinear or most < 1 else source.norms(by)
+    return dots.join(norms, ["doc_id", "sec_idx"]).join(qn, ["qid", *by]).select("qid", "doc_id", "sec_idx", (F.col("dot") / (F.col("norm") * F.col("qnorm"))).alias("score"))
 
 
 def overlap(sections, questions: DataFrame) -> DataFrame:

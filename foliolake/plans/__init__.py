@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import search_queries, table_queries, text_queries
+from . import file_queries, rule_queries, search_queries, table_queries, text_queries
 
-_MODULES = (text_queries, table_queries, search_queries)
+_MODULES = (text_queries, table_queries, search_queries, file_queries, rule_queries)
 
 
 def queries() -> dict:

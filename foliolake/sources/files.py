@@ -1,7 +1,8 @@
 """Reading folders of documents: one plan from files to raw sections.
 
 ``spark.read.format("binaryFile")`` lists the files; parsers run per file inside
-``mapInPandas``. A file that no parser takes or that fails becomes an error row.
+``mapInPandas``. A file that no parser takes or that fails in whatever way becomes an
+error row; :func:`read_folder` leaves files of unknown formats out.
 Parsers are looked up in order of registration, the latest first, so formats can
 be replaced or added (for PDF or OCR with a library of the user's choice).
 """
@@ -48,14 +49,23 @@ def supported() -> list[str]:
     return sorted({e for _, ends, _ in _PARSERS for e in ends})
 
 
+def prefer(name: str) -> None:
+    """Puts a registered parser before the others, as where two of them read one format."""
+    chosen = [p for p in _PARSERS if p[0] == name]
+    if not chosen:
+        raise ValueError(f"no parser {name!r}; registered are {[p[0] for p in _PARSERS]}")
+    _PARSERS[:] = chosen + [p for p in _PARSERS if p[0] != name]
+
+
 def read_folder(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """Raw sections of all supported files below ``path``."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    return sections_of(reader.option("pathGlobFilter", glob).load(path) if glob else reader.load(path))
+    files = reader.option("pathGlobFilter", glob).load(path) if glob else reader.load(path)
+    return sections_of(files.where(" OR ".join(f"lower(path) LIKE '%{e}'" for e in supported())))
 
 
 def sections_of(files: DataFrame) -> DataFrame:
-    """Raw sections of (path, content) rows; unsupported files are left out."""
+    """Raw sections of (path, content) rows; a file that fails or that no parser takes gives one row with its error."""
     parsers = list(_PARSERS)  # travels with the plan, so workers see what was registered on the driver
 
     def run(batches):
@@ -63,18 +73,18 @@ def sections_of(files: DataFrame) -> DataFrame:
         for files_ in batches:
             rows = []
             for path, data in zip(files_["path"], files_["content"]):
-                hit = next(((n, p) for n, ends, p in parsers if path.lower().endswith(ends)), None)
-                if hit is None:
-                    continue
-                base = (identifier(path), None, path, hit[0])
+                name, parser = next(((n, p) for n, ends, p in parsers if path.lower().endswith(ends)), (None, None))
+                base = (identifier(path), None, path, name)
                 try:
-                    parsed = hit[1](bytes(data), path)
-                except SourceError as e:
-                    rows.append((*base, None, None, None, None, None, None, str(e)))
+                    if parser is None:
+                        raise SourceError("no parser takes this format")
+                    parsed = parser(bytes(data), path)
+                except Exception as e:  # a broken file may raise anything, and must not end the job
+                    why = str(e) if isinstance(e, SourceError) else f"{type(e).__name__}: {e}"
+                    rows.append((*base, None, None, None, None, None, None, why))
                     continue
                 for i, s in enumerate(parsed.sections):
-                    rows.append((base[0], parsed.title, path, hit[0], i, s["title"], s["level"], s["text"], s["tables"], s["images"], None))
+                    rows.append((base[0], parsed.title, path, name, i, s["title"], s["level"], s["text"], s["tables"], s["images"], None))
             yield pd.DataFrame(rows, columns=names)
 
-    known = " OR ".join(f"lower(path) LIKE '%{e}'" for e in supported())
-    return files.where(known).select("path", "content").mapInPandas(run, model.RAW_SECTIONS)
+    return files.select("path", "content").mapInPandas(run, model.RAW_SECTIONS)

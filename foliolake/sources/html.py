@@ -21,18 +21,22 @@ class Node:
         self.name, self.attrs, self.children, self.parent = name, dict(attrs), [], parent
 
     def walk(self):
-        for c in self.children:
-            if isinstance(c, Node):
-                yield c
-                yield from c.walk()
+        """All elements below, in reading order; without recursion, as pages may nest deeply."""
+        stack = [c for c in reversed(self.children) if isinstance(c, Node)]
+        while stack:
+            node = stack.pop()
+            yield node
+            stack += [c for c in reversed(node.children) if isinstance(c, Node)]
 
     def strings(self):
-        for c in self.children:
+        stack = self.children[::-1]
+        while stack:
+            c = stack.pop()
             if isinstance(c, str):
                 if c.strip():
                     yield c.strip()
             elif c.name not in _HIDDEN:
-                yield from c.strings()
+                stack += c.children[::-1]
 
 
 class _Tree(HTMLParser):
