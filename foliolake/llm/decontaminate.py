@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import Scratch, arrow_bytes, fresh
+from .scratch import Scratch, arrow_bytes, fresh, trimmed
 from .words import byte_blocks, hash_words
 
 NAME = "op1_decontaminate"
@@ -256,7 +256,7 @@ def _annotate(docs: DataFrame, items: DataFrame, *, window: int, text: str, item
                 types = (pa.binary(), pa.list_(pa.string()), pa.int64(), pa.int64(), pa.string())
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(counts, pa.int64()), *(pa.array(c, t) for c, t in zip(columns_, types))], names=[*columns, *names_])
 
-        out = out.mapInArrow(scan, schema)
+        out = out.mapInArrow(trimmed(scan), schema)
         block = next(blocks, None)
         if more := block is not None:
             scratch = scratch or Scratch(spark)

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import Scratch, arrow_bytes, fresh
+from .scratch import Scratch, arrow_bytes, fresh, trimmed
 
 PREFIX = 64
 NAME = "op9_exact_dedup"
@@ -81,7 +81,7 @@ def exact_groups(docs: DataFrame, *, ident: str = "doc_id", text: str = "text",
             yield flush()
 
     scratch = Scratch(spark)
-    rows = scratch.save(ordered.mapInArrow(scan, out), "rows")
+    rows = scratch.save(ordered.mapInArrow(trimmed(scan), out), "rows")
     best = F.max("doc_id") if keep == "max" else F.min("doc_id")
     # at most the runs of a partition's first and last hash: a bounded number of rows per partition
     edges = rows.where("edge").groupBy("text_sha256").agg(best.alias("edge_keep"), F.count("*").alias("edge_n"))
@@ -160,7 +160,7 @@ def exact_dedup(docs: DataFrame, *, ident: str = "doc_id", text: str = "text", k
         if last is not None:
             yield from emit((first_hash, last[0]))
 
-    won = Scratch(spark).save(ordered.mapInArrow(scan, schema), "winners")
+    won = Scratch(spark).save(ordered.mapInArrow(trimmed(scan), schema), "winners")
     order = F.col(ident).desc_nulls_last() if keep == "max" else F.col(ident).asc_nulls_last()
     rank = fresh(won, "__rank")
     # one winner per partition and text at most, so this window's groups are bounded by the number of partitions

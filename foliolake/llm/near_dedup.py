@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import Scratch, arrow_bytes, fresh
+from .scratch import Scratch, arrow_bytes, fresh, trimmed
 from .words import byte_blocks, hash_words, mix
 
 NAME = "op6_minhash_links"
@@ -229,7 +229,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                     keep.append(i)
             yield batch.take(pa.array(keep, pa.int64())).select(["a", "b"])
 
-    return pairs.join(left, "a").join(right, "b").mapInArrow(check, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").mapInArrow(trimmed(check), "a long, b long")
 
 
 def near_groups(docs: DataFrame, *, ident: str = "doc_id", text: str = "text") -> DataFrame:
@@ -238,11 +238,11 @@ def near_groups(docs: DataFrame, *, ident: str = "doc_id", text: str = "text") -
     arrow_bytes(spark)
     scratch = Scratch(spark)
     slim = docs.select(F.col(ident).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
-    sketch = scratch.save(slim.mapInArrow(_sketch, "id long, n long, digest binary, signature binary"), "sketch")
+    sketch = scratch.save(slim.mapInArrow(trimmed(_sketch), "id long, n long, digest binary, signature binary"), "sketch")
     # one identifier may have several texts; its representative is a class and not the identifier
     classes = scratch.save(sketch.where("id IS NOT NULL AND digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("signature").alias("signature")).withColumn("id", F.xxhash64("digest")), "classes")
 
-    keys = classes.select("id", "signature").mapInArrow(_explode_keys, "key long, id long")
+    keys = classes.select("id", "signature").mapInArrow(trimmed(_explode_keys), "key long, id long")
     shared = keys.repartitionByRange("key", "id").sortWithinPartitions("key", "id").mapInArrow(_shared_keys, "key long, id long, edge boolean")
     shared = scratch.save(shared, "shared")
     # two keys of a partition at most are marked, so what is broadcast is bounded by the number of partitions
@@ -275,7 +275,7 @@ def near_groups(docs: DataFrame, *, ident: str = "doc_id", text: str = "text") -
             yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.binary()), pa.array([len(r) // 8 for r in rows.values()], pa.int64()), pa.array(list(rows.values()), pa.binary())], names=["digest", "n", "shingles"])
 
     p, q = places(F.col("id"))
-    loaded = slim.where("id IS NOT NULL").select("t", p.alias("p"), q.alias("q")).mapInArrow(load, "digest binary, n long, shingles binary")
+    loaded = slim.where("id IS NOT NULL").select("t", p.alias("p"), q.alias("q")).mapInArrow(trimmed(load), "digest binary, n long, shingles binary")
     sets = scratch.save(loaded.join(candidates.select("id", "digest"), "digest").select("id", "n", "shingles"), "sets")
     held.unpersist()
     scratch.drop("candidates")
@@ -286,7 +286,7 @@ def near_groups(docs: DataFrame, *, ident: str = "doc_id", text: str = "text") -
             if each:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(each)), batch.column("id").take(pa.array(np.repeat(np.arange(len(each)), [len(e) for e in each])))], names=["h", "id"])
 
-    lonely = sets.mapInArrow(spread, "h long, id long").groupBy("h").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1").groupBy("id").agg(F.count("*").alias("lonely"))
+    lonely = sets.mapInArrow(trimmed(spread), "h long, id long").groupBy("h").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1").groupBy("id").agg(F.count("*").alias("lonely"))
     able = sets.select("id", "n").join(lonely, "id", "left").where(100 * (F.col("n") - F.coalesce("lonely", F.lit(0))) >= PERCENT * F.col("n")).select("id", "n").distinct()
     able = scratch.save(able, "able")
     narrow = scratch.save(sets.join(able.select("id"), "id", "left_semi"), "narrow")
@@ -302,7 +302,7 @@ def near_groups(docs: DataFrame, *, ident: str = "doc_id", text: str = "text") -
     placed = members.select("key", "id", "n").join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_keys = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
     rest = placed.join(open_keys, "key", "left_semi").join(classes.select("id", "signature"), "id")
-    pairs = _in_cells(rest).repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(_across, "a long, b long").distinct()
+    pairs = _in_cells(rest).repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(trimmed(_across), "a long, b long").distinct()
     more = scratch.save(_confirm(pairs, narrow), "more")
     scratch.drop("members", "narrow")
     final = components(links.unionByName(more), scratch, "round2_")

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .pretokens import blocks, encoder
-from .scratch import Scratch, arrow_bytes
+from .scratch import Scratch, arrow_bytes, trimmed
 
 NAME = "op3_best_fit_packing"
 CAPACITY, SEPARATOR = 2048, 0
@@ -148,7 +148,7 @@ def pieces(docs: DataFrame, *, capacity: int = CAPACITY, separator: int = SEPARA
             at = pa.array(rows[0], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), pa.array(rows[1], pa.int32()), *(pa.array(c, pa.int64()) for c in rows[2:5]), pa.array([me] * len(at), pa.int32()), pa.array(rows[5], pa.int64())], names=schema.names)
 
-    return docs.select(F.col(ident).alias("doc_id"), F.col(text).alias("text")).mapInArrow(cut, schema)
+    return docs.select(F.col(ident).alias("doc_id"), F.col(text).alias("text")).mapInArrow(trimmed(cut), schema)
 
 
 def pack(docs: DataFrame, *, capacity: int = CAPACITY, separator: int = SEPARATOR, ranks: str | None = None, ident: str = "doc_id", text: str = "text") -> DataFrame:

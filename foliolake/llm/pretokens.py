@@ -21,7 +21,7 @@ import numpy as np
 L, N, S, O = 1, 2, 3, 0
 _POINTS = 0x110000
 #: Pre-tokens that a worker remembers before it starts afresh; about 100 bytes each.
-REMEMBER = 1_500_000
+REMEMBER = 500_000
 
 
 @lru_cache(1)

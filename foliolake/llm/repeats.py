@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .induced import groups, suffixes
-from .scratch import Scratch, arrow_bytes, partitions_for
+from .scratch import Scratch, arrow_bytes, partitions_for, trimmed
 from .words import mix
 
 NAME = "op4_repeated_bytes"
@@ -217,7 +217,7 @@ def hot_strings(docs: DataFrame, sample: int, hot: int, most: int = 1 << 20) ->
     The ``most`` with the most segments are taken, so 8 MB are broadcast at the most; the others stay in one bucket each.
     """
     some = docs.where(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(sample)) == 0).select("t")
-    count = some.mapInArrow(_chosen, "chosen long, whole long").distinct().groupBy("chosen").count()
+    count = some.mapInArrow(trimmed(_chosen), "chosen long, whole long").distinct().groupBy("chosen").count()
     found = count.where(F.col("count") * sample > hot).orderBy(F.desc("count"), "chosen").limit(most)
     return np.sort(np.array([r.chosen for r in found.collect()], np.int64).view(np.uint64))
 
@@ -448,17 +448,17 @@ def repeated(docs: DataFrame, *, ident: str = "doc_id", text: str = "text", samp
     named = slim.where("id IS NOT NULL")
     held = spark.sparkContext.broadcast(hot_strings(named, sample, hot))
     # documents of one group meet in one task, where their equal tuples are merged before they travel
-    tuples = named.repartition(parts, "g").sortWithinPartitions("g").mapInArrow(_tuples(buckets, held, block), "bucket int, g int, blob binary")
-    replies = scratch.save(tuples.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_settle(buckets), "g int, blob binary"), "replies")
+    tuples = named.repartition(parts, "g").sortWithinPartitions("g").mapInArrow(trimmed(_tuples(buckets, held, block)), "bucket int, g int, blob binary")
+    replies = scratch.save(tuples.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(trimmed(_settle(buckets)), "g int, blob binary"), "replies")
     asked = replies.select(F.lit(0).alias("kind"), "g", F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("r"), F.col("blob").alias("t"))
     mixed = asked.unionByName(named.select(F.lit(1).alias("kind"), "g", "id", "r", "t")).repartition(parts, "g").sortWithinPartitions("g", "kind")
-    decided = scratch.save(mixed.mapInArrow(_decide(buckets, held, block), "kind int, bucket int, g int, id long, r long, blob binary"), "decided")
+    decided = scratch.save(mixed.mapInArrow(trimmed(_decide(buckets, held, block)), "kind int, bucket int, g int, id long, r long, blob binary"), "decided")
     scratch.drop("replies")
-    found = decided.where("kind = 2").select("bucket", "g", "blob").repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_compare(buckets, memory), "g int, id long, r long, blob binary")
+    found = decided.where("kind = 2").select("bucket", "g", "blob").repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(trimmed(_compare(buckets, memory)), "g int, id long, r long, blob binary")
     found = scratch.save(found, "found")
     spans = decided.where("kind = 1").select("g", "id", "r", "blob").unionByName(found).select(F.lit(0).alias("kind"), "g", "id", "r", F.col("blob").alias("t"))
     final = spans.unionByName(slim.select(F.lit(1).alias("kind"), F.coalesce("g", F.lit(0)).alias("g"), "id", "r", "t")).repartition(parts, "g", "id").sortWithinPartitions("id", "r", "kind")
-    return final.mapInArrow(_cut, "id long, n_bytes long, spans array<array<long>>, kept binary")
+    return final.mapInArrow(trimmed(_cut), "id long, n_bytes long, spans array<array<long>>, kept binary")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

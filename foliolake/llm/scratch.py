@@ -8,9 +8,12 @@ a re-read and not a failed job.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
+from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
@@ -43,6 +46,27 @@ def arrow_bytes(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
+@lru_cache(1)
+def _trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return lambda _: 0
+
+
+def trimmed(run):
+    """A batch function whose freed memory goes back to the system when a task ends: workers live on, and so would it."""
+
+    def inner(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            _trim()(0)
+
+    return inner
+
+
 def partitions_for(df: DataFrame, most: int) -> int:
     """Shuffle partitions for ``df``: the session's number, and more where the plan's size estimate gives each over ``most`` bytes."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .pretokens import blocks, encoder
-from .scratch import Scratch, arrow_bytes
+from .scratch import Scratch, arrow_bytes, trimmed
 
 NAME = "op10_edit_token_counts"
 #: Pre-tokens in a leaf of the tree, and children of a node.
@@ -294,7 +294,7 @@ def build_trees(docs: DataFrame, *, ranks: str | None = None, ident: str = "doc_
                     out.append(leaf_sums(np.diff(np.append(ends[a:b], chars[j + 1])), counts[a:b]).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), pa.array(out, pa.binary())], names=schema.names)
 
-    return docs.select(F.col(ident).alias("doc_id"), F.col(text).alias("text"), _digest(text).alias("digest")).mapInArrow(build, schema)
+    return docs.select(F.col(ident).alias("doc_id"), F.col(text).alias("text"), _digest(text).alias("digest")).mapInArrow(trimmed(build), schema)
 
 
 def _digest(text: str):
@@ -366,7 +366,7 @@ def apply_edits(docs: DataFrame, edits: DataFrame, trees: DataFrame | None = Non
     changes = rows(edits.where(F.col(ident).isNotNull()), 2, seq=F.col("seq"), start=F.col("start"), length=F.col("length"), text=F.col("insert"))
     schema = T.StructType([T.StructField("doc_id", kind), *(T.StructField(n, T.LongType()) for n in ("n_tokens", "n_tokens_edited", "n_edits", "n_encoded", "n_chars_edited"))])
     ordered = kept.unionByName(bodies).unionByName(changes).repartition("doc_id").sortWithinPartitions("doc_id", "tag", "seq", "start", "length", "text")
-    return ordered.mapInArrow(_follow(ranks), schema)
+    return ordered.mapInArrow(trimmed(_follow(ranks)), schema)
 
 
 def sample_edits(docs: DataFrame, *, ident: str = "doc_id", text: str = "text") -> DataFrame:

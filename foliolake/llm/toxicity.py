@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import Scratch, arrow_bytes, fresh
+from .scratch import Scratch, arrow_bytes, fresh, trimmed
 from .words import byte_blocks, mix, word_stretches
 
 NAME = "op5_toxicity"
@@ -130,7 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, epochs: int
             yield pa.RecordBatch.from_arrays([b.column("i"), ys, pa.array(at, pa.binary()), pa.array(value, pa.binary())], names=["i", "y", "at", "value"])
 
     scratch = Scratch(spark)
-    held = scratch.save(rows.mapInArrow(features, "i long, y int, at binary, value binary"), "features")
+    held = scratch.save(rows.mapInArrow(trimmed(features), "i long, y int, at binary, value binary"), "features")
     examples = [(r.i, r.y, np.frombuffer(r.at, "<i4"), np.frombuffer(r.value, "<f4")) for r in held.toLocalIterator()]
     scratch.drop("features")
     if len({y for _, y, _, _ in examples}) < 2:
@@ -164,8 +164,9 @@ def score(docs: DataFrame, model, *, text: str = "text", into: str = "score") ->
                 out[first : first + len(some)] = 1 / (1 + np.exp(-np.clip(logit, -35, 35)))
             yield pd.Series(out)
 
+    probability = trimmed(probability)
     # pandas_udf reads the hints as objects, and this module keeps them as text
-    probability.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    probability.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return docs.withColumn(into, F.pandas_udf(probability, T.DoubleType())(F.coalesce(F.col(text), F.lit("")).cast("binary")))
 
 
