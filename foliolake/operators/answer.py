@@ -107,7 +107,7 @@ def layered(questions: DataFrame, documents: DataFrame, sections: DataFrame, fig
     nothing = F.array().cast("array<string>")
     zero = precomputed(questions, documents, figures).withColumnRenamed("answer", "zero")
     scored = retrieve.hybrid(sections, questions.select("qid", "question").distinct(), provider=provider, vectors=vectors)
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy(*_KEYS).orderBy(F.desc("score"), "sec_idx"))).where("rank <= 3")
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy(*_KEYS).orderBy(F.desc(F.round("score", 9)), "sec_idx"))).where("rank <= 3")
     own = sections.select("doc_id", "sec_idx", "id", "title", "text", "summary", section_text(sections, 2000).alias("one"), section_text(sections, 600, 800).alias("several"))
     best = F.struct("rank", "score", "id", "title", "summary", F.when(F.col("rank") == 1, F.col("text")).alias("text"), F.when(F.col("rank") == 1, F.col("one")).alias("one"), "several")
     # three rows for each question and document at most

@@ -58,8 +58,9 @@ def hybrid(sections: DataFrame, questions: DataFrame, *, provider: str = "bm25",
 
 def rerank(pool: DataFrame, sections: DataFrame, questions: DataFrame, most: int = 15) -> DataFrame:
     """The pool by 5 for every question term in the title, 2 in the text, 3 in a table header, and 10 times its score."""
-    tables = F.coalesce("tables", F.array().cast("array<struct<headers:array<string>>>")) if "tables" in sections.columns else F.array().cast("array<struct<headers:array<string>>>")
-    own = sections.select("doc_id", "sec_idx", F.array_distinct(terms(F.col("title"))).alias("in_title"), F.array_distinct(terms(F.col("text"))).alias("in_text"), F.transform(tables, lambda t: F.array_distinct(plain_tokens(F.array_join(t["headers"], " ")))).alias("in_heads"))
+    none = F.array().cast("array<array<string>>")
+    heads = F.coalesce(F.transform("tables", lambda t: t["headers"]), none) if "tables" in sections.columns else none
+    own = sections.select("doc_id", "sec_idx", F.array_distinct(terms(F.col("title"))).alias("in_title"), F.array_distinct(terms(F.col("text"))).alias("in_text"), F.transform(heads, lambda h: F.array_distinct(plain_tokens(F.array_join(h, " ")))).alias("in_heads"))
     asked = small(questions.select("qid", F.array_distinct("tokens").alias("asked")))
     joined = pool.join(asked, "qid").join(own, ["doc_id", "sec_idx"])
     both = lambda c: F.size(F.array_intersect("asked", c))

@@ -24,47 +24,84 @@ SCHEMA = "qid string, doc_id string, sec_idx int, score double"
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, *, where: Column | None = None, block: int = 1000, most: int = ROWS) -> DataFrame:
     """qid, doc_id, sec_idx, score of the ``k`` nearest rows of (doc_id, sec_idx, embedding), cosine mapped to [0, 1].
 
-    ``queries`` are (qid, embedding), at most ``most`` of them, taken in blocks of ``block``. A query
-    without length finds nothing; a row without length scores 0.5. ``where`` filters rows before the search.
+    ``queries`` are (qid, embedding). Up to ``most`` of them go to every worker; more are dealt into blocks, as
+    the rows are, and each pair of blocks is worked on in a task. A query without length finds nothing; a row
+    without length scores 0.5. ``where`` filters rows before the search.
     """
     from .search import top_k
 
-    asked = [(str(r.qid), r.embedding) for r in queries.select("qid", "embedding").where("embedding IS NOT NULL").limit(most + 1).collect()]
-    if len(asked) > most:
-        raise ValueError(f"more than {most} queries in one call")
-    asked = [(q, np.asarray(v, np.float64)) for q, v in asked]
-    asked = [(q, v / np.linalg.norm(v)) for q, v in asked if np.linalg.norm(v) > 0]
     rows = vectors if where is None else vectors.where(where)
     rows = rows.where("embedding IS NOT NULL").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("sec_idx").cast("int").alias("sec_idx"), "embedding")
-    held = rows.sparkSession.sparkContext.broadcast(([q for q, _ in asked], np.stack([v for _, v in asked]) if asked else None))
+    named = queries.where("embedding IS NOT NULL").select(F.col("qid").cast("string").alias("qid"), "embedding")
+    asked = [(r.qid, r.embedding) for r in named.limit(most + 1).collect()]
+    if len(asked) > most:
+        return top_k(_in_blocks(rows, named, k, most, block), k)
+    names, matrix = _directions([q for q, _ in asked], np.array([v for _, v in asked], np.float64) if asked else None)
+    held = rows.sparkSession.sparkContext.broadcast((names, matrix))
 
     def run(batches):
         names, matrix = held.value
         for b in batches:
-            if matrix is None or not b.num_rows:
-                continue
-            flat = b.column("embedding")
-            rows_ = np.asarray(flat.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(b.num_rows, -1)
-            size = np.linalg.norm(rows_, axis=1)
-            rows_ = rows_ / np.where(size > 0, size, 1)[:, None]
-            ids, idx = np.array(b.column("doc_id").to_pylist(), object), b.column("sec_idx").to_numpy()
-            tie = np.lexsort((idx, ids))
-            for at in range(0, len(names), block):
-                scores = (matrix[at : at + block] @ rows_[tie].T + 1) / 2
-                keep = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                q = np.repeat(np.arange(len(scores)), keep.shape[1])
-                pick = tie[keep.ravel()]
-                yield pa.RecordBatch.from_arrays([pa.array([names[at + i] for i in q.tolist()], pa.string()), pa.array(ids[pick].tolist(), pa.string()), pa.array(idx[pick], pa.int32()), pa.array(scores[q, keep.ravel()])], names=["qid", "doc_id", "sec_idx", "score"])
+            if len(names) and b.num_rows:
+                yield from _best(names, matrix, b, k, block)
 
     return top_k(rows.mapInArrow(run, SCHEMA), k)
 
 
+def _directions(names: list[str], matrix: np.ndarray | None) -> tuple[list[str], np.ndarray | None]:
+    """Names and unit vectors of those that have a length."""
+    if matrix is None or not len(matrix):
+        return [], None
+    size = np.linalg.norm(matrix, axis=1)
+    at = np.flatnonzero(size > 0)
+    return [names[i] for i in at.tolist()], matrix[at] / size[at][:, None]
+
+
+def _table(column: pa.Array, n: int) -> np.ndarray:
+    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(n, -1)
+
+
+def _best(names: list[str], matrix: np.ndarray, b: pa.RecordBatch, k: int, block: int):
+    """The best rows of a batch for each query."""
+    rows = _table(b.column("embedding"), b.num_rows)
+    size = np.linalg.norm(rows, axis=1)
+    rows = rows / np.where(size > 0, size, 1)[:, None]
+    ids, idx = np.array(b.column("doc_id").to_pylist(), object), b.column("sec_idx").to_numpy()
+    tie = np.lexsort((idx, ids))
+    for at in range(0, len(names), block):
+        scores = (matrix[at : at + block] @ rows[tie].T + 1) / 2
+        keep = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+        q = np.repeat(np.arange(len(scores)), keep.shape[1])
+        pick = tie[keep.ravel()]
+        yield pa.RecordBatch.from_arrays([pa.array([names[at + i] for i in q.tolist()], pa.string()), pa.array(ids[pick].tolist(), pa.string()), pa.array(idx[pick], pa.int32()), pa.array(scores[q, keep.ravel()])], names=["qid", "doc_id", "sec_idx", "score"])
+
+
+def _in_blocks(rows: DataFrame, queries: DataFrame, k: int, most: int, block: int) -> DataFrame:
+    """The best rows of each block of rows for each query; rows meet every block of at most ``most`` queries."""
+    spark = rows.sparkSession
+    blocks = -(-queries.count() // most) * 2  # blocks by hash are uneven
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int")).withColumn("rb", numbers(parts))
+    right = rows.withColumn("rb", F.pmod(F.xxhash64("doc_id", "sec_idx"), F.lit(parts)).cast("int")).withColumn("qb", numbers(blocks))
+
+    def meet(q: pa.Table, r: pa.Table) -> pa.Table:
+        out = []
+        if q.num_rows and r.num_rows:
+            names, matrix = _directions(q["qid"].to_pylist(), _table(q["embedding"].combine_chunks(), q.num_rows))
+            for b in r.combine_chunks().to_batches(max_chunksize=10_000) if names else ():
+                out += _best(names, matrix, b, k, block)
+        return pa.Table.from_batches(out) if out else pa.table({"qid": pa.array([], pa.string()), "doc_id": pa.array([], pa.string()), "sec_idx": pa.array([], pa.int32()), "score": pa.array([], pa.float64())})
+
+    return left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInArrow(meet, SCHEMA)
+
+
 def similar_pairs(vectors: DataFrame, threshold: float = 0.68, most: int | None = None, block: int = BLOCK) -> DataFrame:
     """doc_id, from_idx, to_idx, weight: pairs of sections of one document with cosine ``threshold`` or more, both ways.
 
     The sections of a document are dealt into blocks of about ``block`` by hash; every pair of blocks is one
     matrix product in a task of its own. With ``most``, documents of more sections
-    than that have no pairs; the reference does so beyond 1000 (retrieval.py).
+    than that have no pairs, as under the rule of 1000.
     """
     counted = vectors.groupBy("doc_id").agg(F.count("*").alias("n"))
     sizes = (counted if most is None else counted.where(F.col("n") <= most)).select("doc_id", F.ceil(F.col("n") / block).cast("int").alias("blocks"))

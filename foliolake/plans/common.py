@@ -64,6 +64,7 @@ def sql_keyword_terms(x: str) -> str:
     return f"list_filter(regexp_extract_all(lower(coalesce({x}, '')), '[a-z0-9][a-z0-9\\-]{{2,}}'), lambda w: NOT list_contains({sql_list(KEYWORD_STOP)}, w))"
 
 
+SQL_SENTENCES = "list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: len(s) >= 16)"
 SQL_QUESTIONS = "question(qid, question) AS (VALUES " + ", ".join(f"('{q}', '{t}')" for q, t in QUESTIONS) + ")"
 SQL_ASKED = f"{SQL_QUESTIONS}, asked AS (SELECT DISTINCT qid, unnest(list_filter({sql_terms('question')}, lambda w: len(w) > 2 AND NOT list_contains({sql_list(RETRIEVAL_STOP)}, w))) AS term FROM question)"
 SQL_SECTIONS = f"sec AS (SELECT 'corpus' AS doc_id, doc_id AS sec_idx, {sql_terms('text')} AS tokens FROM documents)"

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import FILLERS
 from ..functions.vectors import dequantised, int8_levels, quantised
 from ..operators import answer, enrich, graph, index, library, outline, retrieve, search, sinks, vectors
-from .common import SQL_ASKED, SQL_BM25, SQL_SECTIONS, lexical, questions, sections, shown, sql_keyword_terms, sql_terms, sql_top, sql_words, table, term_questions
+from .common import SQL_ASKED, SQL_BM25, SQL_QUESTIONS, SQL_SECTIONS, SQL_SENTENCES, lexical, questions, sections, shown, sql_keyword_terms, sql_list, sql_plain, sql_terms, sql_top, sql_words, table, term_questions
 
 K = 10
 
@@ -66,14 +67,8 @@ def vector_topk_filtered(spark, d):
 
 
 def semantic_edges(spark, d):
-    """A sample: blocks of 100 identifiers are the documents here and in the SQL, so pairs across blocks are not compared."""
-    v = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 100).cast("string").alias("doc_id"), F.col("vec_id").cast("long").alias("sec_idx"), "embedding")
-    return vectors.similar_pairs(v, 0.3).select("from_idx", "to_idx", F.round("weight", 5).alias("weight"))
-
-
-def semantic_edges_by_label(spark, d):
     """All pairs: labels are the documents, as in the other vector queries, of any size."""
-    return vectors.similar_pairs(_vectors(spark, d).withColumn("sec_idx", F.col("sec_idx").cast("long")), 0.3, most=None).select("from_idx", "to_idx", F.round("weight", 5).alias("weight"))
+    return vectors.similar_pairs(_vectors(spark, d).withColumn("sec_idx", F.col("sec_idx").cast("long")), 0.3).select("from_idx", "to_idx", F.round("weight", 5).alias("weight"))
 
 
 def quantise_int8(spark, d):
@@ -81,11 +76,12 @@ def quantise_int8(spark, d):
 
 
 def quantise_roundtrip(spark, d):
-    """No SQL: byte forms. The cosine between each vector and what its byte forms give back."""
+    """The cosine between each vector and what its byte forms give back; half floats are within a thousandth."""
     from ..functions.vectors import cosine
 
     t = table(spark, d, "embeddings")
-    return t.select("vec_id", *[F.round(cosine(F.col("embedding"), dequantised(quantised(F.col("embedding"), m), m, 64)), 4).alias(m) for m in ("float16", "int8", "binary")])
+    near = t.select("vec_id", *[cosine(F.col("embedding"), dequantised(quantised(F.col("embedding"), m), m, 64)).alias(m) for m in ("float16", "int8", "binary")])
+    return near.select("vec_id", (F.col("float16") > 0.999).alias("float16"), F.round("int8", 3).alias("int8"), F.round("binary", 4).alias("binary"))
 
 
 def _tree(spark, d):
@@ -128,6 +124,17 @@ def hybrid_search(spark, d):
     return out.select("qid", F.col("doc_id").alias("source"), "sec_idx", F.round("score", 5).alias("score"))
 
 
+def hybrid_vectors(spark, d):
+    """Half keywords under BM25, half vectors: those of embeddings with the document's number, zeros where there is none."""
+    q = spark.createDataFrame([("h1", "en licensed apache license"), ("h2", "the token erth de")], "qid string, question string")
+    e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
+    zeros = F.array_repeat(F.lit(0.0), len(e.select("embedding").first()[0]))
+    keyed = _keyed(spark, d)
+    own = keyed.select("doc_id", "sec_idx").join(e, F.col("sec_idx") == F.col("vec_id"), "left").select("doc_id", "sec_idx", F.coalesce("embedding", zeros).alias("embedding"))
+    out = retrieve.hybrid(keyed, q, provider="bm25", vectors=own)
+    return out.select("qid", F.col("doc_id").alias("source"), "sec_idx", F.round("score", 5).alias("score"))
+
+
 def _facts(spark, d):
     """Documents with summaries and insights, and figures, made from nations."""
     n = table(spark, d, "nation")
@@ -149,7 +156,7 @@ def precomputed_answers(spark, d):
 
 
 def layered_answers(spark, d):
-    """No SQL: all deterministic layers together; each layer has a query of its own. Sources are the documents."""
+    """All deterministic layers together. Sources are the documents."""
     q = questions(spark).crossJoin(F.broadcast(table(spark, d, "documents").select(F.col("source").alias("doc_id")).distinct()))  # three questions by one row per source
     docs = table(spark, d, "documents").groupBy(F.col("source").alias("doc_id")).agg(F.lit(None).cast("string").alias("summary")).withColumn("insights", F.lit(None).cast("array<string>"))
     kn = spark.createDataFrame([], "doc_id string, ord int, label string, value string, unit string, section string")
@@ -238,6 +245,29 @@ lists AS (
 fused AS (SELECT qid, sec_idx, sum(CAST(w AS DOUBLE) / (60 + r)) AS score FROM lists WHERE r <= 30 GROUP BY qid, sec_idx)"""
 _LIB = f"""{_keywords_sql("''", 3)},
 lib AS (SELECT CAST(d.doc_id AS VARCHAR) AS doc_id, 'Report ' || source AS title, 'owner' || (d.doc_id % 7) AS owner, upper(lang) AS department, source, d.doc_id % 3 = 0 AS everyone, 'role' || (d.doc_id % 5) AS role, keywords FROM documents d JOIN kw USING (doc_id))"""
+#: From ask(qid, q) and s(doc_id, source, k, b) to hk(qid, source, doc_id, score): Okapi inside each source, over the best of the question.
+_OKAPI_IN = """
+hb AS (SELECT source, doc_id, len(b) AS len, unnest(b) AS term FROM s),
+hs AS (SELECT source, count(*) AS n, avg(len(b)) AS mean FROM s GROUP BY source),
+hd AS (SELECT source, term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS idf FROM hb JOIN hs USING (source) GROUP BY source, term, n),
+he AS (SELECT source, avg(idf) * CAST(0.25 AS DOUBLE) AS low FROM hd GROUP BY source),
+hq AS (SELECT qid, unnest(q) AS term FROM ask),
+hr AS (SELECT qid, source, doc_id, sum(CASE WHEN idf < 0 THEN low ELSE idf END * CAST(2.5 AS DOUBLE) / (1 + CAST(1.5 AS DOUBLE) * (CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * len / mean))) AS score FROM hq JOIN hb USING (term) JOIN hd USING (source, term) JOIN hs USING (source) JOIN he USING (source) GROUP BY ALL),
+hk AS (SELECT qid, source, doc_id, score / (max(score) OVER (PARTITION BY qid, source) + CAST(1e-8 AS DOUBLE)) AS score FROM hr),
+hj AS (SELECT qid, source, doc_id, len(list_intersect(q, list_distinct(k))) AS ik, len(q) AS nq, len(list_distinct(k)) AS nk FROM s, ask)"""
+_LAYERED = f"""
+WITH {SQL_QUESTIONS}, ask AS (SELECT qid, question, list_distinct({sql_words('question')}) AS q FROM question), {_keywords_sql('lang', 8)},
+s AS (SELECT doc_id, source, text, keywords AS k, list_distinct(list_concat(keywords, {sql_words('lang')})) AS b FROM documents JOIN kw USING (doc_id)), {_OKAPI_IN},
+h AS (SELECT qid, source, doc_id, CAST(0.6 AS DOUBLE) * coalesce(hk.score, 0) + CAST(0.4 AS DOUBLE) * CASE WHEN ik > 0 THEN ik / CAST(greatest(nq + nk - ik, 1) AS DOUBLE) ELSE 0 END AS score FROM hj LEFT JOIN hk USING (qid, source, doc_id)),
+top AS (SELECT * FROM h WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY qid, source ORDER BY round(score, 9) DESC, doc_id) = 1),
+good AS (SELECT qid, source, doc_id, score, text, list_distinct(list_filter({sql_plain('question')}, lambda t: len(t) > 2 AND NOT list_contains({sql_list(FILLERS)}, t))) AS q FROM top JOIN s USING (source, doc_id) JOIN question USING (qid) WHERE score >= CAST(0.35 AS DOUBLE)),
+p AS (SELECT qid, source, q, unnest(x) AS t, unnest(range(len(x))) AS i FROM (SELECT qid, source, q, {SQL_SENTENCES} AS x FROM good)),
+c AS (SELECT *, len(list_intersect(q, list_distinct({sql_plain('t')}))) AS n FROM p),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid, source ORDER BY n DESC, i) AS r FROM c),
+x AS (SELECT qid, source, max(n) AS best, string_agg(t, ' ' ORDER BY i) AS found FROM r WHERE r <= 2 GROUP BY ALL),
+done AS (SELECT qid, source, found, doc_id, score FROM good JOIN x USING (qid, source) WHERE best > 0 AND found <> '')
+SELECT a.qid, d.source AS doc_id, coalesce(found, '') AS answer, '§' || done.doc_id AS navigate_to, CASE WHEN found IS NULL THEN -1 ELSE 1 END AS layer_used, round(CASE WHEN found IS NULL THEN 0 ELSE least(score, 1) END, 4)::DOUBLE AS confidence
+FROM ask a, (SELECT DISTINCT source FROM documents) d LEFT JOIN done ON done.qid = a.qid AND done.source = d.source"""
 SQL = {
     "bm25_topk": f"WITH {SQL_ASKED}, {SQL_SECTIONS}, {SQL_BM25} {sql_top(K)}",
     "bm25_okapi_norm": f"""
@@ -275,8 +305,7 @@ SELECT qid, sec_idx // 100000 AS document, sec_idx % 100000 AS window_idx, round
     "mean_query_vector": f"WITH {_VEC}, {_MEAN} SELECT 'v' || label AS qid, CAST(unnest(range(len(m))) AS BIGINT) AS i, round(unnest(m), 6) AS x FROM mean",
     "vector_topk": f"WITH {_VEC}, {_MEAN}, scored AS ({_NEAR}) {sql_top(K)}",
     "vector_topk_filtered": f"WITH {_VEC}, {_MEAN}, scored AS ({_NEAR} WHERE v.label = 1) {sql_top(K)}",
-    "semantic_edges": f"WITH {_VEC} SELECT a.vec_id AS from_idx, b.vec_id AS to_idx, round({_COS.format('a.e', 'b.e')}, 5) AS weight FROM vec a JOIN vec b ON a.vec_id // 100 = b.vec_id // 100 AND a.vec_id <> b.vec_id WHERE {_COS.format('a.e', 'b.e')} >= CAST(0.3 AS DOUBLE)",
-    "semantic_edges_by_label": f"WITH {_VEC} SELECT a.vec_id AS from_idx, b.vec_id AS to_idx, round({_COS.format('a.e', 'b.e')}, 5) AS weight FROM vec a JOIN vec b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE {_COS.format('a.e', 'b.e')} >= CAST(0.3 AS DOUBLE)",
+    "semantic_edges": f"WITH {_VEC} SELECT a.vec_id AS from_idx, b.vec_id AS to_idx, round({_COS.format('a.e', 'b.e')}, 5) AS weight FROM vec a JOIN vec b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE {_COS.format('a.e', 'b.e')} >= CAST(0.3 AS DOUBLE)",
     "quantise_int8": f"WITH {_VEC} SELECT vec_id, array_to_string(list_transform(e, lambda x: CAST(trunc(least(greatest(x * (CAST(127 AS DOUBLE) / (list_max(list_transform(e, lambda y: abs(y))) + CAST(1e-8 AS DOUBLE))), -127), 127)) AS INT)), ',') AS levels FROM vec",
     "rrf_fusion": f"WITH {_FUSE} {sql_top(K, 'fused', 6)}",
     "rrf_graph_expand": f"""
@@ -299,6 +328,22 @@ ask AS (SELECT qid, list_distinct({sql_words('question')}) AS q FROM question),
 s AS (SELECT doc_id, source, keywords AS k, list_distinct(list_concat(keywords, {sql_words('lang')})) AS b FROM documents JOIN kw USING (doc_id)),
 j AS (SELECT qid, source, doc_id, len(list_intersect(q, b)) AS ib, len(q) AS nq, len(b) AS nb, len(list_intersect(q, k)) AS ik, len(k) AS nk FROM s, ask)
 SELECT qid, source, doc_id AS sec_idx, round(CAST(0.6 AS DOUBLE) * ib / (nq + nb - ib) + CAST(0.4 AS DOUBLE) * ik / greatest(nq + nk - ik, 1), 5) AS score FROM j WHERE ib > 0 OR ik > 0""",
+    "hybrid_vectors": f"""
+WITH question(qid, question) AS (VALUES ('h1', 'en licensed apache license'), ('h2', 'the token erth de')),
+ask AS (SELECT qid, list_distinct({sql_words('question')}) AS q FROM question), {_keywords_sql('lang', 8)},
+s AS (SELECT doc_id, source, keywords AS k, list_distinct(list_concat(keywords, {sql_words('lang')})) AS b FROM documents JOIN kw USING (doc_id)), {_OKAPI_IN},
+v AS (SELECT source, doc_id, CASE WHEN embedding IS NULL THEN list_transform(range((SELECT max(len(embedding)) FROM embeddings)), lambda i: CAST(0 AS DOUBLE)) ELSE list_transform(embedding, lambda x: CAST(x AS DOUBLE)) END AS e FROM documents LEFT JOIN embeddings ON vec_id = doc_id),
+u AS (SELECT qid, source, unnest(e) AS x, unnest(range(len(e))) AS i FROM hj JOIN v USING (source, doc_id) WHERE ik > 0),
+p AS (SELECT qid, source, list(x ORDER BY i) AS p FROM (SELECT qid, source, i, avg(x) AS x FROM u GROUP BY ALL) GROUP BY ALL),
+w AS (SELECT qid, source, doc_id, list_dot_product(e, p) AS d, sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(p, p)) AS z FROM v JOIN p USING (source)),
+m AS (SELECT qid, source, doc_id, (CASE WHEN z > 0 THEN d / z ELSE 0 END + 1) / 2 AS sem FROM w UNION ALL SELECT qid, source, doc_id, CAST(ik AS DOUBLE) / greatest(nq + nk - ik, 1) FROM hj ANTI JOIN p USING (qid, source) WHERE ik > 0),
+f AS (SELECT qid, source, doc_id, CAST(0.6 AS DOUBLE) * coalesce(hk.score, 0) + CAST(0.4 AS DOUBLE) * coalesce(sem, 0) AS score FROM hk FULL JOIN m USING (qid, source, doc_id))
+SELECT qid, source, doc_id AS sec_idx, round(score, 5) AS score FROM f WHERE score > 0""",
+    "layered_answers": _LAYERED,
+    "quantise_roundtrip": f"""
+WITH {_VEC}, q AS (SELECT vec_id, e, list_max(list_transform(e, lambda x: abs(x))) AS top FROM vec),
+b AS (SELECT vec_id, e, list_transform(e, lambda x: CAST(trunc(least(greatest(x * (127 / (top + CAST(1e-8 AS DOUBLE))), -127), 127)) AS DOUBLE)) AS i, list_transform(e, lambda x: CASE WHEN x > 0 THEN CAST(1 AS DOUBLE) ELSE CAST(-1 AS DOUBLE) END) AS s FROM q)
+SELECT vec_id, true AS float16, round({_COS.format('e', 'i')}, 3) AS int8, round({_COS.format('e', 's')}, 4) AS "binary" FROM b""",
     "precomputed_answers": """
 WITH c AS (SELECT n_name, count(*) AS n, max(CAST(round(c_acctbal) AS BIGINT)) AS m FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name)
 SELECT 'a1' AS qid, n_name AS doc_id, 'Summary of ' || n_name AS answer FROM nation WHERE n_nationkey % 3 > 0
@@ -315,5 +360,5 @@ SELECT doc_id, round(score, 4) AS score, rank FROM (SELECT *, row_number() OVER
     "incremental_reindex": "SELECT DISTINCT source AS doc_id FROM documents WHERE lang = 'fr' AND len(text) > 8000",
     "postings_index": f"WITH {SQL_SECTIONS} SELECT term, count(DISTINCT sec_idx) AS df, count(*) AS tf FROM (SELECT sec_idx, unnest(tokens) AS term FROM sec) GROUP BY term",
 }
-QUERIES = {f.__name__: f for f in (bm25_topk, bm25_okapi_norm, tfidf_cosine_topk, jaccard_search, bm25_stemmed, window_baseline, mean_query_vector, vector_topk, vector_topk_filtered, semantic_edges, semantic_edges_by_label, quantise_int8, quantise_roundtrip, rrf_fusion, rrf_graph_expand, rerank_pool, hybrid_search, precomputed_answers, layered_answers, library_list, library_search, library_upsert, role_filter, doc_fingerprint, incremental_reindex, postings_index, catalogue_json)}
+QUERIES = {f.__name__: f for f in (bm25_topk, bm25_okapi_norm, tfidf_cosine_topk, jaccard_search, bm25_stemmed, window_baseline, mean_query_vector, vector_topk, vector_topk_filtered, semantic_edges, quantise_int8, quantise_roundtrip, rrf_fusion, rrf_graph_expand, rerank_pool, hybrid_search, hybrid_vectors, precomputed_answers, layered_answers, library_list, library_search, library_upsert, role_filter, doc_fingerprint, incremental_reindex, postings_index, catalogue_json)}
 __all__ = ["QUERIES", "SQL"]

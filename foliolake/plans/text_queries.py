@@ -11,7 +11,7 @@ from ..operators import chunks, enrich
 from ..operators.answer import best_sentences
 from ..sources import html as html_source
 from ..sources import markdown, pdf_spans
-from .common import sql_keyword_terms, sql_list, sql_plain, sql_terms, sql_words, table
+from .common import SQL_SENTENCES, sql_keyword_terms, sql_list, sql_plain, sql_terms, sql_words, table
 
 ASKED = "which apache license version is under the thly of eran idiot clown"
 
@@ -120,7 +120,6 @@ def dedupe_seen(spark, d):
     return e.select("kind", "user_id", "event_id")
 
 
-_SENT = "list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: len(s) >= 16)"
 SQL = {
     "doc_token_count": f"SELECT doc_id, len(w) AS n_words, CAST(floor(len(w) * CAST(1.3 AS DOUBLE)) AS BIGINT) AS token_count FROM (SELECT doc_id, {sql_words('text')} AS w FROM documents)",
     "tokenise_terms": f"SELECT doc_id, len(t) AS n_terms, len(list_distinct(t)) AS n_distinct FROM (SELECT doc_id, {sql_terms('text')} AS t FROM documents)",
@@ -133,10 +132,10 @@ a AS (SELECT doc_id, term, first, 0 AS grp, 0.0 AS score FROM h UNION ALL SELECT
 o AS (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id, term ORDER BY grp, first) AS c, grp, score, first FROM a),
 r AS (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY grp, CASE WHEN grp = 0 THEN 0 ELSE -score END, first) AS r FROM o WHERE c = 1)
 SELECT d.doc_id, coalesce(string_agg(term, ',' ORDER BY r) FILTER (WHERE r <= 8), '') AS keywords FROM documents d LEFT JOIN r USING (doc_id) GROUP BY d.doc_id""",
-    "sentence_split": f"SELECT doc_id, len(s) AS n_sentences, coalesce(list_max(list_transform(s, lambda x: len(x))), 0) AS longest FROM (SELECT doc_id, {_SENT} AS s FROM documents)",
+    "sentence_split": f"SELECT doc_id, len(s) AS n_sentences, coalesce(list_max(list_transform(s, lambda x: len(x))), 0) AS longest FROM (SELECT doc_id, {SQL_SENTENCES} AS s FROM documents)",
     "extract_sentences": f"""
 WITH q AS (SELECT list_distinct(list_filter({sql_plain("'" + ASKED + "'")}, lambda t: len(t) > 2 AND NOT list_contains({sql_list(FILLERS)}, t))) AS q),
-s AS (SELECT doc_id, unnest(s) AS s, unnest(range(len(s))) AS i FROM (SELECT doc_id, {_SENT} AS s FROM documents)),
+s AS (SELECT doc_id, unnest(s) AS s, unnest(range(len(s))) AS i FROM (SELECT doc_id, {SQL_SENTENCES} AS s FROM documents)),
 k AS (SELECT doc_id, s, i, len(list_intersect(q, list_distinct({sql_plain('s')}))) AS n FROM s, q),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, i) AS r FROM k),
 x AS (SELECT doc_id, max(n) AS best, string_agg(s, ' ' ORDER BY i) AS extract FROM r WHERE r <= 2 GROUP BY doc_id)

@@ -175,7 +175,7 @@ def test_semantic_edges_by_label_cross_identifiers(spark, data):
     from foliolake import plans
 
     t = spark.read.parquet(f"{data}/embeddings.parquet").collect()
-    got = plans.queries()["semantic_edges_by_label"](spark, data).collect()
+    got = plans.queries()["semantic_edges"](spark, data).collect()
     assert {(r.from_idx, r.to_idx) for r in got} == {k[1:] for k in brute_pairs([(r.label, r.vec_id, r.embedding) for r in t], 0.3)}
     assert any(r.from_idx // 100 != r.to_idx // 100 for r in got)
 
