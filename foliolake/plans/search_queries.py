@@ -209,7 +209,7 @@ def postings_index(spark, d):
 
 
 def catalogue_json(spark, d):
-    """No SQL: nested JSON; tests read it back."""
+    """The catalogue of each document as JSON."""
     docs = table(spark, d, "region").select(F.col("r_name").alias("doc_id"), F.col("r_name").alias("title"), F.concat(F.lit("/data/"), "r_name").alias("source"), F.lit("table").alias("format"), F.lit("").alias("summary"), F.array(F.lit("x")).alias("insights"))
     n = table(spark, d, "nation").join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))  # both have a fixed size
     s = outline.number(n.select(F.col("r_name").alias("doc_id"), F.col("n_nationkey").alias("sec_idx"), F.col("n_name").alias("title"), F.lit(1).alias("level")))
@@ -358,6 +358,12 @@ SELECT doc_id, round(score, 4) AS score, rank FROM (SELECT *, row_number() OVER
     "role_filter": "SELECT upper(lang) AS department, count(*) AS n FROM documents WHERE doc_id % 3 = 0 OR doc_id % 5 = 4 GROUP BY 1",
     "doc_fingerprint": "SELECT source AS doc_id, sha256(string_agg('§' || doc_id || '|' || len(coalesce(text, '')) || '|' || left(coalesce(text, ''), 200), chr(10) ORDER BY doc_id)) AS hash FROM documents GROUP BY source",
     "incremental_reindex": "SELECT DISTINCT source AS doc_id FROM documents WHERE lang = 'fr' AND len(text) > 8000",
+    "catalogue_json": """
+WITH n AS (SELECT r_name, n_nationkey, n_name, row_number() OVER (PARTITION BY r_name ORDER BY n_nationkey) AS i FROM nation JOIN region ON n_regionkey = r_regionkey)
+SELECT r_name AS doc_id, '{"doc_id":"' || r_name || '","title":"' || r_name || '","source":"' || r_name || '","summary":"","insights":["x"],"key_numbers":['
+  || string_agg('{"label":"Key","value":"' || n_nationkey || '","unit":"","section":"§' || i || '"}', ',' ORDER BY i) || '],"section_index":['
+  || string_agg('{"id":"§' || i || '","title":"' || n_name || '","level":1,"children":[],"token_count":1,"summary":"","keywords":["' || lower(n_name) || '"]}', ',' ORDER BY i) || '],"language":"en"}' AS catalogue
+FROM n GROUP BY r_name""",
     "postings_index": f"WITH {SQL_SECTIONS} SELECT term, count(DISTINCT sec_idx) AS df, count(*) AS tf FROM (SELECT sec_idx, unnest(tokens) AS term FROM sec) GROUP BY term",
 }
 QUERIES = {f.__name__: f for f in (bm25_topk, bm25_okapi_norm, tfidf_cosine_topk, jaccard_search, bm25_stemmed, window_baseline, mean_query_vector, vector_topk, vector_topk_filtered, semantic_edges, quantise_int8, quantise_roundtrip, rrf_fusion, rrf_graph_expand, rerank_pool, hybrid_search, hybrid_vectors, precomputed_answers, layered_answers, library_list, library_search, library_upsert, role_filter, doc_fingerprint, incremental_reindex, postings_index, catalogue_json)}

@@ -49,9 +49,9 @@ def word_windows_512(spark, d):
 
 
 def chunk_passages(spark, d):
-    """No SQL: packing carries state from passage to passage; tests check its invariants."""
+    """Passages of whole texts: their number, the longest, and a digest of all."""
     p = table(spark, d, "documents").select("doc_id", chunks.passage_column(F.col("text")).alias("p"))
-    return p.select("doc_id", F.size("p").cast("long").alias("n_passages"), F.coalesce(F.array_max(F.transform("p", lambda x: F.length(x))), F.lit(0)).cast("long").alias("longest"))
+    return p.select("doc_id", F.size("p").cast("long").alias("n_passages"), F.coalesce(F.array_max(F.transform("p", lambda x: F.length(x))), F.lit(0)).cast("long").alias("longest"), F.md5(F.array_join("p", "\x01")).alias("digest"))
 
 
 def key_numbers(spark, d):
@@ -120,6 +120,7 @@ def dedupe_seen(spark, d):
     return e.select("kind", "user_id", "event_id")
 
 
+_TRIM = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
 SQL = {
     "doc_token_count": f"SELECT doc_id, len(w) AS n_words, CAST(floor(len(w) * CAST(1.3 AS DOUBLE)) AS BIGINT) AS token_count FROM (SELECT doc_id, {sql_words('text')} AS w FROM documents)",
     "tokenise_terms": f"SELECT doc_id, len(t) AS n_terms, len(list_distinct(t)) AS n_distinct FROM (SELECT doc_id, {sql_terms('text')} AS t FROM documents)",
@@ -144,6 +145,17 @@ SELECT d.doc_id, CASE WHEN best > 0 THEN extract ELSE '' END AS extract FROM doc
 WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM documents),
 i AS (SELECT doc_id, w, unnest(range(0, (len(w) + 511) // 512)) AS i FROM w)
 SELECT doc_id, i AS window_idx, md5(array_to_string(w[i * 512 + 1:i * 512 + 512], ' ')) AS digest FROM i""",
+    "chunk_passages": f"""
+WITH t AS (SELECT doc_id, {_TRIM.format("coalesce(text, '')")} AS x FROM documents),
+l AS (SELECT doc_id, list_filter(list_transform(string_split_regex(x, '\\n\\s*\\n'), lambda s: {_TRIM.format('s')}), lambda s: s <> '') AS paras FROM t WHERE len(x) > 2000),
+q AS (SELECT doc_id, flatten(list_transform(paras, lambda s: CASE WHEN len(s) <= 2000 THEN [s] ELSE
+  flatten(list_transform(list_filter(list_transform(string_split(regexp_replace(s, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda u: {_TRIM.format('u')}), lambda u: u <> ''), lambda u: list_transform(range(0, len(u), 2000), lambda i: u[i + 1:i + 2000]))) END)) AS pieces FROM l),
+r AS (SELECT doc_id, list_reduce(list_transform(pieces, lambda s: {{'now': s, 'done': CAST([] AS VARCHAR[])}}), lambda a, b: CASE
+  WHEN len(a.now) + 1 + len(b.now) <= 2000 THEN {{'now': a.now || ' ' || b.now, 'done': a.done}}
+  WHEN len({_TRIM.format("right(a.now, 200) || ' ' || b.now")}) <= 2000 THEN {{'now': {_TRIM.format("right(a.now, 200) || ' ' || b.now")}, 'done': list_append(a.done, a.now)}}
+  ELSE {{'now': b.now, 'done': list_append(a.done, a.now)}} END) AS z FROM q),
+p AS (SELECT doc_id, list_append(z.done, z.now) AS p FROM r UNION ALL SELECT doc_id, CASE WHEN x = '' THEN [] ELSE [x] END FROM t WHERE len(x) <= 2000)
+SELECT doc_id, CAST(len(p) AS BIGINT) AS n_passages, CAST(coalesce(list_max(list_transform(p, lambda x: len(x))), 0) AS BIGINT) AS longest, md5(array_to_string(p, chr(1))) AS digest FROM p""",
     "normalised_names": """
 SELECT p_partkey, trim(regexp_replace(lower(regexp_replace(regexp_replace(x, '([a-z])([A-Z])', '\\1-\\2', 'g'), '([A-Za-z])([0-9])', '\\1-\\2', 'g')), '[^a-z0-9]+', '-', 'g'), '-') AS slug,
        trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g')) AS norm
