@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,3 +49,11 @@ def saved(df: DataFrame, path: str) -> DataFrame:
     """``df`` written to ``path`` and read again."""
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def kept(spark: SparkSession, source: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table made from what lies at ``source``: written once in the shared folder, and again when files there change."""
+    path = f"{shared_folder(spark)}/{name}-{state_of(spark, source)}"
+    if not exists(spark, f"{path}/_SUCCESS"):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

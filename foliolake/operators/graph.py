@@ -37,3 +37,23 @@ def expand(seeds: DataFrame, edge_table: DataFrame) -> DataFrame:
     used = edge_table.where(F.col("edge_type").isin(*GAIN))
     passed = seeds.join(used, (seeds["doc_id"] == used["doc_id"]) & (seeds["sec_idx"] == used["from_idx"])).select("qid", seeds["doc_id"], F.col("to_idx").alias("sec_idx"), (gain * F.col("weight") * F.col("score")).alias("score"))
     return seeds.select("qid", "doc_id", "sec_idx", "score").unionByName(passed).groupBy("qid", "doc_id", "sec_idx").agg(F.sum("score").alias("score"))
+
+
+def expand_outline(seeds: DataFrame, numbered: DataFrame, edge_table: DataFrame | None = None) -> DataFrame:
+    """What :func:`expand` gives for the child and sibling edges of ``numbered``, and further edges, without a table of sibling pairs.
+
+    The seeds of a parent are summed and the sum goes to its children once, less what each would get from itself,
+    so a parent of n children costs n rows and not n squared.
+    """
+    tied = numbered.where("parent_idx IS NOT NULL").select("doc_id", F.col("parent_idx").alias("p"), "sec_idx")
+    down = seeds.select("qid", "doc_id", F.col("sec_idx").alias("p"), "score").join(tied, ["doc_id", "p"]).select("qid", "doc_id", "sec_idx", (GAIN["child"] * F.col("score")).alias("score"))
+    own = seeds.join(tied, ["doc_id", "sec_idx"]).select("qid", "doc_id", "sec_idx", "p", "score")
+    total = own.groupBy("qid", "doc_id", "p").agg(F.sum("score").alias("total"), F.count("*").alias("n"))
+    mine = own.select("qid", "doc_id", "sec_idx", F.col("score").alias("mine"))
+    around = total.join(tied, ["doc_id", "p"]).join(mine, ["qid", "doc_id", "sec_idx"], "left").where(F.col("n") > F.col("mine").isNotNull().cast("int"))
+    side = around.select("qid", "doc_id", "sec_idx", (GAIN["sibling"] * 0.8 * (F.col("total") - F.coalesce("mine", F.lit(0.0)))).alias("score"))
+    passed = down.unionByName(side)
+    if edge_table is not None:
+        more = expand(seeds, edge_table)  # holds the seeds themselves
+        return more.unionByName(passed).groupBy("qid", "doc_id", "sec_idx").agg(F.sum("score").alias("score"))
+    return seeds.select("qid", "doc_id", "sec_idx", "score").unionByName(passed).groupBy("qid", "doc_id", "sec_idx").agg(F.sum("score").alias("score"))

@@ -22,10 +22,16 @@ def fuse(rankings: list[tuple[DataFrame, float]], pool: int, *, per_document: bo
     return reduce(DataFrame.unionByName, parts).groupBy("qid", "doc_id", "sec_idx").agg(F.sum("score").alias("score"))
 
 
-def retrieve(lexical: DataFrame, dense: DataFrame, edge_table: DataFrame | None, k: int = 8, pool: int | None = None, *, per_document: bool = True) -> DataFrame:
-    """The ``k`` best sections for each question (and document): lexical ranks weigh 2, dense ones 1.5, then one hop."""
+def retrieve(lexical: DataFrame, dense: DataFrame, edge_table: DataFrame | None, k: int = 8, pool: int | None = None, *, per_document: bool = True, numbered: DataFrame | None = None) -> DataFrame:
+    """The ``k`` best sections for each question (and document): lexical ranks weigh 2, dense ones 1.5, then one hop.
+
+    The hop follows ``edge_table``, or with ``numbered`` the outline itself (and the table's edges, if both are given).
+    """
     seeds = fuse([(lexical, 2.0), (dense, 1.5)], pool or 3 * k, per_document=per_document)
-    scored = seeds if edge_table is None else graph.expand(seeds, edge_table)
+    if numbered is not None:
+        scored = graph.expand_outline(seeds, numbered, edge_table)
+    else:
+        scored = seeds if edge_table is None else graph.expand(seeds, edge_table)
     return search.top_k(scored, k, ["qid", "doc_id"] if per_document else ["qid"])
 
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.folder import kept
 from ..functions.text import FILLERS
 from ..functions.vectors import dequantised, int8_levels, quantised
-from ..operators import answer, enrich, graph, index, library, outline, retrieve, search, sinks, vectors
+from ..operators import answer, enrich, index, library, outline, retrieve, search, sinks, vectors
 from .common import SQL_ASKED, SQL_BM25, SQL_QUESTIONS, SQL_SECTIONS, SQL_SENTENCES, lexical, questions, sections, shown, sql_keyword_terms, sql_list, sql_plain, sql_terms, sql_top, sql_words, table, term_questions
 
 K = 10
@@ -85,9 +86,8 @@ def quantise_roundtrip(spark, d):
 
 
 def _tree(spark, d):
-    """Edges of a heap-shaped outline over the documents: document i has the children 2i + 1 and 2i + 2."""
-    s = table(spark, d, "documents").select(F.lit("corpus").alias("doc_id"), F.col("doc_id").alias("sec_idx"), F.when(F.col("doc_id") > 0, F.floor((F.col("doc_id") - 1) / 2)).alias("parent_idx"))
-    return graph.edges(s)
+    """A heap-shaped outline over the documents: document i has the children 2i + 1 and 2i + 2."""
+    return table(spark, d, "documents").select(F.lit("corpus").alias("doc_id"), F.col("doc_id").alias("sec_idx"), F.when(F.col("doc_id") > 0, F.floor((F.col("doc_id") - 1) / 2)).alias("parent_idx"))
 
 
 def _dense(spark, d):
@@ -104,7 +104,7 @@ def rrf_fusion(spark, d):
 
 def rrf_graph_expand(spark, d):
     found = search.bm25(lexical(spark, d), term_questions(spark))
-    return shown(retrieve.retrieve(found, _dense(spark, d), _tree(spark, d), K), 6)
+    return shown(retrieve.retrieve(found, _dense(spark, d), None, K, numbered=_tree(spark, d)), 6)
 
 
 def rerank_pool(spark, d):
@@ -114,7 +114,11 @@ def rerank_pool(spark, d):
 
 
 def _keyed(spark, d):
-    """Documents as sections of their source, with keywords."""
+    """Documents as sections of their source, with keywords: a catalogue that is written once, as keywords are found when documents come in."""
+    return kept(spark, f"{d}/documents.parquet", "catalogue", lambda: _with_keywords(spark, d))
+
+
+def _with_keywords(spark, d):
     return table(spark, d, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("sec_idx"), F.concat(F.lit("§"), F.col("doc_id").cast("string")).alias("id"), F.col("lang").alias("title"), "text", F.lit(None).cast("string").alias("summary"), enrich.keywords(F.col("text"), F.col("lang")).alias("keywords"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from foliolake.functions import text as X
 from foliolake.functions import vectors as V
-from foliolake.operators import answer, index, judge, outline, search, smart, vectors
+from foliolake.operators import answer, graph, index, judge, outline, search, smart, vectors
 from foliolake.sources import connectors, files, layout
 from foliolake.sources.common import Parsed
 
@@ -140,6 +140,17 @@ def test_index_follows_its_source(spark, tmp_path):
     assert search.bm25(index.kept(spark, source, sections, "t"), q).count() == 2 and built == [1, 1]
 
 
+def test_expansion_by_outline_equals_the_edge_table(spark):
+    rng = np.random.default_rng(7)
+    rows = [("d", i, None if i < 2 else int(rng.integers(0, i))) for i in range(60)] + [("e", i, None if i == 0 else 0) for i in range(20)]
+    s = spark.createDataFrame(rows, "doc_id string, sec_idx int, parent_idx int")
+    seeds = spark.createDataFrame([(q, d, int(i), float(rng.random())) for q in ("a", "b") for d, n in (("d", 60), ("e", 20)) for i in rng.choice(n, 9, replace=False)], "qid string, doc_id string, sec_idx int, score double")
+    plain = lambda df: sorted((r.qid, r.doc_id, r.sec_idx, round(r.score, 9)) for r in df.collect())
+    assert plain(graph.expand_outline(seeds, s)) == plain(graph.expand(seeds, graph.edges(s)))
+    more = spark.createDataFrame([("d", 3, 50, "semantic", 0.9)], "doc_id string, from_idx int, to_idx int, edge_type string, weight double")
+    assert plain(graph.expand_outline(seeds, s, more)) == plain(graph.expand(seeds, graph.edges(s).unionByName(more)))
+
+
 def test_contexts(spark):
     table = ("t", None, ["Month", "Total"], [[f"m{i}", str(i)] for i in range(35)])
     rows = [("d", i, f"§{i}", t, text, [table] if i == 1 else []) for i, (t, text) in enumerate([("Fiscal pressure", "Spending rose. " * 3), ("Totals by month", "See below."), ("References", "Fiscal pressure is cited here."), ("Other", "Nothing.")])]
