@@ -21,3 +21,8 @@ def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores, if its files make fewer partitions than there are cores; larger tables stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def first_of(df: DataFrame, keys: dict, order: str) -> DataFrame:
+    """One row for each value of ``keys`` (names and columns): the values, and the row's least ``order``; counts are combined before they move."""
+    return df.groupBy(*(c.alias(n) for n, c in keys.items())).agg(F.min(order).alias(order))

@@ -152,7 +152,7 @@ def _facts(spark, d):
         F.struct(F.lit(4).alias("ord"), F.lit("Total open orders").alias("label"), F.lit("2").alias("value"), F.lit(None).cast("string").alias("unit"), F.lit("§3").alias("section")),
     )))
     q = spark.createDataFrame([("a1", "Give me an overview"), ("a2", "any insights?"), ("a3", "How many customers are there?"), ("a4", "What is the largest account balance"), ("a5", "how many open orders")], "qid string, question string")
-    return q.crossJoin(F.broadcast(docs.select("doc_id"))), docs, kn  # five questions by one row per nation
+    return docs.select("doc_id").crossJoin(F.broadcast(q)), docs, kn  # there are five questions
 
 
 def precomputed_answers(spark, d):
@@ -161,7 +161,7 @@ def precomputed_answers(spark, d):
 
 def layered_answers(spark, d):
     """All deterministic layers together. Sources are the documents."""
-    q = questions(spark).crossJoin(F.broadcast(table(spark, d, "documents").select(F.col("source").alias("doc_id")).distinct()))  # three questions by one row per source
+    q = table(spark, d, "documents").select(F.col("source").alias("doc_id")).distinct().crossJoin(F.broadcast(questions(spark)))  # there are three questions
     docs = table(spark, d, "documents").groupBy(F.col("source").alias("doc_id")).agg(F.lit(None).cast("string").alias("summary")).withColumn("insights", F.lit(None).cast("array<string>"))
     kn = spark.createDataFrame([], "doc_id string, ord int, label string, value string, unit string, section string")
     out = answer.layered(q, docs, _keyed(spark, d), kn)

@@ -122,7 +122,7 @@ def quick_totals(spark, d):
     """Questions that ask for an aggregate, answered from the table whose header they name; a question about one segment is not."""
     q = spark.createDataFrame([("t1", "what is the average balance"), ("t2", "what is the highest balance"), ("t3", "total balance of building customers"), ("t4", "who is the owner")], "qid string, question string")
     long = customer_cells(spark, d)
-    asked = q.crossJoin(F.broadcast(long.select("doc_id", "section_id").distinct()))  # four questions by one row per nation
+    asked = long.select("doc_id", "section_id").distinct().crossJoin(F.broadcast(q))  # there are four questions
     out = tables.answer_by_table(asked.withColumn("qid", F.concat_ws("-", "qid", "section_id")), long)
     return out.select("qid", "op", "header", F.round("value", 4).alias("value"), "n_rows")
 

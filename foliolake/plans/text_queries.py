@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import sql
 from ..functions import text as X
+from ..functions.small import first_of
 from ..functions.text import FILLERS
 from ..operators import chunks, enrich
 from ..operators.answer import best_sentences
@@ -116,11 +118,32 @@ def html_sections(spark, d):
 
 def dedupe_seen(spark, d):
     """The first event of each pair of type (without case) and user."""
-    e = table(spark, d, "events").groupBy(F.lower("event_type").alias("kind"), "user_id").agg(F.min("event_id").alias("event_id"))
-    return e.select("kind", "user_id", "event_id")
+    return first_of(table(spark, d, "events"), {"kind": F.lower("event_type"), "user_id": F.col("user_id")}, "event_id")
+
+
+def sql_functions(spark, d):
+    """The functions of SQL sessions, scalar and table ones."""
+    sql.register(spark)
+    table(spark, d, "documents").createOrReplaceTempView("folio_documents")
+    return spark.sql("""
+        SELECT doc_id, size(folio_words(text)) AS n_words, size(folio_terms(text)) AS n_terms, folio_token_estimate(text) AS tokens, md5(folio_normalised(substring(text, 1, 500))) AS norm,
+               round(folio_jaccard(array_distinct(folio_terms(text)), array('the', 'of')), 6) AS near, n_passages
+        FROM folio_documents LEFT JOIN (SELECT doc_id, count(*) AS n_passages FROM folio_documents, LATERAL folio_passages(text, 2000, 200) GROUP BY doc_id) USING (doc_id)
+    """).withColumns({"n_passages": F.coalesce("n_passages", F.lit(0)).cast("long"), **{c: F.col(c).cast("long") for c in ("n_words", "n_terms", "tokens")}})
 
 
 _TRIM = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+_PASSAGES = f"""
+WITH t AS (SELECT doc_id, {_TRIM.format("coalesce(text, '')")} AS x FROM documents),
+l AS (SELECT doc_id, list_filter(list_transform(string_split_regex(x, '\\n\\s*\\n'), lambda s: {_TRIM.format('s')}), lambda s: s <> '') AS paras FROM t WHERE len(x) > 2000),
+q AS (SELECT doc_id, flatten(list_transform(paras, lambda s: CASE WHEN len(s) <= 2000 THEN [s] ELSE
+  flatten(list_transform(list_filter(list_transform(string_split(regexp_replace(s, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda u: {_TRIM.format('u')}), lambda u: u <> ''), lambda u: list_transform(range(0, len(u), 2000), lambda i: u[i + 1:i + 2000]))) END)) AS pieces FROM l),
+r AS (SELECT doc_id, list_reduce(list_transform(pieces, lambda s: {{'now': s, 'done': CAST([] AS VARCHAR[])}}), lambda a, b: CASE
+  WHEN len(a.now) + 1 + len(b.now) <= 2000 THEN {{'now': a.now || ' ' || b.now, 'done': a.done}}
+  WHEN len({_TRIM.format("right(a.now, 200) || ' ' || b.now")}) <= 2000 THEN {{'now': {_TRIM.format("right(a.now, 200) || ' ' || b.now")}, 'done': list_append(a.done, a.now)}}
+  ELSE {{'now': b.now, 'done': list_append(a.done, a.now)}} END) AS z FROM q),
+p AS (SELECT doc_id, list_append(z.done, z.now) AS p FROM r UNION ALL SELECT doc_id, CASE WHEN x = '' THEN [] ELSE [x] END FROM t WHERE len(x) <= 2000)
+"""
 SQL = {
     "doc_token_count": f"SELECT doc_id, len(w) AS n_words, CAST(floor(len(w) * CAST(1.3 AS DOUBLE)) AS BIGINT) AS token_count FROM (SELECT doc_id, {sql_words('text')} AS w FROM documents)",
     "tokenise_terms": f"SELECT doc_id, len(t) AS n_terms, len(list_distinct(t)) AS n_distinct FROM (SELECT doc_id, {sql_terms('text')} AS t FROM documents)",
@@ -145,17 +168,13 @@ SELECT d.doc_id, CASE WHEN best > 0 THEN extract ELSE '' END AS extract FROM doc
 WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM documents),
 i AS (SELECT doc_id, w, unnest(range(0, (len(w) + 511) // 512)) AS i FROM w)
 SELECT doc_id, i AS window_idx, md5(array_to_string(w[i * 512 + 1:i * 512 + 512], ' ')) AS digest FROM i""",
-    "chunk_passages": f"""
-WITH t AS (SELECT doc_id, {_TRIM.format("coalesce(text, '')")} AS x FROM documents),
-l AS (SELECT doc_id, list_filter(list_transform(string_split_regex(x, '\\n\\s*\\n'), lambda s: {_TRIM.format('s')}), lambda s: s <> '') AS paras FROM t WHERE len(x) > 2000),
-q AS (SELECT doc_id, flatten(list_transform(paras, lambda s: CASE WHEN len(s) <= 2000 THEN [s] ELSE
-  flatten(list_transform(list_filter(list_transform(string_split(regexp_replace(s, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda u: {_TRIM.format('u')}), lambda u: u <> ''), lambda u: list_transform(range(0, len(u), 2000), lambda i: u[i + 1:i + 2000]))) END)) AS pieces FROM l),
-r AS (SELECT doc_id, list_reduce(list_transform(pieces, lambda s: {{'now': s, 'done': CAST([] AS VARCHAR[])}}), lambda a, b: CASE
-  WHEN len(a.now) + 1 + len(b.now) <= 2000 THEN {{'now': a.now || ' ' || b.now, 'done': a.done}}
-  WHEN len({_TRIM.format("right(a.now, 200) || ' ' || b.now")}) <= 2000 THEN {{'now': {_TRIM.format("right(a.now, 200) || ' ' || b.now")}, 'done': list_append(a.done, a.now)}}
-  ELSE {{'now': b.now, 'done': list_append(a.done, a.now)}} END) AS z FROM q),
-p AS (SELECT doc_id, list_append(z.done, z.now) AS p FROM r UNION ALL SELECT doc_id, CASE WHEN x = '' THEN [] ELSE [x] END FROM t WHERE len(x) <= 2000)
-SELECT doc_id, CAST(len(p) AS BIGINT) AS n_passages, CAST(coalesce(list_max(list_transform(p, lambda x: len(x))), 0) AS BIGINT) AS longest, md5(array_to_string(p, chr(1))) AS digest FROM p""",
+    "chunk_passages": f"""{_PASSAGES}SELECT doc_id, CAST(len(p) AS BIGINT) AS n_passages, CAST(coalesce(list_max(list_transform(p, lambda x: len(x))), 0) AS BIGINT) AS longest, md5(array_to_string(p, chr(1))) AS digest FROM p""",
+    "sql_functions": f"""
+WITH {_PASSAGES.replace('WITH ', '')}
+SELECT d.doc_id, len({sql_words('text')}) AS n_words, len({sql_terms('text')}) AS n_terms, CAST(floor(len({sql_words('text')}) * CAST(1.3 AS DOUBLE)) AS BIGINT) AS tokens,
+       md5(trim(regexp_replace(lower(left(text, 500)), '[^a-z0-9]+', ' ', 'g'))) AS norm,
+       round(len(list_intersect(list_distinct({sql_terms('text')}), ['the', 'of'])) / CAST(greatest(len(list_distinct(list_concat({sql_terms('text')}, ['the', 'of']))), 1) AS DOUBLE), 6) AS near, CAST(len(p.p) AS BIGINT) AS n_passages
+FROM documents d JOIN p USING (doc_id)""",
     "normalised_names": """
 SELECT p_partkey, trim(regexp_replace(lower(regexp_replace(regexp_replace(x, '([a-z])([A-Z])', '\\1-\\2', 'g'), '([A-Za-z])([0-9])', '\\1-\\2', 'g')), '[^a-z0-9]+', '-', 'g'), '-') AS slug,
        trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g')) AS norm
@@ -185,5 +204,5 @@ SELECT page_id, trim(replace(replace(replace(replace(regexp_extract(html, '<titl
 FROM pages""",
     "dedupe_seen": "SELECT lower(event_type) AS kind, user_id, min(event_id) AS event_id FROM events GROUP BY 1, 2",
 }
-QUERIES = {f.__name__: f for f in (doc_token_count, tokenise_terms, term_freq_topk, section_keywords, sentence_split, extract_sentences, word_windows_512, chunk_passages, key_numbers, normalised_names, escaped_text, clean_sources, markdown_sections, span_sections, heading_outline, html_sections, dedupe_seen)}
+QUERIES = {f.__name__: f for f in (doc_token_count, tokenise_terms, term_freq_topk, section_keywords, sentence_split, extract_sentences, word_windows_512, chunk_passages, key_numbers, normalised_names, escaped_text, clean_sources, markdown_sections, span_sections, heading_outline, html_sections, dedupe_seen, sql_functions)}
 __all__ = ["QUERIES", "SQL"]
