@@ -17,8 +17,8 @@ K1, B = 1.2, 0.75
 
 
 def top_k(scored: DataFrame, k: int, by: list[str] | None = None, score: str = "score") -> DataFrame:
-    """The ``k`` best rows for each ``by`` with their rank from 1; ties by document and section."""
-    order = Window.partitionBy(*(by or ["qid"])).orderBy(F.col(score).desc(), "doc_id", "sec_idx")
+    """The ``k`` best rows for each ``by`` with their rank from 1; ties, which scores that differ by the order of a sum are too, by document and section."""
+    order = Window.partitionBy(*(by or ["qid"])).orderBy(F.round(score, 9).desc(), "doc_id", "sec_idx")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 

@@ -106,7 +106,7 @@ def bm25_context(sections: DataFrame, questions: DataFrame) -> DataFrame:
     """
     scored = search.bm25_two_queries(sections.select("doc_id", "sec_idx", clean_words(corpus_text(sections)).alias("tokens")), asked_words(questions))
     sizes = sections.groupBy("doc_id").agg(F.count("*").alias("n"))
-    order = Window.partitionBy("qid", "doc_id").orderBy(F.desc("score"), "sec_idx")
+    order = Window.partitionBy("qid", "doc_id").orderBy(F.round("score", 9).desc(), "sec_idx")
     ranked = scored.withColumn("rank", F.row_number().over(order)).where("rank <= 5").join(sizes, "doc_id").where(F.col("rank") <= F.when(F.col("n") >= 100, 5).when(F.col("n") >= 30, 4).otherwise(3))
     own = ranked.join(sections, ["doc_id", "sec_idx"])
     cut = F.substring(F.coalesce("text", F.lit("")), F.lit(1), F.when(F.col("n") > 80, 700).otherwise(1200))

@@ -80,7 +80,7 @@ scored AS (
 
 
 def sql_top(k: int, scored: str = "scored", digits: int = 5) -> str:
-    return f"SELECT qid, sec_idx, round(score, {digits}) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, sec_idx) AS rank FROM {scored}) WHERE rank <= {k}"
+    return f"SELECT qid, sec_idx, round(score, {digits}) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, sec_idx) AS rank FROM {scored}) WHERE rank <= {k}"
 
 
 def shown(df: DataFrame, digits: int = 5) -> DataFrame:

@@ -262,7 +262,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, i) A
 k AS (SELECT doc_id, string_agg(s, ' ' ORDER BY i) AS k FROM r WHERE r <= 5 GROUP BY doc_id)
 SELECT doc_id, md5(coalesce(k, text)) AS digest FROM t LEFT JOIN k USING (doc_id)""",
     "corpus_texts": "SELECT n_nationkey, n_name || ' ' || n_name || ' ' || n_name || CASE WHEN n_nationkey % 2 = 0 THEN ' body' ELSE '' END || ' Key Name ' || n_nationkey || ' ' || n_name AS text FROM nation",
-    "bm25_two_queries": f"WITH {_TWO} SELECT qid, sec_idx, round(score, 5) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, sec_idx) AS rank FROM two) WHERE rank <= 10",
+    "bm25_two_queries": f"WITH {_TWO} SELECT qid, sec_idx, round(score, 5) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, sec_idx) AS rank FROM two) WHERE rank <= 10",
     "smart_ranking": f"""
 WITH {_TWO},
 gr AS (SELECT sec_idx, unnest({_GRAMS}) AS term FROM (SELECT sec_idx, {_TOKENS.format('body')} AS t FROM body)),
@@ -273,14 +273,14 @@ gn AS (SELECT sec_idx, sqrt(sum(w * w)) AS norm FROM gw GROUP BY sec_idx),
 gq AS (SELECT qid, term, (1 + ln(count(*))) * any_value(idf) AS qw FROM (SELECT qid, unnest({_GRAMS}) AS term FROM (SELECT qid, {_TOKENS.format('question')} AS t FROM question)) JOIN gidf USING (term) GROUP BY qid, term),
 cos AS (SELECT qid, sec_idx, sum(w * qw) / any_value(norm) AS score FROM gw JOIN gq USING (term) JOIN gn USING (sec_idx) GROUP BY qid, sec_idx),
 lists AS (
-  SELECT qid, sec_idx, CAST(3.5 AS DOUBLE) AS w, row_number() OVER (PARTITION BY qid ORDER BY score DESC, sec_idx) AS r FROM two
-  UNION ALL SELECT qid, sec_idx, 1, row_number() OVER (PARTITION BY qid ORDER BY score DESC, sec_idx) FROM cos
+  SELECT qid, sec_idx, CAST(3.5 AS DOUBLE) AS w, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, sec_idx) AS r FROM two
+  UNION ALL SELECT qid, sec_idx, 1, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, sec_idx) FROM cos
 ),
 fused AS (SELECT qid, sec_idx, sum(w / (60 + r)) AS score FROM lists WHERE r <= 30 GROUP BY ALL),
 kw AS (SELECT qid, unnest(list_distinct(CASE WHEN len(c) > 0 THEN c ELSE w[1:8] END)) AS term FROM qc),
 hit AS (SELECT qid, sec_idx, any_value(score) AS score, count(*) FILTER (WHERE list_contains(regexp_extract_all(lower(source), '[a-z0-9\\-]{{2,}}'), term)) AS nt, count(*) FILTER (WHERE list_contains(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9\\-]{{2,}}'), term)) AS nb FROM fused JOIN kw USING (qid) JOIN body USING (sec_idx) GROUP BY ALL),
 final AS (SELECT qid, sec_idx, 5 * nt + 2 * nb + 10 * score AS score FROM hit)
-SELECT qid, sec_idx, round(score, 4) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, sec_idx) AS rank FROM final) WHERE rank <= 5""",
+SELECT qid, sec_idx, round(score, 4) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, sec_idx) AS rank FROM final) WHERE rank <= 5""",
 }
 QUERIES = {f.__name__: f for f in (figure_values, column_numbers, squared_tables, content_sections, figure_rows, reply_fields, guarded_answers, spans_outside_tables, layer_shares, library_entries, library_remove, section_context, embed_choice, legacy_vectors, quantised_bytes, layout_sections, judged_pairs, key_sentences, corpus_texts, bm25_two_queries, smart_ranking, smart_context)}
 __all__ = ["QUERIES", "SQL"]

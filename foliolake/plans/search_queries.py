@@ -243,8 +243,8 @@ _FUSE = f"""
 {SQL_ASKED}, {SQL_SECTIONS}, {SQL_BM25}, {_VEC}, {_MEAN},
 dense AS (SELECT 'q' || m.label AS qid, vec_id AS sec_idx, ({_COS.format('e', 'm')} + 1) / 2 AS score FROM vec v, mean m WHERE m.label IN (1, 2, 3)),
 lists AS (
-  SELECT qid, sec_idx, 2.0 AS w, row_number() OVER (PARTITION BY qid ORDER BY score DESC, sec_idx) AS r FROM scored
-  UNION ALL SELECT qid, sec_idx, 1.5, row_number() OVER (PARTITION BY qid ORDER BY score DESC, sec_idx) FROM dense
+  SELECT qid, sec_idx, 2.0 AS w, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, sec_idx) AS r FROM scored
+  UNION ALL SELECT qid, sec_idx, 1.5, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, sec_idx) FROM dense
 ),
 fused AS (SELECT qid, sec_idx, sum(CAST(w AS DOUBLE) / (60 + r)) AS score FROM lists WHERE r <= 30 GROUP BY qid, sec_idx)"""
 _LIB = f"""{_keywords_sql("''", 3)},
@@ -305,7 +305,7 @@ WITH {SQL_ASKED},
 w AS (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM documents),
 i AS (SELECT doc_id, i, {sql_terms("array_to_string(w[i * 512 + 1:i * 512 + 512], ' ')")} AS tokens FROM (SELECT doc_id, w, unnest(range(0, (len(w) + 511) // 512)) AS i FROM w)),
 sec AS (SELECT doc_id * 100000 + i AS sec_idx, tokens FROM i), {SQL_BM25}
-SELECT qid, sec_idx // 100000 AS document, sec_idx % 100000 AS window_idx, round(score, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, sec_idx) AS rank FROM scored) WHERE rank <= 5""",
+SELECT qid, sec_idx // 100000 AS document, sec_idx % 100000 AS window_idx, round(score, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, sec_idx) AS rank FROM scored) WHERE rank <= 5""",
     "mean_query_vector": f"WITH {_VEC}, {_MEAN} SELECT 'v' || label AS qid, CAST(unnest(range(len(m))) AS BIGINT) AS i, round(unnest(m), 6) AS x FROM mean",
     "vector_topk": f"WITH {_VEC}, {_MEAN}, scored AS ({_NEAR}) {sql_top(K)}",
     "vector_topk_filtered": f"WITH {_VEC}, {_MEAN}, scored AS ({_NEAR} WHERE v.label = 1) {sql_top(K)}",
@@ -321,7 +321,7 @@ final AS (SELECT qid, sec_idx, sum(score) AS score FROM passed GROUP BY qid, sec
 {sql_top(K, 'final', 6)}""",
     "rerank_pool": f"""
 WITH {SQL_ASKED}, {SQL_SECTIONS}, {SQL_BM25},
-pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, sec_idx) AS r FROM scored) WHERE r <= 30),
+pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, sec_idx) AS r FROM scored) WHERE r <= 30),
 own AS (SELECT doc_id AS sec_idx, {sql_terms("source || ' ' || lang")} AS t, {sql_terms('text')} AS b FROM documents),
 hit AS (SELECT qid, sec_idx, any_value(score) AS score, count(*) FILTER (WHERE list_contains(t, term)) AS nt, count(*) FILTER (WHERE list_contains(b, term)) AS nb FROM pool JOIN asked USING (qid) JOIN own USING (sec_idx) GROUP BY qid, sec_idx),
 final AS (SELECT qid, sec_idx, 5 * nt + 2 * nb + 10 * score AS score FROM hit)
