@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliolake.llm import components, decontaminate, exact_dedup, induced, near_dedup, packing, repeats, secrets, sharding, token_counts, toxicity, url_filters
+from foliolake.llm import words as words_module
 from foliolake.llm.pretokens import encoder
 from foliolake.llm.scratch import Scratch
 
@@ -394,6 +395,35 @@ def test_toxicity_on_held_out_rows(spark):
     del documents
 
 
+def test_word_stretches():
+    """Words are hashed alike however the joined texts are cut, words longer than a stretch included."""
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choice("aBcé9") for _ in range(rng.choice((1, 3, 40, 700)))) for _ in range(rng.choice((0, 1, 30)))).encode() for _ in range(40)]
+    for kind in ("alnum", "space"):
+        place, bounds, stretches = words_module.word_stretches(texts, kind, 64)
+        cut = np.zeros(len(place), np.uint64)
+        for first, chars, starts, sizes, _ in stretches:
+            cut[first : first + len(starts)] = words_module.mix(np.add.reduceat(chars, starts) + sizes.astype(np.uint64))
+        whole, same = words_module.hash_words(texts, kind)
+        assert np.array_equal(cut, whole) and np.array_equal(bounds, same)
+        each = [words_module.hash_words([t], kind)[0] for t in texts]
+        assert np.array_equal(np.concatenate(each), whole)
+
+
+def test_scores_of_very_long_texts(spark):
+    """A text of megabytes between short ones: each has the score that it has alone."""
+    rng = random.Random(6)
+    long = " ".join(rng.choice(["vile", "fine", "day", "bad"]) + str(rng.randint(0, 99)) for _ in range(400_000))
+    texts = ["", "fine day", long, "vile bad", None, long[:3000]]
+    at = np.unique(np.random.default_rng(1).integers(0, 1 << toxicity.BITS, 200_000)).astype(np.int32)
+    model = at, np.random.default_rng(2).normal(size=len(at)).astype(np.float32), -0.5
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.score(df.coalesce(1), model).collect()}
+    alone = {i: toxicity.score(df.where(F.col("doc_id") == i), model).first().score for i in range(len(texts))}
+    assert got == pytest.approx(alone, abs=1e-9) and all(0 <= x <= 1 for x in got.values())
+    assert got[0] == got[4] != got[2]
+
+
 def test_toxicity_edge_cases(spark):
     df = docs(spark, [(1, "bad bad word", 1), (2, "fine text here", 2), (None, None, 3), (3, "", 4), (3, "", 4)], "doc_id long, text string, __score int")
     one = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
