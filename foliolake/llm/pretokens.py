@@ -120,11 +120,14 @@ class Encoder:
 
     def __init__(self, path: str):
         import public_tokenizers as public
+        import regex
         import tiktoken
 
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
         coding = tiktoken.Encoding("ranks", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.one = coding.encode_ordinary
+        self.split = regex.compile(public.PATTERN).findall
+        self.short: dict[str, int] = {}
         self.piece = coding._core_bpe.encode_single_piece
         file = Path(path).with_suffix(".json")
         self.added = {t["content"]: t["id"] for t in json.loads(file.read_text())["added_tokens"]} if file.exists() else {}
@@ -171,6 +174,28 @@ class Encoder:
             self._learn([joined[a:b] for a, b in zip(begin.tolist(), ends.tolist())])
         return starts, where[inverse], np.searchsorted(starts, at), at
 
+    def short_pretokens(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """(characters, tokens) of the pre-tokens of one short text, added tokens cut out: the split pattern itself costs less here than array operations."""
+        parts = self.split(text) if self.pattern is None or not self.pattern.search(text) else self._parts(text)
+        known = self.short
+        try:
+            counts = [known[p] for p in parts]
+        except KeyError:
+            if len(known) > REMEMBER:
+                known.clear()
+            for p in parts:
+                if p not in known:
+                    known[p] = 1 if p in self.added else len(self.piece(p.encode()))
+            counts = [known[p] for p in parts]
+        return np.fromiter(map(len, parts), np.int64, len(parts)), np.array(counts, np.int64)
+
+    def _parts(self, text: str) -> list[str]:
+        out, done = [], 0
+        for m in self.pattern.finditer(text):
+            out += [*self.split(text[done : m.start()]), m[0]]
+            done = m.end()
+        return out + self.split(text[done:])
+
     def counts(self, index: np.ndarray) -> np.ndarray:
         """Tokens of each pre-token."""
         return self.offsets[index + 1] - self.offsets[index]

@@ -38,6 +38,8 @@ from .scratch import Scratch, arrow_bytes, trimmed
 NAME = "op10_edit_token_counts"
 #: Pre-tokens in a leaf of the tree, and children of a node.
 LEAF, FAN = 64, 16
+#: Characters below which a region is split by the pattern and not by array operations.
+SHORT = 20_000
 
 
 class Leaf:
@@ -216,8 +218,8 @@ class CountedText:
             ahead = after.text[:2] if after is not None else ""
             texts = (region, held[0].text, held[-1].text)
             follows = (ahead, held[1].text[:2] if len(held) > 1 else ahead, ahead)
-            counted = self._count([t + f for t, f in zip(texts, follows)])
-            new, head, tail = (self._before(c, len(t)) for c, t in zip(counted, texts))
+            split = self.coder.short_pretokens if len(region) < SHORT else lambda t: self._count([t])[0]
+            new, head, tail = (self._before(split(t + f), len(t)) for t, f in zip(texts, follows))
             self.encoded += len(region)
             keep = len(whole) - b
             # the outermost pre-tokens must be as before, else white space or a contraction reaches further; an added token reaches `reach` characters
