@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import hashlib
+import shutil
 import tempfile
 from collections.abc import Callable
 
@@ -17,7 +19,9 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError(f"set {_KEY} to a folder that every executor reaches")
-        folder = "file://" + tempfile.mkdtemp(prefix="foliolake-")
+        path = tempfile.mkdtemp(prefix="foliolake-")
+        atexit.register(shutil.rmtree, path, True)
+        folder = f"file://{path}"
         spark.conf.set(_KEY, folder)
     return folder
 
