@@ -147,7 +147,7 @@ def _names(text: np.ndarray, rises: np.ndarray, depth: int) -> np.ndarray:
             value = text[np.minimum(rises[live] + k, n - 1)].astype(np.int64) + 1
             word = word * 258 + (np.where(k < size[live], value, beyond[live]) if k < depth else 0)
         rank[live], live = _refined(rank[live], word, live)
-        live = live[size[live] > at + 7]
+        live = live[size[live] >= at + 7]  # a stretch that ends with this word shows its end in the next
         if not len(live):
             break
     return rank

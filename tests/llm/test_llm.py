@@ -300,6 +300,17 @@ def test_induced_sorting_beyond_memory():
         assert np.array_equal(np.concatenate(a), np.concatenate(b))
 
 
+def test_induced_sorting_of_stretches_that_end_with_a_word():
+    """Names are compared by seven bytes; a stretch of seven and a longer one that begins with it differ."""
+    text = np.frombuffer(b"zhijkjihizzhijkjihgfzzhijkjihez", np.uint8)
+    rng = np.random.default_rng(6)
+    words = [bytes(rng.integers(97, 123, rng.integers(1, 9)).astype(np.uint8)) for _ in range(500)]
+    for data in (text, np.frombuffer(b" ".join(words[i] for i in rng.integers(0, 500, 40_000)), np.uint8)):
+        place = np.concatenate([p for p, _ in induced.suffixes(data, 50)]).tolist()
+        raw = data.tobytes()
+        assert all(raw[p : p + 50] <= raw[q : q + 50] for p, q in zip(place, place[1:]))
+
+
 # decontamination
 
 
