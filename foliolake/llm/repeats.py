@@ -11,16 +11,18 @@ need no merging, since equal strings of ``LENGTH`` bytes always meet in one:
    document is repeated in all its windows. One whose chosen string occurs in
    smaller documents with other surroundings is undecided; of such groups each
    distinct segment sends its bytes once, to the shard of its chosen string.
-3. In each shard, induced sorting carries suffix tuples and their common prefixes
-   through queues, beyond ``MEMORY`` bytes on disk. Suffixes with ``LENGTH`` bytes in
-   common are neighbours there, and the smallest identifier of such a run keeps them.
+3. In each shard, segments without a window whose hash another document's segment has
+   too share nothing and leave. Of the others, induced sorting carries suffix tuples and their
+   common prefixes through queues, beyond ``MEMORY`` bytes on disk. Suffixes with ``LENGTH`` bytes
+   in common are neighbours there, and the smallest identifier of such a run keeps them.
 
 Tuples are packed and travel through external sorts and shuffles on disk;
 before they do, equal tuples of one document group become one, so a string that
 a third of all documents share costs a tuple per group of documents and not
-per document. There are ``FINE`` buckets and groups for each partition, which a
-task works off one after the other, and the partitions grow with the bytes of
-the input. A chosen string with very many different segments is found in a
+per document. A bucket and a document group stand for ``BUCKET_BYTES`` bytes of input, or for
+a partition if that has less; a partition has a few of both, which a task works off one after the
+other. Rows that travel are one for each pair of a group and a bucket, or a few, so they have
+kilobytes each and not a few tuples. A chosen string with very many different segments is found in a
 sample of the documents: its tuples are spread by the hash of the segment and
 its windows by the hash of the window, so no bucket holds them all.
 
@@ -46,10 +48,10 @@ from .words import mix
 
 NAME = "op4_repeated_bytes"
 LENGTH, GRAM = 50, 20
-#: Buckets and document groups in a partition, bytes in a stretch of text, tuples held before they are packed.
-FINE, BLOCK, HOLD = 8, 1 << 20, 500_000
-#: Bytes of input in a partition at most; one document of SAMPLE is looked at for strings with more than HOT segments.
-PART_BYTES, SAMPLE, HOT = 48 << 20, 64, 200_000
+#: Bytes in a stretch of text, tuples and bytes of undecided segments held before they are packed.
+BLOCK, HOLD, HELD = 1 << 20, 500_000, 4 << 20
+#: Bytes of input in a partition and in a bucket or group at most; one document of SAMPLE is looked at for strings with more than HOT segments.
+PART_BYTES, BUCKET_BYTES, SAMPLE, HOT = 48 << 20, 6 << 20, 64, 200_000
 #: Bytes of queued suffix tuples of a shard in memory; the rest waits on disk.
 MEMORY = 64 << 20
 _BASE = 0xD1342543DE82EF95
@@ -279,17 +281,59 @@ def _spans(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     return np.stack([start[new], reach[np.append(new[1:], len(start)) - 1]], 1).astype("<i8")
 
 
-def _decide(buckets: int, hot, block: int):
+def _gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The stretches of ``data``, one after the other."""
+    stop = np.cumsum(size, dtype=np.int64)
+    return data[np.repeat(start - stop + size, size) + np.arange(stop[-1])] if len(size) else data[:0]
+
+
+class _Undecided:
+    """Segments, and windows of hot strings, of a document group until they are packed, one row for each bucket."""
+
+    def __init__(self):
+        self.segments, self.windows, self.size = [], [], 0
+
+    def add(self, bucket: np.ndarray, *columns: np.ndarray) -> None:
+        """Columns of windows (hash, document, row, start), or of segments (document, row, start, size, and all bytes)."""
+        (self.segments if len(columns) == 5 else self.windows).append((bucket, *columns))
+        self.size += sum(c.nbytes for c in columns)
+
+    def rows(self, g: int) -> list[tuple]:
+        out = []
+        for held in filter(None, (self.segments, self.windows)):
+            bucket, *columns = map(np.concatenate, zip(*held))
+            raw = columns.pop() if held is self.segments else None
+            order = np.argsort(bucket, kind="stable")
+            bucket, sorted_columns = bucket[order], [c[order] for c in columns]
+            cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+            stop = np.append(cut[1:], len(bucket))
+            packed = [_pack(*(c[a:e] for c in sorted_columns)) for a, e in zip(cut, stop)]
+            if raw is not None:
+                size = columns[-1].astype(np.int64)
+                raw = _gather(raw, (np.cumsum(size) - size)[order], size[order]).tobytes()
+                at = np.append(0, np.cumsum(size[order]))
+                packed = [_pack(np.array([e - a], "<i8")) + p + raw[at[a] : at[e]] for p, a, e in zip(packed, cut, stop)]
+            out += [(2, int(b), g, None, None, p) for b, p in zip(bucket[cut], packed)]
+        self.segments, self.windows, self.size = [], [], 0
+        return out
+
+
+def _decide(buckets: int, hot, block: int, most: int = HELD):
     """Replies, then documents, of each group: spans that are settled and bytes of undecided segments."""
 
+    def emit(out):
+        return _emit(["kind", "bucket", "g", "id", "r", "blob"], (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), out)
+
     def run(batches):
-        replies, now, ready = [], None, None
+        replies, now, ready, held = [], None, None, _Undecided()
         for batch in batches:
             kind, groups, ids, marks = (batch.column(c).to_pylist() for c in ("kind", "g", "id", "r"))
             texts = batch.column("t").to_pylist()
             at = 0
             while at < len(kind):
                 if groups[at] != now:
+                    if held.size:
+                        yield emit(held.rows(now))
                     now, replies, ready = groups[at], [], None
                 if kind[at] == 0:
                     replies.append(_unpack(texts[at], *_REPLY))
@@ -328,27 +372,18 @@ def _decide(buckets: int, hot, block: int):
                         each = np.repeat(split, size)
                         start = np.repeat(lo[split], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
                         h = b.hash(start, start + LENGTH)
-                        column = (h, own[text[each]], mark[text[each]], start + shift[text[each]])
-                        home = buckets + (h % np.uint64(buckets)).astype(np.int64)
-                        order = np.argsort(home, kind="stable")
-                        home, column = home[order], [c[order] for c in column]
-                        cut = np.flatnonzero(np.append(True, home[1:] != home[:-1]))
-                        out += [(2, int(home[a]), now, None, None, _pack(*(c[a:e] for c in column))) for a, e in zip(cut, np.append(cut[1:], len(home)))]
+                        held.add(buckets + (h % np.uint64(buckets)).astype(np.int64), h, own[text[each]], mark[text[each]], start + shift[text[each]])
                     send, bucket = send[bucket < buckets], bucket[bucket < buckets]
-                    if not len(send):
-                        continue
-                    order = np.argsort(bucket, kind="stable")
-                    send, bucket = send[order], bucket[order]
-                    cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-                    raw = b.data
-                    for a, e in zip(cut, np.append(cut[1:], len(send))):
-                        s = send[a:e]
-                        size = (hi[s] - lo[s] + LENGTH).astype("<u2")
-                        head = _pack(np.array([len(s)], "<i8"), own[text[s]], mark[text[s]], lo[s] + shift[text[s]], size)
-                        out.append((2, int(bucket[a]), now, None, None, head + b"".join(raw[x : y + LENGTH].tobytes() for x, y in zip(lo[s].tolist(), hi[s].tolist()))))
+                    if len(send):
+                        size = hi[send] - lo[send] + LENGTH
+                        held.add(bucket, own[text[send]], mark[text[send]], lo[send] + shift[text[send]], size.astype("<u2"), _gather(b.data, lo[send], size))
+                    if held.size > most:
+                        out += held.rows(now)
                 if out:
-                    yield _emit(["kind", "bucket", "g", "id", "r", "blob"], (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), out)
+                    yield emit(out)
                 at = stop
+        if held.size:
+            yield emit(held.rows(now))
 
     return run
 
@@ -370,6 +405,30 @@ def _compare(buckets: int, memory: int):
     return run
 
 
+def _meeting(data: np.ndarray, bounds: np.ndarray, ident: np.ndarray, block: int = BLOCK) -> np.ndarray:
+    """The segments with a window whose hash a segment of another document has too. Equal windows have equal hashes, so the others have no window in common with any."""
+    hashes, owners = [], []
+    at = 0
+    while at < len(ident):
+        stop = max(int(np.searchsorted(bounds, bounds[at] + block, "right")) - 1, at + 1)
+        b = Bytes([data[bounds[at] : bounds[stop]]])
+        count = np.diff(bounds[at : stop + 1]) - LENGTH + 1
+        owner = np.repeat(np.arange(len(count)), count)
+        start = (bounds[at:stop] - bounds[at] - np.cumsum(count) + count)[owner] + np.arange(len(owner))
+        hashes.append(b.hash(start, start + LENGTH))
+        owners.append(at + owner)
+        at = stop
+    h, owner = np.concatenate(hashes), np.concatenate(owners)
+    order = np.argsort(h)
+    h, owner = h[order], owner[order]
+    first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+    doc = ident[owner]
+    met = np.minimum.reduceat(doc, first) < np.maximum.reduceat(doc, first)
+    out = np.zeros(len(ident), bool)
+    out[owner[np.repeat(met, np.diff(np.append(first, len(h))))]] = True
+    return np.flatnonzero(out)
+
+
 def _sorted_segments(rows: list[dict], memory: int) -> tuple[np.ndarray, ...]:
     """(document, row, group, start) of the windows of packed segments that a smaller document has too, by the suffix order of their bytes."""
     ident, mark, lo, group, size, raw = [], [], [], [], [], []
@@ -383,10 +442,15 @@ def _sorted_segments(rows: list[dict], memory: int) -> tuple[np.ndarray, ...]:
         raw.append(blob[8 + 26 * n :])
         group.append(np.full(n, r["g"]))
     ident, mark, lo, size, group = map(np.concatenate, (ident, mark, lo, size, group))
-    bounds = np.concatenate([[0], np.cumsum(size.astype(np.int64))])
+    size, data = size.astype(np.int64), np.frombuffer(b"".join(raw), np.uint8)
+    bounds = np.concatenate([[0], np.cumsum(size)])
+    left = _meeting(data, bounds, ident)
+    data = _gather(data, bounds[left], size[left])
+    ident, mark, lo, size, group = (c[left] for c in (ident, mark, lo, size, group))
+    bounds = np.concatenate([[0], np.cumsum(size)])
     owner = np.repeat(np.arange(len(size)), size)
     hits = []
-    for place, starts in groups(suffixes(np.frombuffer(b"".join(raw), np.uint8), LENGTH, memory), LENGTH):
+    for place, starts in groups(suffixes(data, LENGTH, memory), LENGTH):
         # a group is a string of LENGTH bytes; only windows inside a segment count
         whose = owner[place]
         doc = np.where(place + LENGTH <= bounds[whose + 1], ident[whose], _NONE)
@@ -440,21 +504,21 @@ def repeated(docs: DataFrame, *, ident: str = "doc_id", text: str = "text", samp
     spark = docs.sparkSession
     arrow_bytes(spark)
     scratch = Scratch(spark)
-    parts = partitions_for(docs, PART_BYTES)
-    groups = buckets = parts * FINE
+    parts, buckets = partitions_for(docs, PART_BYTES), partitions_for(docs, BUCKET_BYTES)
+    groups = buckets = -(-buckets // parts) * parts
     slim = docs.select(F.col(ident).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
     slim = slim.withColumn("r", F.xxhash64("t"))  # tells rows apart that share an identifier
     slim = slim.withColumn("g", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int"))
     named = slim.where("id IS NOT NULL")
     held = spark.sparkContext.broadcast(hot_strings(named, sample, hot))
     # documents of one group meet in one task, where their equal tuples are merged before they travel
-    tuples = named.repartition(parts, "g").sortWithinPartitions("g").mapInArrow(trimmed(_tuples(buckets, held, block)), "bucket int, g int, blob binary")
-    replies = scratch.save(tuples.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(trimmed(_settle(buckets)), "g int, blob binary"), "replies")
+    tuples = named.repartitionById(parts, "g").sortWithinPartitions("g").mapInArrow(trimmed(_tuples(buckets, held, block)), "bucket int, g int, blob binary")
+    replies = scratch.save(tuples.repartitionById(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(trimmed(_settle(buckets)), "g int, blob binary"), "replies")
     asked = replies.select(F.lit(0).alias("kind"), "g", F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("r"), F.col("blob").alias("t"))
-    mixed = asked.unionByName(named.select(F.lit(1).alias("kind"), "g", "id", "r", "t")).repartition(parts, "g").sortWithinPartitions("g", "kind")
+    mixed = asked.unionByName(named.select(F.lit(1).alias("kind"), "g", "id", "r", "t")).repartitionById(parts, "g").sortWithinPartitions("g", "kind")
     decided = scratch.save(mixed.mapInArrow(trimmed(_decide(buckets, held, block)), "kind int, bucket int, g int, id long, r long, blob binary"), "decided")
     scratch.drop("replies")
-    found = decided.where("kind = 2").select("bucket", "g", "blob").repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(trimmed(_compare(buckets, memory)), "g int, id long, r long, blob binary")
+    found = decided.where("kind = 2").select("bucket", "g", "blob").repartitionById(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(trimmed(_compare(buckets, memory)), "g int, id long, r long, blob binary")
     found = scratch.save(found, "found")
     spans = decided.where("kind = 1").select("g", "id", "r", "blob").unionByName(found).select(F.lit(0).alias("kind"), "g", "id", "r", F.col("blob").alias("t"))
     final = spans.unionByName(slim.select(F.lit(1).alias("kind"), F.coalesce("g", F.lit(0)).alias("g"), "id", "r", "t")).repartition(parts, "g", "id").sortWithinPartitions("id", "r", "kind")

@@ -253,6 +253,57 @@ def test_repeats_edge_cases(spark):
     assert repeats.repeated(docs(spark, rows).where("false")).count() == 0
 
 
+def test_repeats_pack_rows_by_bucket(spark, monkeypatch):
+    """What travels has a row for each pair of a group and a bucket, however many partitions and stretches there are."""
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choice("etaoinshrdlu ") for _ in range(n))
+    phrases = [text(30) for _ in range(100)]
+    rows = [(i, "".join(rng.choice(phrases) + text(30) for _ in range(60))) for i in range(60)]
+    seen, drop = [], repeats.Scratch.drop
+
+    def counted(self, *names):
+        seen.extend(self.spark.read.parquet(f"{self.root}/{n}").count() for n in names if n == "replies")
+        drop(self, *names)
+
+    monkeypatch.setattr(repeats.Scratch, "drop", counted)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        got = {r.id: (r.n_bytes, sum(e - a for a, e in r.spans), len(r.spans), bytes(r.kept)) for r in repeats.repeated(docs(spark, rows)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == brute_repeats(rows)
+    assert len(seen) == 1 and 0 < seen[0] <= 8 * 8
+
+    class Held:
+        value = np.zeros(0, np.uint64)
+
+    texts = [t.encode() for _, t in rows]
+    whole = np.concatenate([repeats.Bytes(some).segments()[4] for _, _, some in repeats._stretches(texts, 1000)])
+    count, whole = len(whole), np.unique(whole)
+    replies = repeats._pack(whole, np.zeros(len(whole), "<i8"), np.ones(len(whole), "u1"))
+    batch = repeats.pa.RecordBatch.from_pydict({"kind": [0] + [1] * 60, "g": [0] * 61, "id": [0] * 61, "r": list(range(61)), "t": [replies, *texts]})
+    out = [r for b in repeats._decide(16, Held, 1000)([batch]) for r in b.to_pylist() if r["kind"] == 2]
+    assert len(out) == 16  # and not as many for each stretch of a thousand bytes
+    assert sum(int(np.frombuffer(r["blob"], "<i8", 1)[0]) for r in out) == count
+
+
+def test_repeats_sort_only_segments_that_meet(monkeypatch):
+    """Segments whose windows no other document has are not sorted; the rest is decided as before."""
+    rng = random.Random(10)
+    text = lambda n: bytes(rng.choice(b"abcdefgh") for _ in range(n))
+    gram, shared = text(20), text(60)
+    raw = [text(25) + gram + text(25) for _ in range(50)] + [shared + text(10), text(10) + shared]
+    n = len(raw)
+    ident, zero = np.arange(n, dtype="<i8"), np.zeros(n, "<i8")
+    blob = repeats._pack(np.array([n], "<i8"), ident, zero, zero, np.array([len(x) for x in raw], "<u2")) + b"".join(raw)
+    given, suffixes = [], repeats.suffixes
+    monkeypatch.setattr(repeats, "suffixes", lambda data, *rest: given.append(len(data)) or suffixes(data, *rest))
+    doc, _, _, start = repeats._sorted_segments([{"g": 0, "blob": blob}], 1 << 20)
+    assert sorted(zip(doc.tolist(), start.tolist())) == [(51, 10 + k) for k in range(11)]
+    assert given == [140]
+
+
 def common(a, b, most):
     return next((k for k in range(most) if k >= min(len(a), len(b)) or a[k] != b[k]), most)
 
