@@ -18,7 +18,9 @@ What shares an index key is narrowed by exact tests before any pair is made:
 * in each bucket all members are first compared with its smallest one only; the
   components of the confirmed links then tell which members are settled;
 * a second round compares members of different components, within the size
-  ratio that 0.7 allows and within T places; the pairs are confirmed as before.
+  ratio that 0.7 allows and within T places. Members carry a bitmap with a place
+  for each shingle: bits that only one of two has bound what they share, and
+  pairs that cannot reach 0.7 by that go no further; the others are confirmed as before.
 
 Links are confirmed on the full sets. No number of partners or candidates is
 capped. Keys are range-partitioned together with the identifier, so a key that
@@ -52,8 +54,8 @@ SHINGLE, K, CHUNK, T = 5, 36, 3, 23
 PERCENT = 70
 #: Most bits of the broadcast table of candidates; beyond it, more sets are computed that a join then drops.
 BITS = 1 << 27
-#: Members of a bucket that the second round compares in one task.
-BLOCK = 4096
+#: Members of a bucket that the second round compares in one task, and most bytes of a member's bitmap; larger sets have a weaker bound.
+BLOCK, MARKS = 4096, 1024
 _PLACE = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 _seeds = np.random.default_rng(5)
 _ODD = _seeds.integers(1, 1 << 62, K, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -108,6 +110,49 @@ def _sketch(batches):
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(signs, pa.binary())], names=["id", "n", "digest", "signature"])
 
 
+def bitmap(shingles: np.ndarray) -> bytes:
+    """A bit for each shingle by its lowest bits, in a power of two of bytes, one a shingle or more and ``MARKS`` at the most."""
+    size = min(MARKS, max(8, 1 << (len(shingles) - 1).bit_length()))
+    out = np.zeros(8 * size, bool)
+    out[(shingles & np.uint64(8 * size - 1)).astype(np.int64)] = True
+    return np.packbits(out, bitorder="little").tobytes()
+
+
+class Bitmaps:
+    """Bitmaps of sets whose sizes differ by less than a factor of two, so pairs are compared in the width of one of them."""
+
+    def __init__(self, marks: list[bytes], n: np.ndarray):
+        self.n, self.width = n, np.array([len(m) for m in marks])
+        self.at, self.rows = {}, {}
+        for w in np.unique(self.width).tolist():
+            whole = [np.frombuffer(b"".join(marks[i] for i in np.flatnonzero(self.width == size)), np.uint64) for size in (w, 2 * w)]
+            self.at[w] = np.full(len(marks), -1)
+            own = np.concatenate([np.flatnonzero(self.width == w), np.flatnonzero(self.width == 2 * w)])
+            self.at[w][own] = np.arange(len(own))
+            # half a bitmap of twice the width laid over the other is the one of this width
+            self.rows[w] = np.concatenate([whole[0].reshape(-1, w // 8), np.bitwise_or.reduce(whole[1].reshape(-1, 2, w // 8), 1)])
+
+    def able(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Those of ``others`` that may reach the similarity with ``i``: a bit that one has alone is a shingle that they do not share."""
+        out = np.zeros(len(others), bool)
+        common = np.minimum(self.width[others], self.width[i])
+        for w in np.unique(common).tolist():
+            here = np.flatnonzero(common == w)
+            x, y = self.rows[w][self.at[w][i]], self.rows[w][self.at[w][others[here]]]
+            n = self.n[others[here]]
+            most = np.minimum(self.n[i] - np.bitwise_count(x & ~y).sum(1, dtype=np.int64), n - np.bitwise_count(y & ~x).sum(1, dtype=np.int64))
+            out[here] = 100 * most >= PERCENT * (self.n[i] + n - most)
+        return others[out]
+
+
+def _marks(batches):
+    """Sets to (id, signature, marks)."""
+    for batch in batches:
+        sets = [np.frombuffer(s, np.uint64) for s in batch.column("shingles").to_pylist()]
+        if sets:
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([r.tobytes() for r in signatures(sets)], pa.binary()), pa.array([bitmap(s) for s in sets], pa.binary())], names=["id", "signature", "marks"])
+
+
 def _explode_keys(batches):
     for batch in batches:
         if batch.num_rows:
@@ -164,7 +209,7 @@ def _cells(batches):
 
 
 def _across(batches):
-    """Pairs of a cell's members in different components within T places and the ratio of sizes; a cell has one block or two."""
+    """Pairs of a cell's members in different components within T places, the ratio of sizes and the bound of the bitmaps; a cell has one block or two."""
     for table in _cells(batches):
         ids, n, comp, block = (table.column(c).to_numpy() for c in ("id", "n", "component", "block"))
         two = table.column("x")[0] != table.column("y")[0]
@@ -174,6 +219,8 @@ def _across(batches):
         sign = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(-1, K)
         order = np.argsort(n, kind="stable")
         ids, n, inverse, sign, block = ids[order], n[order], inverse[order], sign[order], block[order]
+        marks = table.column("marks").to_pylist()
+        maps = Bitmaps([marks[i] for i in order], n)
         largest = count.argmax()
         a, b = [], []
         for i in np.flatnonzero(inverse != largest):  # members of the largest component need no comparison among themselves
@@ -184,7 +231,7 @@ def _across(batches):
             if two:
                 wanted &= block[lo:hi] != block[i]
             cand = lo + np.flatnonzero(wanted)
-            cand = cand[(sign[cand] != sign[i]).sum(1) <= T]
+            cand = maps.able(i, cand[(sign[cand] != sign[i]).sum(1) <= T])
             a.append(np.full(len(cand), ids[i]))
             b.append(ids[cand])
         if a:
@@ -197,7 +244,7 @@ def _in_cells(rest: DataFrame, block: int = BLOCK) -> DataFrame:
     large = rest.groupBy("key").count().where(F.col("count") > block).select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
     own = rest.join(large, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     cells = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return cells.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "n", "component", "signature")
+    return cells.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "n", "component")
 
 
 def _bits(candidates: DataFrame) -> tuple[np.ndarray, list]:
@@ -301,8 +348,10 @@ def near_groups(docs: DataFrame, *, ident: str = "doc_id", text: str = "text") -
 
     placed = members.select("key", "id", "n").join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_keys = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    rest = placed.join(open_keys, "key", "left_semi").join(classes.select("id", "signature"), "id")
-    pairs = _in_cells(rest).repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(trimmed(_across), "a long, b long").distinct()
+    marks = narrow.mapInArrow(trimmed(_marks), "id long, signature binary, marks binary").groupBy("id").agg(F.first("signature").alias("signature"), F.first("marks").alias("marks"))
+    rest = placed.join(open_keys, "key", "left_semi")
+    # what members carry is joined last, so it travels once
+    pairs = _in_cells(rest).join(marks, "id").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(trimmed(_across), "a long, b long").distinct()
     more = scratch.save(_confirm(pairs, narrow), "more")
     scratch.drop("members", "narrow")
     final = components(links.unionByName(more), scratch, "round2_")

@@ -130,6 +130,27 @@ def test_near_blocks_of_a_bucket(spark, corpus, monkeypatch):
     assert got == brute_components(corpus)
 
 
+def test_near_pairs_of_the_second_round(monkeypatch):
+    """Bitmaps drop no pair that reaches the similarity, and drop most that are below it, so their sets do not travel."""
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(near_dedup, "T", near_dedup.K)  # signatures let every pair through
+    for size in (3, 40, 130, 700, 3000):
+        base = rng.integers(0, 1 << 63, size, np.int64).astype(np.uint64)
+        sets = []
+        for share in np.linspace(0.4, 1, 60):
+            other = rng.integers(0, 1 << 63, rng.integers(0, size // 2 + 1), np.int64).astype(np.uint64)
+            sets.append(np.unique(np.concatenate([rng.choice(base, max(int(share * size), 1), replace=False), other])))
+        m = len(sets)
+        cols = {"key": [1] * m, "x": [0] * m, "y": [0] * m, "block": [0] * m, "id": list(range(m)), "n": [len(s) for s in sets], "component": list(range(m))}
+        cols |= {"signature": [r.tobytes() for r in near_dedup.signatures(sets)], "marks": [near_dedup.bitmap(s) for s in sets]}
+        got = {(a, b) for t in near_dedup._across([near_dedup.pa.RecordBatch.from_pydict(cols)]) for a, b in zip(t.column("a").to_pylist(), t.column("b").to_pylist())}
+        share = {(a, b): len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b])) for a in range(m) for b in range(a + 1, m)}
+        assert {p for p, j in share.items() if j >= 0.7} <= got
+        if 40 <= size <= 700:
+            low = {p for p, j in share.items() if 0.4 <= j < 0.55}
+            assert len(low) > 50 and len(low & got) < 0.05 * len(low)
+
+
 def test_near_edge_cases(spark):
     rows = [(None, "a b c d e f", "x"), (7, "a b c d e f", "y"), (7, "a b c d e f", "y"), (3, None, "z"), (4, "", "z"), (9, "A B  C d e\nf", "q")]
     df = docs(spark, rows, "doc_id long, text string, __id string")
