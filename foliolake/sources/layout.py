@@ -24,15 +24,16 @@ def sections(items: DataFrame) -> DataFrame:
     """doc_id, sec_idx, title, level, text, n_tables, n_images; chunks of a document keep their order.
 
     A heading begins a section. What comes before the first one of a chunk is a section of level 1 that is
-    called by its first item: Introduction, Tables or Figures.
+    called by its first item: Introduction, Tables or Figures. Items of one ``ord`` stay in the order in which they are read.
     """
     label = F.lower("label")
-    known = items.where(~label.isin(*IGNORED)).withColumn("kind", F.when(label.isin(*HEADINGS), "heading").when(label.isin(*TEXTS), "text").when(label == "table", "table").when(label == "picture", "picture"))
+    # the place is given where the items are read, so that a shuffle decides nothing
+    known = items.withColumn("pos", F.monotonically_increasing_id()).where(~label.isin(*IGNORED)).withColumn("kind", F.when(label.isin(*HEADINGS), "heading").when(label.isin(*TEXTS), "text").when(label == "table", "table").when(label == "picture", "picture"))
     seen = known.where("kind IS NOT NULL AND (kind <> 'text' OR trim(coalesce(text, '')) <> '')").withColumn("text", F.trim(F.coalesce("text", F.lit(""))))
     order = Window.partitionBy("doc_id", "chunk").orderBy("ord")
     placed = seen.withColumn("part", F.sum((F.col("kind") == "heading").cast("int")).over(order))
-    first = F.min_by(F.struct("kind", "text", "level"), "ord")
-    body = F.array_sort(F.collect_list(F.when(F.col("kind") == "text", F.struct("ord", "text"))))
+    first = F.min_by(F.struct("kind", "text", "level"), F.struct("ord", "pos"))
+    body = F.array_sort(F.collect_list(F.when(F.col("kind") == "text", F.struct("ord", "pos", "text"))))
     count = lambda kind: F.count(F.when(F.col("kind") == kind, 1)).alias(f"n_{kind}s")
     grouped = placed.groupBy("doc_id", "chunk", "part").agg(first.alias("f"), body.alias("body"), count("table"), count("picture"))
     opening = F.when(F.col("f.kind") == "text", "Introduction").when(F.col("f.kind") == "table", "Tables").otherwise("Figures")

@@ -27,3 +27,17 @@ def test_references_without_semicolon(spark, tmp_path):
     page = "'<html><head><title>a &lt;b&gt; &amp;&amp</title></head><body><h1>a &lt;b&gt; &amp;&amp</h1><p>x</p></body></html>'"
     data, c = folder(tmp_path, pages=f"SELECT CAST(1 AS BIGINT) AS page_id, 'u' AS url, {page} AS html")
     assert list(same(spark, "heading_outline", data, c)["title"]) == ["a <b> &&amp"]
+
+
+TWICE = f"SELECT CAST(i // 2 AS BIGINT) AS l_orderkey, CAST(7 AS BIGINT) AS l_partkey, CAST(3 AS INTEGER) AS l_linenumber, CAST(CASE WHEN i % 2 = 0 THEN 30 ELSE 47 END AS DOUBLE) AS l_quantity, CAST(100 + i AS DOUBLE) AS l_extendedprice, 'A' AS l_returnflag, 'F' AS l_linestatus FROM range(40) t(i) ORDER BY i"
+
+
+def test_layout_items_of_one_place(spark, tmp_path):
+    data, c = folder(tmp_path, lineitem=TWICE)
+    c.execute("SET threads = 1")  # its SQL leaves the order of such items open, and one thread keeps that of the table
+    assert set(same(spark, "layout_sections", data, c)["level"]) == {3}
+
+
+def test_rows_of_one_order_line(spark, tmp_path):
+    data, c = folder(tmp_path, lineitem=TWICE)
+    assert list(same(spark, "table_aggregate_where", data, c)["n_rows"]) == [20]
