@@ -15,8 +15,11 @@ _KEY = ("doc_id", "section_id", "table_id")
 
 
 def lineitem_cells(spark: SparkSession, d: str) -> DataFrame:
-    """Order lines as tables by return flag and line status, with dollar signs, separators and blanks in the cells."""
-    rows = table(spark, d, "lineitem").withColumn("row_idx", (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100_000_000 + F.col("l_partkey"))
+    """Order lines as tables by return flag and line status, with dollar signs, separators and blanks in the cells.
+
+    A row is told by its place: order, line and part occur more than once.
+    """
+    rows = table(spark, d, "lineitem").withColumn("row_idx", F.monotonically_increasing_id())
     price = F.when(F.col("l_linenumber") == 7, "N/A").otherwise(F.concat(F.lit("$"), F.round(F.col("l_extendedprice")).cast("long").cast("string")))
     columns = F.array(F.struct(F.lit(0).alias("col_idx"), F.lit("Quantity").alias("header"), F.col("l_quantity").cast("int").cast("string").alias("cell")), F.struct(F.lit(1).alias("col_idx"), F.lit("Extended Price (USD)").alias("header"), price.alias("cell")))
     return rows.select(F.lit("lineitem").alias("doc_id"), F.col("l_returnflag").alias("section_id"), F.col("l_linestatus").alias("table_id"), "row_idx", F.inline(columns))
