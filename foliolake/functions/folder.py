@@ -6,6 +6,7 @@ import atexit
 import hashlib
 import shutil
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,6 +56,11 @@ def saved(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def held(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to a folder of its own, for a plan that reads it more than once."""
+    return saved(df, f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}")
+
+
 def kept(spark: SparkSession, source: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     """A table made from what lies at ``source``: written once in the shared folder, and again when files there change."""
     path = f"{shared_folder(spark)}/{name}-{state_of(spark, source)}"

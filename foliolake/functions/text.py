@@ -28,7 +28,7 @@ def counted(tokens: Column) -> Column:
         heads = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (F.get(s, i - 1) != x), i)), lambda i: i.isNotNull())
         return let(heads, lambda h: F.transform(h, lambda at, j: F.struct(F.get(s, at).alias("term"), (F.coalesce(F.get(h, j + 1), F.size(s)) - at).alias("tf"))))
 
-    return let(F.array_sort(tokens), runs)
+    return let(F.sort_array(tokens), runs)  # array_sort calls a comparator for each pair
 
 
 def words(c: Column) -> Column:

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 
 def _pieces(text: str, size: int):
     """Paragraphs; of too long ones the sentences; of too long ones windows."""
@@ -58,6 +60,9 @@ def explode_passages(sections: DataFrame, size: int = 2000, overlap: int = 200,
 def word_windows(c: Column, size: int = 512) -> Column:
     """Consecutive windows of ``size`` words joined by spaces."""
 
-    w = F.filter(F.split(F.coalesce(c, F.lit("")), r"\s+"), lambda x: x != "")
-    starts = F.when(F.size(w) > 0, F.sequence(F.lit(1), F.size(w), F.lit(size))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(w, i, F.lit(size)), " "))
+    def cut(w: Column) -> Column:
+        starts = F.when(F.size(w) > 0, F.sequence(F.lit(1), F.size(w), F.lit(size))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(w, i, F.lit(size)), " "))
+
+    # the words are told apart once, and not again for each window
+    return let(F.filter(F.split(F.coalesce(c, F.lit("")), r"\s+"), lambda x: x != ""), cut)

@@ -72,7 +72,7 @@ def keywords(text: Column, title: Column, k: int = 8) -> Column:
 
     Counting is inside the row, on its sorted terms, so no shuffle is needed.
     """
-    numbered = F.array_sort(F.transform(keyword_terms(text), lambda t, i: F.struct(t.alias("t"), i.alias("i"))))
+    numbered = F.sort_array(F.transform(keyword_terms(text), lambda t, i: F.struct(t.alias("t"), i.alias("i"))))
 
     def score(s: Column) -> Column:
         """Runs of equal terms in the sorted array, as (minus score, first place, term)."""
@@ -84,7 +84,7 @@ def keywords(text: Column, title: Column, k: int = 8) -> Column:
 
         return let(heads, runs)
 
-    ordered = F.transform(F.array_sort(let(numbered, score)), lambda s: s["term"])
+    ordered = F.transform(F.sort_array(let(numbered, score)), lambda s: s["term"])
     return F.slice(F.array_distinct(F.concat(keyword_terms(title), ordered)), 1, k)
 
 

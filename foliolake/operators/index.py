@@ -147,12 +147,22 @@ def invalidate(spark: SparkSession, folder: str) -> None:
 
 def kept(spark: SparkSession, source: str, sections: Callable[[], DataFrame], name: str = "lexical") -> Stored:
     """The index of what lies at ``source``: built once in the shared folder, and again when files there change."""
-    folder = f"{shared_folder(spark)}/index-{name}-{state_of(spark, source)}"
+    folder = _folder(spark, source, name)
     if not is_stored(spark, folder):
         write(sections(), folder)
     return stored(spark, folder)
 
 
+def present(spark: SparkSession, source: str, name: str = "lexical") -> Stored | None:
+    """The index of what lies at ``source`` as it is now, if :func:`kept` has built one."""
+    folder = _folder(spark, source, name)
+    return stored(spark, folder) if is_stored(spark, folder) else None
+
+
+def _folder(spark: SparkSession, source: str, name: str) -> str:
+    return f"{shared_folder(spark)}/index-{name}-{state_of(spark, source)}"
+
+
 def statistics(sections: DataFrame, edges: DataFrame) -> DataFrame:
     """doc_id, n_sections and the number of edges of each kind."""
     n = sections.groupBy("doc_id").agg(F.count("*").alias("n_sections"))

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.folder import held
 from ..functions.small import small
 from ..functions.text import plain_tokens, terms, words
 from . import graph, search
@@ -28,6 +29,8 @@ def retrieve(lexical: DataFrame, dense: DataFrame, edge_table: DataFrame | None,
     The hop follows ``edge_table``, or with ``numbered`` the outline itself (and the table's edges, if both are given).
     """
     seeds = fuse([(lexical, 2.0), (dense, 1.5)], pool or 3 * k, per_document=per_document)
+    if numbered is not None or edge_table is not None:
+        seeds = small(held(seeds, "seeds"))  # the best of each ranking, which the hop reads several times
     if numbered is not None:
         scored = graph.expand_outline(seeds, numbered, edge_table)
     else:
@@ -66,9 +69,12 @@ def rerank(pool: DataFrame, sections: DataFrame, questions: DataFrame, most: int
     """The pool by 5 for every question term in the title, 2 in the text, 3 in a table header, and 10 times its score."""
     none = F.array().cast("array<array<string>>")
     heads = F.coalesce(F.transform("tables", lambda t: t["headers"]), none) if "tables" in sections.columns else none
-    own = sections.select("doc_id", "sec_idx", F.array_distinct(terms(F.col("title"))).alias("in_title"), F.array_distinct(terms(F.col("text"))).alias("in_text"), F.transform(heads, lambda h: F.array_distinct(plain_tokens(F.array_join(h, " ")))).alias("in_heads"))
-    asked = small(questions.select("qid", F.array_distinct("tokens").alias("asked")))
-    joined = pool.join(asked, "qid").join(own, ["doc_id", "sec_idx"])
+    asked = questions.select("qid", F.array_distinct("tokens").alias("asked"))
+    pool = small(held(pool.select("qid", "doc_id", "sec_idx", "score"), "pool"))
+    # texts are taken apart after the join, which leaves those of the pool
+    kept = sections.join(small(pool.select("doc_id", "sec_idx").distinct()), ["doc_id", "sec_idx"], "left_semi")
+    own = kept.select("doc_id", "sec_idx", F.array_distinct(terms(F.col("title"))).alias("in_title"), F.array_distinct(terms(F.col("text"))).alias("in_text"), F.transform(heads, lambda h: F.array_distinct(plain_tokens(F.array_join(h, " ")))).alias("in_heads"))
+    joined = pool.join(small(asked), "qid").join(own, ["doc_id", "sec_idx"])
     both = lambda c: F.size(F.array_intersect("asked", c))
     heads = F.aggregate(F.transform("in_heads", lambda h: F.size(F.array_intersect("asked", h))), F.lit(0), lambda a, x: a + x)
     scored = joined.select("qid", "doc_id", "sec_idx", (5 * both("in_title") + 2 * both("in_text") + 3 * heads + 10 * F.col("score")).alias("score"))
@@ -84,9 +90,12 @@ def window_baseline(texts: DataFrame, questions: DataFrame, size: int = 512, k:
     """The plain baseline: fixed word windows under BM25, the ``k`` best for each question, with their words."""
     from .chunks import word_windows
 
-    windows = texts.select("doc_id", F.posexplode(word_windows(F.col("text"), size)).alias("sec_idx", "chunk"))
+    windows_of = lambda t: t.select("doc_id", F.posexplode(word_windows(F.col("text"), size)).alias("sec_idx", "chunk"))
+    windows = windows_of(texts)
     best = search.top_k(search.bm25(windows.select("doc_id", "sec_idx", terms(F.col("chunk")).alias("tokens")), questions), k)
-    return best.join(windows, ["doc_id", "sec_idx"])
+    best = small(held(best, "best"))
+    # only texts with a best window are cut again
+    return best.join(windows_of(texts.join(best.select("doc_id").distinct(), "doc_id", "left_semi")), ["doc_id", "sec_idx"])
 
 
 __all__ = ["fuse", "hybrid", "rerank", "retrieve", "window_baseline", "without_references"]

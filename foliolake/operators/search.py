@@ -2,7 +2,7 @@
 
 Sections are (doc_id, sec_idx, tokens); questions are (qid, tokens). Only terms
 that some question has leave the section rows, so what is shuffled follows the
-matches and not the corpus, and term counts are combined before the shuffle.
+matches and not the corpus, and terms are counted inside their row.
 """
 
 from __future__ import annotations
@@ -10,10 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.folder import held
 from ..functions.small import few, small
 from ..functions.text import counted
 
 K1, B = 1.2, 0.75
+#: Most asked terms that are looked for inside a row; more are joined.
+LISTED = 1000
 
 
 def top_k(scored: DataFrame, k: int, by: list[str] | None = None, score: str = "score") -> DataFrame:
@@ -30,13 +33,22 @@ def _asked(questions: DataFrame):
 
 
 class Live:
-    """Statistics of (doc_id, sec_idx, tokens) that are counted at each search."""
+    """Statistics of (doc_id, sec_idx, tokens) that are counted at each search.
+
+    The asked terms of each section and its sizes are written in one pass over the texts, a short row for each
+    section; hits and totals are read from there.
+    """
 
     def __init__(self, sections: DataFrame):
-        self.sections = sections
+        self.sections, self.sized = sections, None
 
     def hits(self, asked: DataFrame, mark) -> DataFrame:
         """doc_id, sec_idx, length, distinct, term, tf of the terms that are asked for."""
+        listed = [r.term for r in asked.select("term").distinct().limit(LISTED + 1).collect()]
+        if len(listed) <= LISTED:
+            found = counted(F.filter("tokens", lambda t: t.isin(listed)))
+            self.sized = held(self.sections.select("doc_id", "sec_idx", F.size("tokens").alias("length"), F.size(F.array_distinct("tokens")).alias("distinct"), found.alias("found")), "search")
+            return self.sized.select("doc_id", "sec_idx", "length", "distinct", F.inline("found")).withColumn("tf", F.col("tf").cast("long"))
         terms = mark(asked.select("term").distinct())
         # sizes first, as what stands beside a generator is computed for each of its rows
         sized = self.sections.select("doc_id", "sec_idx", F.size("tokens").alias("length"), F.size(F.array_distinct("tokens")).alias("distinct"), "tokens")
@@ -46,22 +58,27 @@ class Live:
 
     def totals(self, by: list[str]) -> DataFrame:
         """…by, n (sections), mean (length)."""
-        return self.sections.groupBy(*by).agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("mean"))
+        sized = self.sized if self.sized is not None else self.sections.select("doc_id", F.size("tokens").alias("length"))
+        return sized.groupBy(*by).agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+
+    def frequencies(self, by: list[str]) -> DataFrame:
+        """…by, term, df of all terms."""
+        # the outer form makes no filter on the tokens, which would compute them twice
+        each = self.sections.select(*by, F.explode_outer(F.array_distinct("tokens")).alias("term"))
+        return each.groupBy(*by, "term").agg(F.count("*").alias("df")).where("term IS NOT NULL")
 
     def postings(self) -> DataFrame:
         return self.sections.select("doc_id", "sec_idx", F.inline(counted(F.col("tokens"))))
 
     def mean_idf(self, by: list[str]) -> DataFrame:
         """…by, mean_idf over all terms."""
-        df = self.postings().groupBy(*by, "term").agg(F.count("*").alias("df"))
-        return _joined(df, self.totals(by), by).groupBy(*by).agg(F.avg(_raw_idf()).alias("mean_idf"))
+        return _joined(self.frequencies(by), self.totals(by), by).groupBy(*by).agg(F.avg(_raw_idf()).alias("mean_idf"))
 
     def norms(self, by: list[str], sublinear: bool = False, most: float = 1.0) -> DataFrame:
         """doc_id, sec_idx, norm of the tf-idf weights, without terms that more than a share of ``most`` of the sections have."""
-        tf = self.postings()
-        df = _joined(tf.groupBy(*by, "term").agg(F.count("*").alias("df")), self.totals(by), by)
-        idf = _rare(df, most).select(*by, "term", _smooth_idf().alias("idf"))
-        return tf.join(idf, [*by, "term"]).groupBy("doc_id", "sec_idx").agg(F.sqrt(F.sum((_damped("tf", sublinear) * F.col("idf")) ** 2)).alias("norm"))
+        idf = _rare(_joined(self.frequencies(by), self.totals(by), by), most).select(*by, "term", _smooth_idf().alias("idf"))
+        # a share of the vocabulary is held by each task, so the postings need no sort
+        return self.postings().join(idf.hint("shuffle_hash"), [*by, "term"]).groupBy("doc_id", "sec_idx").agg(F.sqrt(F.sum((_damped("tf", sublinear) * F.col("idf")) ** 2)).alias("norm"))
 
 
 def _damped(tf: str, sublinear: bool) -> Column:

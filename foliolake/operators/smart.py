@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.folder import held
+from ..functions.small import small
 from ..functions.text import RETRIEVAL_STOP, let, words
 from . import retrieve, search
 
@@ -125,15 +127,15 @@ def ranking(sections: DataFrame, questions: DataFrame, *, vectors: DataFrame | N
     asked = asked_words(questions)
     bm25 = search.bm25_two_queries(used.select("doc_id", "sec_idx", clean_words(body).alias("tokens")), asked, per_document=False)
     pairs = search.tfidf(used.select("doc_id", "sec_idx", grams(body).alias("tokens")), questions.select("qid", grams(F.col("question")).alias("tokens")), sublinear=True, most=0.95)
-    dense = bm25 if vectors is None else vectors
-    fused = retrieve.fuse([(bm25, 2.0), (pairs, 1.0), (dense, 1.5)], pool)
+    # where BM25 stands for the dense ranking its ranks count for both, and it is ranked once
+    fused = retrieve.fuse([(bm25, 3.5), (pairs, 1.0)] if vectors is None else [(bm25, 2.0), (pairs, 1.0), (vectors, 1.5)], pool)
     wanted = asked.select("qid", F.when(F.size("content") > 0, F.array_distinct("content")).otherwise(F.array_distinct(F.slice("tokens", 1, 8))).alias("tokens"))
     return search.top_k(retrieve.rerank(fused, used, wanted, 15).drop("rank"), k)
 
 
 def smart_context(sections: DataFrame, questions: DataFrame, *, vectors: DataFrame | None = None, k: int = 5, sentences: int = 5, table_rows: int = 10) -> DataFrame:
     """qid, top_id, context, n_tokens: key sentences and tables of the sections of :func:`ranking`."""
-    best = ranking(sections, questions, vectors=vectors, k=k).join(sections, ["doc_id", "sec_idx"]).join(questions.select("qid", "question"), "qid")
+    best = small(held(ranking(sections, questions, vectors=vectors, k=k), "best")).join(sections, ["doc_id", "sec_idx"]).join(questions.select("qid", "question"), "qid")
     picked = best.withColumn("key", key_sentences(F.col("text"), F.col("question"), sentence_count(F.col("text"), sentences)))
     return _contexts(picked.withColumn("doc_id", F.lit("all")), F.col("key"), tables_text(table_rows) if "tables" in sections.columns else F.lit("")).drop("doc_id")
 

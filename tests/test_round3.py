@@ -41,3 +41,15 @@ def test_layout_items_of_one_place(spark, tmp_path):
 def test_rows_of_one_order_line(spark, tmp_path):
     data, c = folder(tmp_path, lineitem=TWICE)
     assert list(same(spark, "table_aggregate_where", data, c)["n_rows"]) == [20]
+
+
+def test_one_search_builds_no_index(spark, data, monkeypatch):
+    from foliolake.operators import index
+
+    def write(*_):
+        raise AssertionError("an index of all postings for one search")
+
+    monkeypatch.setattr(index, "write", write)
+    monkeypatch.setattr(index, "is_stored", lambda *_: False)
+    for name in ("jaccard_search", "rrf_fusion"):
+        assert plans.queries()[name](spark, data).count() == 30
