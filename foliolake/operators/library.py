@@ -47,8 +47,9 @@ def search(library: DataFrame, query: str, k: int = 10) -> DataFrame:
     empty = F.array().cast("array<string>")
     lower = lambda c: F.transform(F.coalesce(c, empty), lambda x: F.lower(x))
     bag = F.array_distinct(F.concat(*[words(F.col(c)) for c in ("title", "owner", "department", "summary")], lower(F.col("tags")), lower(F.col("keywords"))))
-    scored = library.withColumn("score", F.size(F.array_intersect(asked, bag)) / F.greatest(F.size(asked), F.lit(1))).where("score > 0")
-    return scored.orderBy(F.desc("score"), "doc_id").limit(k).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")))  # at most k rows are ranked
+    scored = library.withColumn("score", F.size(F.array_intersect(asked, bag)) / F.greatest(F.size(asked), F.lit(1)))
+    # entries without a word are dropped after the limit: a filter before it would compute score and keywords twice
+    return scored.orderBy(F.desc("score"), "doc_id").limit(k).where("score > 0").withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")))  # at most k rows are ranked
 
 
 def entries(documents: DataFrame, sections: DataFrame) -> DataFrame:
