@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,11 +44,13 @@ def passages(text: str | None, size: int = 2_000, overlap: int = 200) -> list[st
 def passage_column(c: Column, size: int = 2000, overlap: int = 200) -> Column:
     """An array of passages."""
 
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: passages(t, size, overlap))
+    def run(s: pa.Array) -> pa.Array:
+        # a batch has 10,000 texts; Python holds those of 100 with their passages
+        parts = [pa.array([passages(t, size, overlap) for t in s.slice(at, 100).to_pylist()], pa.list_(pa.string())) for at in range(0, len(s), 100)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.string()))
 
-    run.__annotations__ = {"s": pd.Series, "return": pd.Series}
-    return F.pandas_udf(run, "array<string>")(c)
+    run.__annotations__ = {"s": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "array<string>")(c)
 
 
 def explode_passages(sections: DataFrame, size: int = 2000, overlap: int = 200, text: str = "text") -> DataFrame:
